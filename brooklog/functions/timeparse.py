@@ -76,6 +76,13 @@ def _blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def _offset(zone: Column) -> Column:
+    """``±HH:MM`` of a zone a shape let through; a named or missing one is UTC."""
+    digits = F.rpad(F.regexp_replace(F.substring(zone, 2, 5), ":", ""), 4, "0")
+    offset = F.concat(F.substring(zone, 1, 1), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2))
+    return F.when(F.substring(zone, 1, 1).isin("+", "-"), offset).otherwise("+00:00")
+
+
 def parse_tz(text: Column) -> Column:
     """Zone of a text: blank or ``Z`` is UTC; zone names, ``±HH[:]MM`` and ``±HH`` are kept; else null."""
     t = F.trim(text)
@@ -182,7 +189,7 @@ def _shaped(p: Column) -> Column:
             month.alias("mo"),
             day.alias("d"),
             tod.alias("tod"),
-            F.coalesce(parse_tz(part(8)), F.lit("+00:00")).alias("zone"),
+            _offset(part(8)).alias("zone"),
         ).cast(PARTS),
     )
 

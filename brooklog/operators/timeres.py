@@ -55,8 +55,7 @@ def _text(name: str) -> Column:
 
 
 def _int(name: str) -> Column:
-    text = _text(name)
-    return F.when(text.rlike(r"^[+-]?\d{1,9}$"), text.try_cast("int"))
+    return F.col("attrs")[name].try_cast("int")
 
 
 def extract_parts(df: DataFrame, source_field: str | Column = "", source_format: str = "") -> DataFrame:
@@ -66,25 +65,25 @@ def extract_parts(df: DataFrame, source_field: str | Column = "", source_format:
     components: year/month/day with ``date`` filling gaps, ``time`` or hour+minute+second,
     ``millis``/``nanos`` and ``tz``.
     """
-    out = tp.with_parsed_ts(df, "_full", _text("timestamp"))
+    # One pass of the time shapes serves a full timestamp or, without one, an unusual date.
+    stamp, date = _text("timestamp"), _text("date")
+    out = df.withColumn("_date", tp.plain_date(date))
+    odd = F.when(F.col("_date").isNull(), date)
+    out = tp.with_parsed_ts(out, "_stamp", F.coalesce(stamp, odd))
     if isinstance(source_field, Column) or source_field:
         chosen = F.nullif(F.trim(F.col("attrs")[source_field]), F.lit(""))
         out = tp.with_parsed_ts(out, "_chosen", chosen, source_format)
-        out = out.withColumn("_full", F.coalesce("_chosen", "_full")).drop("_chosen")
-    date = _text("date")
-    out = out.withColumn("_date", tp.plain_date(date))
-    out = tp.with_parsed_ts(out, "_odd", F.when(F.col("_date").isNull(), date))
-    out = out.withColumns({"_time": tp.parse_time(_text("time"))})
+    out = out.withColumn("_time", tp.parse_time(_text("time")))
 
     def named(part: str, name: str) -> Column:
-        given = [F.nullif(c, F.lit(0)) for c in (_int(name), F.col(f"_date.{part}"), F.col(f"_odd.{part}"))]
-        return F.coalesce(*given)
+        odd_part = F.when(stamp.isNull(), F.col(f"_stamp.{part}"))
+        return F.coalesce(*[F.nullif(c, F.lit(0)) for c in (_int(name), F.col(f"_date.{part}"), odd_part)])
 
     h, mi, s = _int("hour"), _int("minute"), _int("second")
     micros_part = F.coalesce((_int("nanos") / 1000).cast("bigint"), _int("millis").cast("bigint") * 1000, F.lit(0))
     clock = (h.cast("bigint") * 3600 + mi * 60 + s) * 1_000_000 + micros_part
     tod = F.when(_text("time").isNotNull(), F.col("_time.tod")).otherwise(clock)
-    zone = F.coalesce(F.when(_text("tz").isNotNull(), tp.parse_tz(_text("tz"))), F.col("_time.zone"))
+    zone = F.coalesce(tp.parse_tz(_text("tz")), F.col("_time.zone"))
     composed = F.struct(
         named("y", "year").alias("y"),
         named("mo", "month").alias("mo"),
@@ -92,7 +91,9 @@ def extract_parts(df: DataFrame, source_field: str | Column = "", source_format:
         tod.alias("tod"),
         zone.alias("zone"),
     ).cast(tp.PARTS)
-    return out.withColumn("_parts", F.coalesce("_full", composed)).drop("_full", "_date", "_odd", "_time")
+    whole = [F.col("_chosen")] if "_chosen" in out.columns else []
+    whole.append(F.when(stamp.isNotNull(), F.col("_stamp")))
+    return out.withColumn("_parts", F.coalesce(*whole, composed)).drop("_chosen", "_stamp", "_date", "_time")
 
 
 def _force(given: Column, filled: Column, forced: int | None, mode: str) -> Column:
@@ -168,7 +169,9 @@ def _resolve_dated(df: DataFrame) -> DataFrame:
         .when(F.col("_last").isNotNull() | seen, "carried")
         .otherwise("synthetic")
     )
-    out = held.withColumns({"timestamp": F.coalesce("_last", "_anchor"), "ts_confidence": label})
+    out = held.withColumns(
+        {"timestamp": F.coalesce("_last", "_anchor"), "ts_confidence": label, "ts_zone": F.lit("+00:00")}
+    )
     return out.drop("_wall", "_own", "_last", "_seen_here", "_seen_before")
 
 
@@ -201,16 +204,20 @@ def _resolve_running(df: DataFrame) -> DataFrame:
         )
     )
     utc = tp.to_utc(F.col("wall"), F.col("zone"))
-    times = times.select(*KEY, "line_no", utc.alias("timestamp"), "ts_confidence")
+    times = times.select(*KEY, "line_no", utc.alias("timestamp"), "ts_confidence", F.col("zone").alias("ts_zone"))
     return df.join(times, [*KEY, "line_no"])
 
 
-def resolve(df: DataFrame, cfg: TimeConfig | None = None, profile: DataFrame | None = None) -> DataFrame:
+def resolve(
+    df: DataFrame, cfg: TimeConfig | None = None, profile: DataFrame | None = None, lead_field: str = ""
+) -> DataFrame:
     """Add ``timestamp`` and ``ts_confidence`` (exact, inferred, carried, synthetic).
 
     Needs ``_src, block, line_no, attrs, matched``.  With a ``profile`` (see
     ``profile_time``) every source gets its own anchor, rollover and source field; the
-    config's forced parts and zone still apply to all.
+    config's forced parts and zone still apply to all.  A row with ``lead_field`` in its
+    ``attrs`` states a time as it is (UTC microseconds, a bar, and the zone), for work that
+    goes on from an earlier batch; ``ts_zone`` is then added too.
     """
     cfg = cfg or TimeConfig(anchor=dt.datetime.now(dt.timezone.utc))
     inner = df.drop("timestamp", "ts_confidence")
@@ -219,13 +226,15 @@ def resolve(df: DataFrame, cfg: TimeConfig | None = None, profile: DataFrame | N
             "_src",
             F.col("anchor").alias("_anchor"),
             F.col("rollover").alias("_rollover"),
-            (~F.col("rollover")).alias("_dated"),
+            (F.col("dated") if "dated" in profile.columns else ~F.col("rollover")).alias("_dated"),
             (F.col("status") == "missing").alias("_synthetic"),
             F.col("source_field").alias("_field"),
         )
         inner = inner.join(settings, "_src")
         inner = extract_parts(inner, F.coalesce("_field", F.lit("")))
         inner = _line_columns(inner, cfg)
+        if lead_field:
+            inner = _lead(inner, F.split(F.col("attrs")[lead_field], r"\|"))
         made_up = _synthetic(inner.filter("_synthetic"))
         real = inner.filter("not _synthetic")
         parts = [_resolve_dated(real.filter("_dated")), _resolve_running(real.filter("not _dated")), made_up]
@@ -239,14 +248,32 @@ def resolve(df: DataFrame, cfg: TimeConfig | None = None, profile: DataFrame | N
             inner = _line_columns(extract_parts(inner, cfg.source_field, cfg.source_format), cfg)
             out = _resolve_dated(inner) if cfg.dated and not cfg.rollover else _resolve_running(inner)
     helper = ("_anchor", "_rollover", "_dated", "_synthetic", "_field", "_y", "_mo", "_d", "_tod", "_zone", "_two", "_inferred")
-    return out.drop(*helper)
+    return out.drop(*helper) if lead_field else out.drop(*helper, "ts_zone")
+
+
+def _lead(df: DataFrame, stated: Column) -> DataFrame:
+    """Rows that state their time stand for a full date in the stated zone."""
+    us, zone = F.get(stated, 0).try_cast("bigint"), F.get(stated, 1)
+    at = F.from_utc_timestamp(F.timestamp_micros(us), zone)
+    parts = {
+        "_y": F.year(at),
+        "_mo": F.month(at),
+        "_d": F.dayofmonth(at),
+        "_tod": F.pmod(F.unix_micros(at), F.lit(86_400_000_000)),
+        "_zone": zone,
+        "_two": F.lit(False),
+        "_inferred": F.lit(False),
+    }
+    return df.withColumns({c: F.when(us.isNotNull(), v).otherwise(F.col(c)) for c, v in parts.items()})
 
 
 def _synthetic(df: DataFrame) -> DataFrame:
     """No line has a time: the anchor plus one microsecond per line."""
     numbered = with_seq(df, "_tick")
     moment = F.timestamp_micros(F.unix_micros("_anchor") + F.col("_tick"))
-    return numbered.withColumns({"timestamp": moment, "ts_confidence": F.lit("synthetic")}).drop("_tick")
+    return numbered.withColumns(
+        {"timestamp": moment, "ts_confidence": F.lit("synthetic"), "ts_zone": F.lit("+00:00")}
+    ).drop("_tick")
 
 
 def _date_year_width(text: Column) -> Column:

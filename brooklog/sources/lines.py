@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +51,31 @@ def validate_lines(df: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> tuple
     return df.filter(fits), df.filter(~fits)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append the row number inside the task; rows arrive in file order."""
+    at = 0
+    for batch in batches:
+        numbers = pa.array(range(at, at + batch.num_rows), pa.int64())
+        at += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, "line_no"])
+
+
 def live_lines(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Lines of files that appear in a directory, as a stream: ``_src, value`` and the order inside a file."""
+    """Lines of files that appear in a directory, as a stream.
+
+    Columns ``_src`` and ``part`` (the file), ``block, line_no`` (place in it), ``value`` and
+    ``source_mtime``.  A stream cannot use the built-in row ids, so an Arrow pass counts the
+    rows of each task.  Map ``_src`` to a logical source if its files belong together.
+    """
     reader = spark.readStream.option("lineSep", "\n").schema("value string")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.format("text").load(directory).select(
+    raw = reader.format("text").load(directory).select(
         F.col("_metadata.file_path").alias("_src"),
+        F.col("_metadata.file_path").alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"),
         _clean(F.col("value")).alias("value"),
         F.col("_metadata.file_modification_time").alias("source_mtime"),
-    ).filter(F.col("value") != "")
+    )
+    schema = "_src string, part string, block long, value string, source_mtime timestamp, line_no long"
+    return raw.mapInArrow(_numbered, schema).filter(F.col("value") != "")

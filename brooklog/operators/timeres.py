@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,7 +210,11 @@ def _resolve_running(df: DataFrame) -> DataFrame:
 
 
 def resolve(
-    df: DataFrame, cfg: TimeConfig | None = None, profile: DataFrame | None = None, lead_field: str = ""
+    df: DataFrame,
+    cfg: TimeConfig | None = None,
+    profile: DataFrame | None = None,
+    lead_field: str = "",
+    modes: set[str] | None = None,
 ) -> DataFrame:
     """Add ``timestamp`` and ``ts_confidence`` (exact, inferred, carried, synthetic).
 
@@ -217,7 +222,8 @@ def resolve(
     ``profile_time``) every source gets its own anchor, rollover and source field; the
     config's forced parts and zone still apply to all.  A row with ``lead_field`` in its
     ``attrs`` states a time as it is (UTC microseconds, a bar, and the zone), for work that
-    goes on from an earlier batch; ``ts_zone`` is then added too.
+    goes on from an earlier batch; ``ts_zone`` is then added too.  ``modes`` (see
+    ``modes_of``) leaves out the kinds of source the profile does not have.
     """
     cfg = cfg or TimeConfig(anchor=dt.datetime.now(dt.timezone.utc))
     inner = df.drop("timestamp", "ts_confidence")
@@ -235,10 +241,13 @@ def resolve(
         inner = _line_columns(inner, cfg)
         if lead_field:
             inner = _lead(inner, F.split(F.col("attrs")[lead_field], r"\|"))
-        made_up = _synthetic(inner.filter("_synthetic"))
-        real = inner.filter("not _synthetic")
-        parts = [_resolve_dated(real.filter("_dated")), _resolve_running(real.filter("not _dated")), made_up]
-        out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        branches = {
+            "dated": lambda d: _resolve_dated(d.filter("not _synthetic and _dated")),
+            "running": lambda d: _resolve_running(d.filter("not _synthetic and not _dated")),
+            "synthetic": lambda d: _synthetic(d.filter("_synthetic")),
+        }
+        wanted = [build(inner) for mode, build in branches.items() if modes is None or mode in modes]
+        out = reduce(DataFrame.unionByName, wanted)
     else:
         anchor = F.col(cfg.anchor_column) if cfg.anchor_column else F.timestamp_micros(F.lit(micros(cfg.anchor)))
         inner = inner.withColumns({"_anchor": anchor, "_rollover": F.lit(cfg.rollover)})
@@ -251,6 +260,13 @@ def resolve(
     return out.drop(*helper) if lead_field else out.drop(*helper, "ts_zone")
 
 
+def modes_of(profile: DataFrame) -> set[str]:
+    """Kinds of source in a profile: at most three values, worth knowing before planning."""
+    dated = F.col("dated") if "dated" in profile.columns else ~F.col("rollover")
+    mode = F.when(F.col("status") == "missing", "synthetic").when(dated, "dated").otherwise("running")
+    return {r[0] for r in profile.select(mode).distinct().collect()} or {"dated"}
+
+
 def _lead(df: DataFrame, stated: Column) -> DataFrame:
     """Rows that state their time stand for a full date in the stated zone."""
     us, zone = F.get(stated, 0).try_cast("bigint"), F.get(stated, 1)

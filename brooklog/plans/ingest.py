@@ -82,7 +82,9 @@ def to_rows(lines: DataFrame, opts: IngestOptions, now: dt.datetime | None = Non
     else:
         mtime = F.col("source_mtime") if "source_mtime" in records.columns else None
         profile = timeres.profile_time(records, mtime, now)
-        resolved = timeres.resolve(records, profile=profile)
+        profile = settle(profile) if cut else profile
+        modes = timeres.modes_of(profile) if cut else None
+        resolved = timeres.resolve(records, profile=profile, modes=modes)
     return finish(resolved, opts)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from brooklog.model import moment
 from brooklog.operators import ordering, timeres
 from brooklog.operators.fold import is_header
 from brooklog.plans.ingest import IngestOptions, finish, parse
@@ -129,10 +130,11 @@ def resolve_batch(records: DataFrame, carried: DataFrame, opts: IngestOptions, n
     Returns the rows with ``timestamp``, ``ts_confidence`` and ``_seq``, and the new carry
     table.  A source keeps the settings taken from its first batch.
     """
+    new = records.join(carried.select("_src"), "_src", "left_anti")
     if opts.time is not None:
         cfg = opts.time
-        anchor = F.col(cfg.anchor_column) if cfg.anchor_column else F.lit(cfg.anchor)
-        fresh = records.groupBy("_src").agg(
+        anchor = F.col(cfg.anchor_column) if cfg.anchor_column else moment(cfg.anchor)
+        fresh = new.groupBy("_src").agg(
             F.max(anchor).alias("anchor"),
             F.lit(cfg.rollover).alias("rollover"),
             F.lit(cfg.dated and not cfg.rollover).alias("dated"),
@@ -140,7 +142,7 @@ def resolve_batch(records: DataFrame, carried: DataFrame, opts: IngestOptions, n
             F.lit(cfg.source_field or None).cast("string").alias("source_field"),
         )
     else:
-        profile = timeres.profile_time(records, F.col("source_mtime"), now)
+        profile = timeres.profile_time(new, F.col("source_mtime"), now)
         fresh = profile.select(
             "_src",
             "anchor",
@@ -149,19 +151,17 @@ def resolve_batch(records: DataFrame, carried: DataFrame, opts: IngestOptions, n
             (F.col("status") == "missing").alias("synthetic"),
             "source_field",
         )
-    old = carried.select(
+    start = fresh.select(
         "_src",
-        *[F.col(c).alias(f"_{c}") for c in ("seq", "last_us", "last_zone", "seen", *SETTINGS)],
-    )
-    known = F.col("_anchor").isNotNull()
-    settings = fresh.join(old, "_src", "left").select(
-        "_src",
-        *[F.when(known, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in SETTINGS],
-        F.coalesce("_seq", F.lit(0)).alias("before"),
-        F.col("_last_us").alias("last_us"),
-        F.col("_last_zone").alias("last_zone"),
-        F.coalesce("_seen", F.lit(False)).alias("seen"),
+        *SETTINGS,
+        F.lit(0).cast("long").alias("before"),
+        F.lit(None).cast("long").alias("last_us"),
+        F.lit(None).cast("string").alias("last_zone"),
+        F.lit(False).alias("seen"),
     )
+    present = records.select("_src").distinct()
+    known = carried.join(present, "_src", "left_semi").withColumnRenamed("seq", "before").select(*start.columns)
+    settings = settle(known.unionByName(start))  # one row per source of the batch, read several times below
     # The last time of a source enters its batch as one line in front of the first.
     lead = settings.filter("seen and not synthetic").select(
         "_src",
@@ -180,13 +180,14 @@ def resolve_batch(records: DataFrame, carried: DataFrame, opts: IngestOptions, n
         "source_field",
     )
     cfg = opts.time or timeres.TimeConfig(anchor=now)
-    timed = timeres.resolve(base, cfg, profile=profile, lead_field=LEAD_FIELD)
+    timed = timeres.resolve(base, cfg, profile, LEAD_FIELD, timeres.modes_of(profile))
     timed = timed.filter(F.col("block") >= 0).select("_src", "block", "line_no", "timestamp", "ts_confidence", "ts_zone")
     rows = ordering.with_seq(records.join(timed, ["_src", "block", "line_no"]))
     rows = rows.join(settings.select("_src", "before", "synthetic", F.col("anchor").alias("_base")), "_src")
     rows = rows.withColumn("_seq", F.col("_seq") + F.col("before"))
     tick = F.timestamp_micros(F.unix_micros("_base") + F.col("_seq"))
     rows = rows.withColumn("timestamp", F.when(F.col("synthetic"), tick).otherwise(F.col("timestamp")))
+    rows = settle(rows)
     last = rows.groupBy("_src").agg(
         F.max("_seq").alias("seq"),
         F.max_by(F.unix_micros("timestamp"), "_seq").alias("now_us"),
@@ -227,9 +228,12 @@ def live_ingest(
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        # The one action on the batch itself: the state of every source moves on exactly once.
         records = settle(parse(batch, ing))
+        if records.isEmpty():
+            return
         rows, carry = resolve_batch(records, _carried(spark, state_path, number), ing, now())
-        stored = settle(finish(rows, ing))
+        stored = finish(rows, ing)
         carry = carry.withColumn("batch", F.lit(number).cast("long"))
         day_parts = stored.withColumn("batch", F.lit(number).cast("long"))
         writer = day_parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -239,8 +243,16 @@ def live_ingest(
             publish(stored.drop("_seq"), number)
 
     writer = fold_stream(lines, opts).writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/query")
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=opts.flush_interval)
-    return writer.start()
+    if not once:
+        return writer.trigger(processingTime=opts.flush_interval).start()
+    # Batches without data exist for timeouts only and would never end here.
+    conf, flag = lines.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    usual = conf.get(flag)
+    conf.set(flag, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(flag, usual)
 
 
 def skipped(rows: DataFrame, pauses: DataFrame, bucket_seconds: int = 60) -> DataFrame:

@@ -69,9 +69,7 @@ def phrase(words: str, field: Field = None, fuzziness: int = 0) -> Column:
         tests = [text.contains(t) for t in dict.fromkeys(wanted)]
         return _sure(reduce(Column.__and__, tests) & text.rlike(_whole(WORD_GAP.join(wanted))))
 
-    def near(part: Column) -> Column:
-        have = tokens(part)
-
+    def near(have: Column) -> Column:
         def starts_at(i: Column) -> Column:
             steps = [
                 F.levenshtein(F.element_at(have, i + F.lit(j)), F.lit(t), fuzziness) >= 0
@@ -82,7 +80,8 @@ def phrase(words: str, field: Field = None, fuzziness: int = 0) -> Column:
         starts = F.sequence(F.lit(1), F.size(have) - F.lit(len(wanted) - 1))
         return F.when(F.size(have) >= len(wanted), F.exists(starts, starts_at)).otherwise(F.lit(False))
 
-    return _sure(F.exists(F.split(_text(field), FIELD_BREAK), near))
+    # The tokens are bound to a lambda variable, so each field is cut into tokens once.
+    return _sure(F.exists(F.transform(F.split(_text(field), FIELD_BREAK), tokens), near))
 
 
 def wildcard(pattern: str, field: Field = None) -> Column:

@@ -165,7 +165,7 @@ ORACLES: dict[str, str] = {
         p AS (SELECT doc_id, unnest(t) AS a, unnest(t[2:] || [NULL]) AS b, unnest(t[3:] || [NULL, NULL]) AS c FROM d WHERE len(t) >= 3)
         SELECT DISTINCT doc_id FROM p WHERE b IS NOT NULL AND c IS NOT NULL AND abs(length(a) - 4) <= 1 AND abs(length(b) - 3) <= 1
           AND levenshtein(a, 'that') <= 1 AND levenshtein(b, 'was') <= 1 AND levenshtein(c, 'the') <= 1""",
-    "wildcard_prefix": _docs(f"len(list_filter({_tok('text')}, lambda t: starts_with(t, 'schnell'))) > 0"),
+    "wildcard_prefix": _docs(f"len(list_filter({_tok('text')}, lambda t: starts_with(t, 'erst'))) > 0"),
     "wildcard_suffix": _docs(f"len(list_filter({_tok('text')}, lambda t: ends_with(t, 'tioning'))) > 0"),
     "regex_term": _docs(f"len(list_filter({_tok('text')}, lambda t: regexp_full_match(t, 'to(ken|wer)s?'))) > 0"),
     "regex_text": r"SELECT page_id FROM pages WHERE regexp_matches(url, '/[0-9]{2}\?page=')",
@@ -204,7 +204,9 @@ ORACLES: dict[str, str] = {
     "smart_decode": f"SELECT doc_id, {_smart('text', 'array_to_string({x}, chr(124)) AS {n}')} FROM documents",
     "smart_decode_pages": f"SELECT page_id, {_smart('html', 'len({x}) AS n_{n}')} FROM pages",
     "with_meta": "SELECT 'file.events' AS src, '0' AS k, 'dev' AS env, count(value) AS n FROM events",
-    "num_view": _with(DL, r"SELECT src, count(*) AS n FROM dl WHERE regexp_matches(string_split(line, ' ')[1], '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') GROUP BY src"),
+    "num_view": _with(DL, r""", w AS (SELECT src, unnest(regexp_split_to_array(line, '[^0-9A-Za-z.+-]+')) AS w FROM dl),
+        n AS (SELECT src, CASE WHEN regexp_matches(w, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(w AS DOUBLE) END AS v FROM w)
+        SELECT src, count(v) AS n, max(v) AS largest FROM n GROUP BY src"""),
     "fold_header": _fold("regexp_matches(line, '^(The|Is|And|En|Der|De|To|In|La|It) ')", 20, 1 << 20),
     "fold_indent": _fold(r"NOT regexp_matches(line, '^[ \t]')", 100, 2000),
     "detect_fold": _with(DL, r""", t AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id, line_no) AS g,

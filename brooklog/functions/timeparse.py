@@ -67,13 +67,10 @@ EPOCH_DIGITS = {10: 0, 13: 3, 16: 6, 19: 9}
 
 
 @lru_cache(maxsize=1)
-def _zone_names() -> tuple[str, ...]:
+def _zone_names() -> str:
+    """All zone names as one comma-separated literal (a list would be hundreds of literals in the plan)."""
     odd = {"localtime", "Factory", "posixrules"}
-    return tuple(sorted(n for n in zoneinfo.available_timezones() if n not in odd and not n.startswith(("SystemV/", "right/", "posix/"))))
-
-
-def _blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return ",".join(sorted(n for n in zoneinfo.available_timezones() if n not in odd))
 
 
 def _offset(zone: Column) -> Column:
@@ -92,7 +89,7 @@ def parse_tz(text: Column) -> Column:
     return (
         F.when(t.isin("", "Z", "z", "UTC", "GMT"), "+00:00")
         .when(t.rlike(r"^[+-]?(?:0\d|1[0-7])(?::?[0-5]\d)?$"), offset)
-        .when(t.isin(*_zone_names()), t)
+        .when(F.find_in_set(t, F.lit(_zone_names())) > 0, t)
     )
 
 
@@ -160,12 +157,26 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"\s+", " ")
 
 
+def _one_pattern() -> tuple[str, str]:
+    """All shapes as one alternation, and the replacement that puts each slot's groups together.
+
+    Only one alternative takes part in a match, so the groups of the others are empty.
+    """
+    offset, alternatives, slots = 0, [], [""] * 8
+    for pattern, groups in SHAPES:
+        alternatives.append(pattern)
+        for i, g in enumerate(groups):
+            slots[i] += f"${g + offset}" if g else ""
+        offset += re.compile(pattern).groups
+    return rf"\A(?:{'|'.join(alternatives)})\z", "".join(CUT + s for s in slots)
+
+
+SHAPE, SHAPE_SLOTS = _one_pattern()
+
+
 def _rewritten(t: Column) -> Column:
     """The slots of a known shape, joined by CUT; other texts stay as they are."""
-    for pattern, slots in SHAPES:
-        to = "".join(CUT + (f"${g}" if g else "") for g in slots)
-        t = F.regexp_replace(t, rf"\A(?!{CUT}){pattern}\z", to)
-    return t
+    return F.regexp_replace(t, SHAPE, SHAPE_SLOTS)
 
 
 def _shaped(p: Column) -> Column:
@@ -271,19 +282,22 @@ def parse_date(text: Column) -> Column:
     )
 
 
+CLOCK = r"\A(\d+):(\d+)(?::(\d+))?(?::\d+)*(?:[.,](\d*))?(Z|z|[+-]\d{2}:?\d{2}|[+-]\d{2})?\z"
+
+
 def parse_time(text: Column) -> Column:
     """A time field as ``(tod, zone)``: ``HH:MM[:SS[.,fraction]]`` with an optional zone suffix."""
-    m = r"^(\d+):(\d+)(?::(\d+))?(?::\d+)*(?:[.,](\d*))?(Z|z|[+-]\d{2}:?\d{2}|[+-]\d{2})?$"
-    t = F.trim(text)
+    slots = F.regexp_replace(F.trim(text), CLOCK, "".join(f"{CUT}${i}" for i in range(1, 6)))
+    bound = F.transform(F.array(F.split(slots, CUT, -1)), _clock_of)  # bound once, used many times
+    return F.get(bound, 0)
 
-    def group(i: int) -> Column:
-        return F.regexp_extract(t, m, i)
 
-    second = F.coalesce(group(3).try_cast("int"), F.lit(0)).cast("bigint")
-    tod = (group(1).try_cast("bigint") * 3600 + group(2).try_cast("bigint") * 60 + second) * 1_000_000
-    zone = F.when(group(5) != "", parse_tz(group(5)))
+def _clock_of(p: Column) -> Column:
+    h, mi, s = (F.get(p, i).try_cast("bigint") for i in (1, 2, 3))
+    tod = (h * 3600 + mi * 60 + F.coalesce(s, F.lit(0))) * 1_000_000 + _fraction(F.get(p, 4))
+    zone = F.when(F.get(p, 5) != "", parse_tz(F.get(p, 5)))
     return F.when(
-        t.rlike(m), F.struct((tod + _fraction(group(4))).alias("tod"), zone.alias("zone")).cast("struct<tod:bigint,zone:string>")
+        F.size(p) > 5, F.struct(tod.alias("tod"), zone.alias("zone")).cast("struct<tod:bigint,zone:string>")
     )
 
 

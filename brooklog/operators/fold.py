@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.operators.ordering import KEY, earlier_blocks, in_block, up_to_here, whole_block
+from brooklog.operators.ordering import KEY, earlier_blocks, in_block, join_blocks, up_to_here, whole_block
 
 MAX_LINES = 100
 MAX_BYTES = 1 << 20
@@ -82,7 +82,7 @@ def fold(
         "_before",
         F.max(F.col("_before") + F.col("_head_at")).over(earlier_blocks()).alias("_open_at"),
     )
-    placed = lines.drop("_size").join(blocks, list(KEY))
+    placed = join_blocks(lines.drop("_size"), blocks)
     number = F.col("_before") + F.col("_at")
     head = F.coalesce(F.col("_before") + F.col("_head_at"), F.col("_open_at"), F.lit(1))
     step = F.lit(max_lines + 1)

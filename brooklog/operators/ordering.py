@@ -35,25 +35,47 @@ def earlier_blocks() -> WindowSpec:
     return Window.partitionBy("_src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def join_blocks(rows: DataFrame, summary: DataFrame) -> DataFrame:
+    """Join one summary row per block back to its rows.
+
+    A merge join keeps the rows where the window put them: they are neither shuffled again
+    nor ever taken for the side to broadcast.
+    """
+    return rows.join(summary.hint("merge"), list(KEY))
+
+
 def with_seq(df: DataFrame, out: str = "_seq") -> DataFrame:
     """Number the rows of each source 1, 2, 3, … in order."""
     numbered = df.withColumn("_at", F.row_number().over(in_block()))
-    sizes = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = numbered.groupBy(*KEY).agg(F.max("_at").alias("_n"))
     offsets = sizes.select(*KEY, F.coalesce(F.sum("_n").over(earlier_blocks()), F.lit(0)).alias("_before"))
-    joined = numbered.join(offsets, list(KEY))
+    joined = join_blocks(numbered, offsets)
     return joined.withColumn(out, (F.col("_before") + F.col("_at")).cast("long")).drop("_at", "_before")
 
 
-def carry(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Per output name, the last non-null value of an expression up to and including each row."""
-    held = df.withColumns({out: F.last(value, ignorenulls=True).over(up_to_here()) for out, value in values.items()})
-    last = df.select(*KEY, "line_no", *[value.alias(out) for out, value in values.items()])
-    summary = last.groupBy(*KEY).agg(
-        *[F.max_by(F.col(out), F.when(F.col(out).isNotNull(), F.col("line_no"))).alias(out) for out in values]
+def carry(df: DataFrame, values: dict[str, Column], before: dict[str, Column] | None = None) -> DataFrame:
+    """Per output name, the last non-null value of an expression up to and including each row.
+
+    Values in ``before`` leave the row itself out.  Rows and block summaries come from the
+    same shuffle.
+    """
+    before = before or {}
+    everything = {**values, **before}
+    staged = df.withColumns({f"_v_{out}": value for out, value in everything.items()})
+
+    def held(out: str) -> Column:
+        return F.last(F.col(f"_v_{out}"), ignorenulls=True).over(before_here() if out in before else up_to_here())
+
+    rows = staged.withColumns({out: held(out) for out in everything})
+    summary = rows.groupBy(*KEY).agg(
+        *[
+            F.max_by(F.col(f"_v_{out}"), F.when(F.col(f"_v_{out}").isNotNull(), F.col("line_no"))).alias(f"_in_{out}")
+            for out in everything
+        ]
     )
     entering = summary.select(
-        *KEY, *[F.last(F.col(out), ignorenulls=True).over(earlier_blocks()).alias(f"_in_{out}") for out in values]
+        *KEY, *[F.last(F.col(f"_in_{o}"), ignorenulls=True).over(earlier_blocks()).alias(f"_in_{o}") for o in everything]
     )
-    joined = held.join(entering, list(KEY))
-    joined = joined.withColumns({out: F.coalesce(F.col(out), F.col(f"_in_{out}")) for out in values})
-    return joined.drop(*[f"_in_{out}" for out in values])
+    joined = join_blocks(rows, entering)
+    joined = joined.withColumns({out: F.coalesce(F.col(out), F.col(f"_in_{out}")) for out in everything})
+    return joined.drop(*[f"_in_{out}" for out in everything], *[f"_v_{out}" for out in everything])

@@ -23,7 +23,7 @@ import json
 from functools import lru_cache
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
@@ -195,58 +195,48 @@ def advance(summary: str, entering: State | None) -> State | None:
     return now
 
 
-def lines_of(rows: pd.DataFrame) -> list[Line]:
-    def ints(name: str) -> list[int | None]:
-        return [None if pd.isna(v) else int(v) for v in rows[name]]
+def lines_of(rows: pa.Table) -> list[Line]:
+    return [Line(*x) for x in zip(*[rows[c].to_pylist() for c in ("y", "mo", "d", "tod", "off", "zone", "two")])]
 
-    return [
-        Line(*x)
-        for x in zip(
-            ints("y"), ints("mo"), ints("d"), ints("tod"), rows["off"].astype(int), rows["zone"], rows["two"].astype(bool)
-        )
-    ]
 
+def rules_of(rows: pa.Table) -> Rules:
+    return Rules(rows["anchor"][0].as_py(), rows["rollover"][0].as_py())
 
-def rules_of(rows: pd.DataFrame) -> Rules:
-    return Rules(int(rows["anchor"].iloc[0]), bool(rows["rollover"].iloc[0]))
 
-
-def block_summary(rows: pd.DataFrame) -> pd.DataFrame:
+def block_summary(rows: pa.Table) -> pa.Table:
     """One block in, its summary out."""
-    rows = rows.sort_values("line_no")
-    matched = rows[rows["matched"]]
-    text = summarise(lines_of(matched), rules_of(rows))
-    return pd.DataFrame({"_src": [rows["_src"].iloc[0]], "block": [rows["block"].iloc[0]], "summary": [text]})
+    rows = rows.sort_by("line_no")
+    text = summarise(lines_of(rows.filter(rows["matched"])), rules_of(rows))
+    return pa.table({"_src": rows["_src"][:1], "block": rows["block"][:1], "summary": [text]})
 
 
-def entering_times(blocks: pd.DataFrame) -> pd.DataFrame:
+def entering_times(blocks: pa.Table) -> pa.Table:
     """Summaries of one source in, the time that enters each block out."""
-    blocks = blocks.sort_values("block")
-    now, walls, offs, zones = None, [], [], []
-    for summary in blocks["summary"]:
-        walls.append(None if now is None else now.wall)
-        offs.append(None if now is None else now.off)
-        zones.append(None if now is None else now.zone)
+    blocks = blocks.sort_by("block")
+    now, entering = None, []
+    for summary in blocks["summary"].to_pylist():
+        entering.append(now or (None, None, None))
         now = advance(summary, now)
-    return pd.DataFrame(
+    walls, offs, zones = zip(*entering)
+    return pa.table(
         {
-            "_src": blocks["_src"].to_numpy(),
-            "block": blocks["block"].to_numpy(),
-            "in_wall": pd.array(walls, dtype="Int64"),
-            "in_off": pd.array(offs, dtype="Int64"),
-            "in_zone": zones,
+            "_src": blocks["_src"],
+            "block": blocks["block"],
+            "in_wall": pa.array(walls, pa.int64()),
+            "in_off": pa.array(offs, pa.int64()),
+            "in_zone": pa.array(zones, pa.string()),
         }
     )
 
 
-def block_times(rows: pd.DataFrame) -> pd.DataFrame:
+def block_times(rows: pa.Table) -> pa.Table:
     """One block with its entering time in, the time of every line out."""
-    rows = rows.sort_values("line_no")
+    rows = rows.sort_by("line_no")
     rules = rules_of(rows)
-    first = rows.iloc[0]
-    now = None if pd.isna(first["in_wall"]) else State(int(first["in_wall"]), int(first["in_off"]), first["in_zone"])
+    wall, off, zone = (rows[c][0].as_py() for c in ("in_wall", "in_off", "in_zone"))
+    now = None if wall is None else State(wall, off, zone)
     walls, zones, labels = [], [], []
-    for line, matched, inferred in zip(lines_of(rows), rows["matched"], rows["inferred"]):
+    for line, matched, inferred in zip(lines_of(rows), rows["matched"].to_pylist(), rows["inferred"].to_pylist()):
         if matched and line.tod is not None:
             now = step(line, now, rules)
             labels.append("inferred" if inferred else "exact")
@@ -257,13 +247,13 @@ def block_times(rows: pd.DataFrame) -> pd.DataFrame:
         at = now or rules.start
         walls.append(at.wall)
         zones.append(at.zone)
-    return pd.DataFrame(
+    return pa.table(
         {
-            "_src": rows["_src"].to_numpy(),
-            "block": rows["block"].to_numpy(),
-            "line_no": rows["line_no"].to_numpy(),
-            "wall": walls,
-            "zone": zones,
-            "ts_confidence": labels,
+            "_src": rows["_src"],
+            "block": rows["block"],
+            "line_no": rows["line_no"],
+            "wall": pa.array(walls, pa.int64()),
+            "zone": pa.array(zones, pa.string()),
+            "ts_confidence": pa.array(labels, pa.string()),
         }
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brooklog.functions import timeparse as tp
 from brooklog.model import micros
-from brooklog.operators.ordering import KEY, before_here, carry, earlier_blocks, with_seq
+from brooklog.operators.ordering import KEY, carry, join_blocks, with_seq
 from brooklog.operators.recurrence import block_summary, block_times, entering_times
 
 TIME_FIELDS = (
@@ -158,22 +158,17 @@ def _resolve_dated(df: DataFrame) -> DataFrame:
     timed = timed.withColumn("_wall", _clamped(F.col("_wall"), F.col("_two") | F.col("_y").isNull()))
     own = F.when(F.col("_wall").isNotNull(), tp.to_utc(F.col("_wall"), F.col("_zone")))
     timed = timed.withColumn("_own", own)
-    seen_here = F.max(F.when(F.col("matched"), 1)).over(before_here())
-    held = carry(timed.withColumn("_seen_here", seen_here), {"_last": F.col("_own")})
     # Whether any matched line came before decides between "carried" and "synthetic".
-    blocks = df.groupBy(*KEY).agg(F.max(F.when(F.col("matched"), 1)).alias("_any"))
-    blocks = blocks.select(*KEY, F.max("_any").over(earlier_blocks()).alias("_seen_before"))
-    held = held.join(blocks, list(KEY))
-    seen = F.col("_seen_here").isNotNull() | F.col("_seen_before").isNotNull()
+    held = carry(timed, {"_last": F.col("_own")}, before={"_seen": F.when(F.col("matched"), 1)})
     label = (
         F.when(F.col("_own").isNotNull(), F.when(F.col("_inferred"), "inferred").otherwise("exact"))
-        .when(F.col("_last").isNotNull() | seen, "carried")
+        .when(F.col("_last").isNotNull() | F.col("_seen").isNotNull(), "carried")
         .otherwise("synthetic")
     )
     out = held.withColumns(
         {"timestamp": F.coalesce("_last", "_anchor"), "ts_confidence": label, "ts_zone": F.lit("+00:00")}
     )
-    return out.drop("_wall", "_own", "_last", "_seen_here", "_seen_before")
+    return out.drop("_wall", "_own", "_last", "_seen")
 
 
 def _resolve_running(df: DataFrame) -> DataFrame:
@@ -193,14 +188,17 @@ def _resolve_running(df: DataFrame) -> DataFrame:
         F.unix_micros("_anchor").alias("anchor"),
         F.col("_rollover").alias("rollover"),
     )
-    blocks = lines.groupBy(*KEY).applyInPandas(block_summary, "_src string, block long, summary string")
-    entering = blocks.groupBy("_src").applyInPandas(
+    # Python work is heavy for its bytes, so the number of tasks is fixed rather than left to
+    # be reduced by size; the summary and the final pass read the same shuffle.
+    lines = lines.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+    blocks = lines.groupBy(*KEY).applyInArrow(block_summary, "_src string, block long, summary string")
+    entering = blocks.groupBy("_src").applyInArrow(
         entering_times, "_src string, block long, in_wall long, in_off long, in_zone string"
     )
     times = (
-        lines.join(entering, list(KEY))
+        join_blocks(lines, entering)
         .groupBy(*KEY)
-        .applyInPandas(
+        .applyInArrow(
             block_times, "_src string, block long, line_no long, wall long, zone string, ts_confidence string"
         )
     )

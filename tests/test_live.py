@@ -73,8 +73,8 @@ def test_clock_goes_on_over_batches(spark, tmp_path):
     texts = ["Dec 30 23:00:00 x", "Dec 31 23:59:59 y", "no time here", "Jan  1 00:00:01 z", "Jan  1 12:00:00 w"]
     opts = IngestOptions(pattern=r"^%{SYSLOGTIMESTAMP:timestamp} %{GREEDYDATA:message}")
     folder, work = str(tmp_path / "in"), str(tmp_path)
-    for i, text in enumerate(texts):
-        drop(spark, folder, [("s", i, text, False)], str(i))
+    for cut in ((0, 2), (2, 3), (3, 5)):
+        drop(spark, folder, [("s", i, texts[i], False) for i in range(*cut)], str(cut[0]))
         run(spark, folder, live.LiveOptions(opts), work)
     rows = stored(spark, work)
     assert [str(r.timestamp) for r in rows] == [

@@ -3,7 +3,9 @@
 A window over a whole source would put it into one task.  Here the window runs inside
 each (source, block); one summary row per block is then scanned along the source, and
 its running value is joined back.  Both sides of that join are partitioned by
-(source, block), so the rows are shuffled once.
+(source, block), so full rows are shuffled once; the summary comes from a scan of the few
+columns it needs, aggregated per task before its own shuffle.  ``_src`` and ``block`` must
+not be null.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def join_blocks(rows: DataFrame, summary: DataFrame) -> DataFrame:
 def with_seq(df: DataFrame, out: str = "_seq") -> DataFrame:
     """Number the rows of each source 1, 2, 3, … in order."""
     numbered = df.withColumn("_at", F.row_number().over(in_block()))
-    sizes = numbered.groupBy(*KEY).agg(F.max("_at").alias("_n"))
+    sizes = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(*KEY, F.coalesce(F.sum("_n").over(earlier_blocks()), F.lit(0)).alias("_before"))
     joined = join_blocks(numbered, offsets)
     return joined.withColumn(out, (F.col("_before") + F.col("_at")).cast("long")).drop("_at", "_before")
@@ -56,8 +58,7 @@ def with_seq(df: DataFrame, out: str = "_seq") -> DataFrame:
 def carry(df: DataFrame, values: dict[str, Column], before: dict[str, Column] | None = None) -> DataFrame:
     """Per output name, the last non-null value of an expression up to and including each row.
 
-    Values in ``before`` leave the row itself out.  Rows and block summaries come from the
-    same shuffle.
+    Values in ``before`` leave the row itself out.
     """
     before = before or {}
     everything = {**values, **before}
@@ -67,7 +68,7 @@ def carry(df: DataFrame, values: dict[str, Column], before: dict[str, Column] |
         return F.last(F.col(f"_v_{out}"), ignorenulls=True).over(before_here() if out in before else up_to_here())
 
     rows = staged.withColumns({out: held(out) for out in everything})
-    summary = rows.groupBy(*KEY).agg(
+    summary = staged.groupBy(*KEY).agg(
         *[
             F.max_by(F.col(f"_v_{out}"), F.when(F.col(f"_v_{out}").isNotNull(), F.col("line_no"))).alias(f"_in_{out}")
             for out in everything

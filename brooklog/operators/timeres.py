@@ -189,7 +189,9 @@ def _resolve_running(df: DataFrame) -> DataFrame:
         F.col("_rollover").alias("rollover"),
     )
     # Python work is heavy for its bytes, so the number of tasks is fixed rather than left to
-    # be reduced by size; the summary and the final pass read the same shuffle.
+    # be reduced by size.  The null filter is what the join below would add: stated here, the
+    # summary and the final pass read one and the same shuffle.
+    lines = lines.filter(F.col("_src").isNotNull() & F.col("block").isNotNull())
     lines = lines.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
     blocks = lines.groupBy(*KEY).applyInArrow(block_summary, "_src string, block long, summary string")
     entering = blocks.groupBy("_src").applyInArrow(

@@ -228,7 +228,7 @@ def _resolved(df: DataFrame) -> DataFrame:
 
 
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """Only purchases and every user under 40 carry a time; the others take the one before."""
+    """Lines of users under 40 carry a time; the others take the one before."""
     shown = F.when((F.col("user_id") < 40), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return _resolved(timeres.resolve(timed_events(spark, sf, timestamp=shown), TimeConfig(anchor=ANCHOR, rollover=False, dated=True)))
 

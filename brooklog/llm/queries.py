@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklog.llm import bpe, fingerprints, packing, secret_scan, token_counts, token_files, warc
-from brooklog.llm.common import through_table, work_folder
+from brooklog.llm import bpe, fingerprints, near_duplicates, packing, secret_scan, token_counts, token_files, warc
+from brooklog.llm.common import work_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: two-word shingles, similarity 0.8."""
+    return near_duplicates.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def _secret_digest(scanned: DataFrame) -> DataFrame:
     def count(rule: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("bigint")
@@ -76,6 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op6_fingerprints": op6_fingerprints,
@@ -91,9 +97,9 @@ def _sql_spans(kind: str, order: int, pattern: str, group: int, least: int) -> s
     """Spans of one kind in SQL: the pieces between matches and the matches, added up."""
     return f"""
     select doc_id, '{kind}' as kind, {order} as rule, e - m as s, e from (
-      select doc_id, unnest(list_transform(range(1, len(m) + 1), i -> length(m[i]))) as m,
-        unnest(list_transform(range(1, len(m) + 1), i -> length(p[i]))) as part,
-        unnest(list_transform(range(1, len(m) + 1), i -> list_sum(list_transform(m[:i], x -> length(x))) + list_sum(list_transform(g[:i], x -> length(x))))) as e
+      select doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: length(m[i]))) as m,
+        unnest(list_transform(range(1, len(m) + 1), lambda i: length(p[i]))) as part,
+        unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(m[:i], lambda x: length(x))) + list_sum(list_transform(g[:i], lambda x: length(x))))) as e
       from (select doc_id, regexp_extract_all(text, '{pattern}') as m, regexp_extract_all(text, '{pattern}', {group}) as p,
         string_split_regex(text, '{pattern}') as g from docs where regexp_matches(text, '{pattern}'))
     ) where part >= {least}"""

@@ -189,3 +189,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     found = described.join(ids, "same", "left").join(labels.toDF("of", "component"), "of", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "of", "id")).cast("bigint")
     return found.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that of the smallest key; all columns stay.
+
+    Of rows with one key, one stays; rows with a null key stay.
+    """
+    found = through_table(near_duplicates(docs, shingle_words, percent, text, key), "near-duplicates")
+    gone = found.filter(~F.col("kept")).select(F.col(key).alias("gone_")).distinct()
+    left = docs.join(small_side(gone), docs[key] == F.col("gone_"), "left_anti")
+    repeated = through_table(found.groupBy(F.col(key).alias("again_")).count().filter("count > 1 and again_ is not null").select("again_"), "repeated")
+    if repeated.isEmpty():
+        return left
+    again = small_side(repeated)
+    once = left.join(again, left[key] == F.col("again_"), "left_anti")
+    return once.unionByName(left.join(again, left[key] == F.col("again_"), "left_semi").dropDuplicates([key]))

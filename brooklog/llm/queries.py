@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklog.llm import bpe, fingerprints, near_duplicates, packing, secret_scan, token_counts, token_files, warc
+from brooklog.llm import bpe, fingerprints, language, near_duplicates, packing, secret_scan, token_counts, token_files, vantage_trees, warc
 from brooklog.llm.common import work_folder
 
 
@@ -46,12 +46,32 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector; factor one is exact."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return vantage_trees.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5, factor=1.0)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     found = fingerprints.fingerprint(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, their source as host; ``kept`` is false for the rejected."""
+    docs = _read(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs), host=F.col("source"))
+    return found.select("doc_id", "lang", "confidence", "kept")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all pages: text, declared language, address suffix and host."""
+    model = language.fit(_read(spark, sf_dir, "documents"))
+    found = language.identify(_read(spark, sf_dir, "pages"), model, "html", "page_id", url=F.col("url"), markup=True)
+    return found.select("page_id", "host", "lang", "confidence", "kept")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts decoded from them."""
     found = bpe.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
@@ -84,7 +104,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
+    "op5_nearest": op5_nearest,
     "op6_fingerprints": op6_fingerprints,
+    "op7_language_id": op7_language_id,
+    "language_id_pages": language_id_pages,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
@@ -115,6 +138,16 @@ found as (
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
   sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
 from docs d left join found f on d.doc_id = f.doc_id""",
+    "op5_nearest": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where embedding is not null and vec_id is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+    and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+c as (
+  select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.e, v.e) as score
+  from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from c qualify rank <= 5""",
     "op9_warc": """
 with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages),
 d as (select page_id, payload_bytes, sha256(html) as payload_digest from p),

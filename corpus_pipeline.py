@@ -8,10 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklog.llm import packing, secret_scan
+from brooklog.llm import language, near_duplicates, packing, secret_scan
 from brooklog.llm.common import through_table
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language that is known go; the text model is fitted on a bounded sample of labelled rows."""
+    return language.keep_identified(docs, language.fit(docs))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: shingles of five words, similarity 0.8."""
+    return near_duplicates.keep_first(docs, shingle_words=5, percent=80)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is masked; all documents stay."""
     return secret_scan.mask(docs)
@@ -22,7 +32,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=2)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("secret_scan", secrets), ("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify),
+    ("near_dedup", deduplicate),
+    ("secret_scan", secrets),
+    ("packing", pack),
+]
 
 #: SQL cannot express packing; tests hold the pipeline against a plain version.
 ORACLE_SQL = None

@@ -165,12 +165,12 @@ def ts_range(
 
 def in_window(start: dt.datetime, end: dt.datetime, prune: bool = True) -> Column:
     """Time window, both ends included.  With ``prune`` the day partition is bounded too."""
-    if end < start:
+    if model.in_utc(end) < model.in_utc(start):
         return F.lit(False)
     exact = F.col("timestamp").between(model.moment(start), model.moment(end))
     if not prune:
         return exact
-    return F.col("log_date").between(F.lit(start.date()), F.lit(end.date())) & exact
+    return F.col("log_date").between(F.lit(model.day_of(start)), F.lit(model.day_of(end))) & exact
 
 
 def default_window(now: dt.datetime) -> tuple[dt.datetime, dt.datetime]:

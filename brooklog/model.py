@@ -30,6 +30,8 @@ LOG_SCHEMA = T.StructType(
         T.StructField("_id", T.StringType()),
         T.StructField("error", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("ts_confidence", T.StringType()),
+        *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("_ipv4_addr", "_email_addr", "_urls", "_mac_addr", "_uuids")),
     ]
 )
 
@@ -45,6 +47,16 @@ def moment(at: dt.datetime) -> Column:
     return F.timestamp_micros(F.lit(micros(at)))
 
 
+def in_utc(at: dt.datetime) -> dt.datetime:
+    """The same moment in UTC; a naive datetime is UTC already."""
+    return at.astimezone(dt.timezone.utc) if at.tzinfo else at.replace(tzinfo=dt.timezone.utc)
+
+
+def day_of(at: dt.datetime) -> dt.date:
+    """The stored day (UTC) of a moment given in any zone."""
+    return in_utc(at).date()
+
+
 def field(name: str | Column) -> Column:
     """Column of a named field: a core column by name, anything else from ``attrs``."""
     if isinstance(name, Column):
@@ -63,11 +75,6 @@ def promote(df: DataFrame, names: Sequence[str], numeric: Sequence[str] = ()) ->
     return df.withColumns(cols)
 
 
-def with_blocks(df: DataFrame, rows_per_block: int = 100_000, line_no: str = "line_no") -> DataFrame:
-    """Cut rows with an integer line number into bounded blocks."""
-    return df.withColumn("block", F.floor(F.col(line_no) / F.lit(rows_per_block)).cast("long"))
-
-
 def with_log_date(df: DataFrame) -> DataFrame:
     """Day of the row in the session zone (UTC)."""
     return df.withColumn("log_date", F.to_date("timestamp"))

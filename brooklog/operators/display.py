@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brooklog import model
+from brooklog.functions.javaregex import usable
 
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -67,12 +68,9 @@ def highlight(
     for mark in marks:
         if mark.excluded or (mark.field and mark.field != column) or not mark.value:
             continue
-        if mark.is_regex:
-            try:
-                re.compile(mark.value)
-            except re.error:
-                continue
-        patterns.append("(?iu)" + (mark.value if mark.is_regex else re.escape(mark.value)))
+        pattern = usable(mark.value) if mark.is_regex else re.escape(mark.value)
+        if pattern is not None:
+            patterns.append("(?iu)" + pattern)
     text = model.field(column)
     if not patterns:
         return df.withColumn("highlighted", text)

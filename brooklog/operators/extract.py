@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brooklog import model
+from brooklog.session import settle
 from brooklog.functions.grok import CUT, DEFAULT, Pattern, compile_grok, fields_of, rewrite
 
-MAX_LIBRARY = 1000
-
 # What smart decoding looks for in a line, and a text every hit contains.  The look-behind and
 # the possessive run keep the e-mail scan linear on long words.
 SMART = {
@@ -77,15 +76,10 @@ def parse_summary(df: DataFrame) -> DataFrame:
 
 
 def library(patterns: DataFrame | Sequence[Pattern]) -> list[Pattern]:
-    """A pattern library from a table (name, pattern, and the optional columns of Pattern).
-
-    A library is written by hand and small; a table with more than 1000 rows is refused.
-    """
+    """A pattern library from a table (name, pattern, and the optional columns of Pattern), written by hand."""
     if not isinstance(patterns, DataFrame):
         return list(patterns)
-    rows = patterns.limit(MAX_LIBRARY + 1).collect()
-    if len(rows) > MAX_LIBRARY:
-        raise ValueError(f"a pattern library holds at most {MAX_LIBRARY} patterns")
+    rows = patterns.collect()  # each pattern becomes an expression of the plan
     known = set(Pattern.__dataclass_fields__)
     return [Pattern(**{k: v for k, v in r.asDict().items() if k in known and v is not None}) for r in rows]
 
@@ -133,13 +127,13 @@ def suggest(df: DataFrame, patterns: DataFrame | Sequence[Pattern]) -> DataFrame
     )
 
 
-def suggest_multi(df: DataFrame, patterns: DataFrame | Sequence[Pattern], k: int = 5) -> DataFrame:
+def suggest_multi(df: DataFrame, patterns: DataFrame | Sequence[Pattern], k: int | None = None) -> DataFrame:
     """Pattern set of each source by greedy cover: ``_src, rank, name, coverage, combined``.
 
     The lines are first reduced to counts per set of matching patterns, so each round
     works on a small table: it picks the pattern that explains most of what is left and
     drops the sets it covers.  Coverage is the newly covered share, ``combined`` the sum
-    so far.
+    so far.  Without ``k`` it goes on until no pattern explains anything more.
     """
     known = library(patterns)
     order = sorted(range(len(known)), key=lambda i: (-known[i].priority, known[i].name))
@@ -149,7 +143,7 @@ def suggest_multi(df: DataFrame, patterns: DataFrame | Sequence[Pattern], k: int
     left = hits.withColumn("total", F.sum("n").over(Window.partitionBy("_src"))).filter(F.size("hits") > 0)
     left = left.withColumn("chosen", F.array().cast("array<struct<i:int,n:bigint>>"))
     # Every round keeps all sets and marks the choice on them; a set is used up once a chosen pattern is in it.
-    for _ in range(min(k, len(known))):
+    for _ in range(len(known) if k is None else min(k, len(known))):
         used = F.exists("chosen", lambda c: F.array_contains(F.col("hits"), c["i"]))
         fresh = F.when(~used, F.col("n")).otherwise(F.lit(0))
         per = [
@@ -161,6 +155,11 @@ def suggest_multi(df: DataFrame, patterns: DataFrame | Sequence[Pattern], k: int
             for i in range(len(known))
         ]
         left = left.withColumn("best", F.array_max(F.array(*per)))
+        if k is None:
+            left = settle(left)  # a row per source and set of patterns
+            if left.filter("best.n > 0").isEmpty():
+                left = left.drop("best")
+                break
         grown = F.concat("chosen", F.array(F.struct(F.col("best.i").alias("i"), F.col("best.n").alias("n"))))
         left = left.withColumn("chosen", F.when(F.col("best.n") > 0, grown).otherwise(F.col("chosen"))).drop("best")
     done = left.groupBy("_src").agg(F.first("chosen").alias("chosen"), F.first("total").alias("total"))

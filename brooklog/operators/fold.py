@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.operators.ordering import KEY, earlier_blocks, in_block, join_blocks, up_to_here, whole_block
+from brooklog.functions.javaregex import checked
+from brooklog.operators.ordering import (
+    KEY, earlier_blocks, in_block, join_blocks, restore_keys, settle_keys, up_to_here, whole_block,
+)
 
 MAX_LINES = 100
 MAX_BYTES = 1 << 20
@@ -29,11 +31,7 @@ def is_header(line: Column, mode: str, header: str | None = None) -> Column:
     if mode == "header":
         if not header:
             raise ValueError("header mode needs a header pattern")
-        try:
-            re.compile(header)
-        except re.error as e:
-            raise ValueError(f"bad header pattern: {e}") from e
-        return line.rlike(header)
+        return line.rlike(checked(header, "header pattern"))
     if mode == "indent":
         return ~line.rlike(r"^[ \t]")
     raise ValueError(f"unknown fold mode {mode!r}")
@@ -64,7 +62,7 @@ def fold(
             {"_raw": F.col("line"), "n_lines": F.lit(1), "oversize": F.octet_length("line") > max_bytes}
         ).select("_src", "block", "line_no", "_raw", "n_lines", "oversize", *keep)
 
-    lines = df.select("_src", "block", "line_no", "line", *keep)
+    lines = settle_keys(df.select("_src", "block", "line_no", "line", *keep))
     lines = lines.withColumn("_head", is_header(F.col("line"), mode, header)).withColumn(
         "_at", F.row_number().over(in_block())
     )
@@ -98,7 +96,7 @@ def fold(
         F.min_by("_first", F.struct(F.col("_first.block"), F.col("_first.line_no"))).alias("_first"),
     )
     raw = F.array_join(F.transform("_lines", lambda x: x["line"]), " ")
-    return records.select(
+    folded = records.select(
         "_src",
         "_first.block",
         "_first.line_no",
@@ -107,6 +105,7 @@ def fold(
         (F.octet_length(raw) > max_bytes).alias("oversize"),
         *[F.col(f"_first.{c}").alias(c) for c in keep],
     )
+    return restore_keys(folded)
 
 
 def detect_fold(df: DataFrame, library: Sequence[str] = ()) -> DataFrame:

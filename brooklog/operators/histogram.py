@@ -121,9 +121,12 @@ def drill(df: DataFrame, start: dt.datetime, end: dt.datetime, i: int, j: int) -
     if first < 0 or last >= n:
         raise ValueError(f"buckets run from 0 to {n - 1}")
     zone = start.tzinfo
-    at = lambda us: dt.datetime.fromtimestamp(0, zone or dt.timezone.utc).replace(
-        tzinfo=zone
-    ) + dt.timedelta(microseconds=us)
+
+    def at(us: int) -> dt.datetime:
+        """The moment in the caller's zone; added up in UTC, where every hour has the same length."""
+        moment = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=us)
+        return moment.astimezone(zone) if zone else moment.replace(tzinfo=None)
+
     from_us = lo - (-first * span // n)
     upto_us = lo - (-(last + 1) * span // n)
     new_start, new_end = at(from_us), at(upto_us - 1)

@@ -125,7 +125,8 @@ def _outcomes(line: Line, rules: Rules) -> set[State]:
                 wall = wall_of(y, mo, d, line.tod)
                 if line.two_digit and wall - line.off * 1_000_000 > rules.anchor + CLAMP_SLACK:
                     wall = add_years(wall, -1)
-                for w in (wall, wall + DAY, add_years(wall, 1)):
+                # The year before: a year guessed from the anchor is taken back if it lies past it.
+                for w in (wall, wall + DAY, add_years(wall, 1), *([add_years(wall, -1)] if line.y is None else [])):
                     out.add(State(w, line.off, line.zone))
     if line.y is None:
         out = {_canonical(s)[0] for s in out}

@@ -111,11 +111,17 @@ def _priority(name: Column) -> Column:
 
 
 def column_fill(df: DataFrame) -> DataFrame:
-    """Per field, rows with a real value (missing, blank and ``-`` do not count), and its priority."""
+    """Per field, rows with a real value (missing, blank and ``-`` do not count), and its priority.
+
+    ``error`` is a field like those in ``attrs``.
+    """
     value = F.col("value")
+    own = F.map_filter("attrs", lambda k, v: k != "error")
+    stated = F.coalesce(F.col("error"), F.col("attrs")["error"], F.lit("")) if "error" in df.columns else F.coalesce(F.col("attrs")["error"], F.lit(""))
+    fields = F.map_concat(F.coalesce(own, F.create_map().cast("map<string,string>")), F.create_map(F.lit("error"), stated))
     real = F.count_if((F.trim(value) != "") & (value != "-"))
     return (
-        df.select(F.explode("attrs").alias("column", "value"))
+        df.select(F.explode(fields).alias("column", "value"))
         .filter(~F.col("column").startswith("_") & (F.col("column") != "timestamp"))
         .groupBy("column")
         .agg(real.alias("filled"))

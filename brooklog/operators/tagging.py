@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brooklog import model
+from brooklog.functions.javaregex import usable
 
 OPERATORS = ("eq", "neq", "contains", "regex", "exists")
+# How a rule is named.
 _SIGN = {"eq": "==", "neq": "!=", "contains": "contains", "regex": "matches regex"}
 
 
@@ -50,11 +51,10 @@ def _test(rule: Rule) -> Column:
     elif rule.operator == "contains":
         test = F.lower(value).contains(rule.value.lower())
     elif rule.operator == "regex":
-        try:
-            re.compile(rule.value)
-        except re.error:
+        pattern = usable(rule.value)
+        if pattern is None:
             return F.lit(False)
-        test = value.rlike(rule.value)
+        test = value.rlike(pattern)
     else:
         return F.lit(False)
     return F.coalesce(test, F.lit(False))

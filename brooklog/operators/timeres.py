@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from brooklog.functions import timeparse as tp
 from brooklog.model import micros
-from brooklog.operators.ordering import KEY, carry, join_blocks, with_seq
+from brooklog.operators.ordering import KEY, NO_SOURCE, carry, join_blocks, restore_keys, settle_keys, with_seq
 from brooklog.operators.recurrence import block_summary, block_times, entering_times
 
 TIME_FIELDS = (
@@ -171,6 +171,23 @@ def _resolve_dated(df: DataFrame) -> DataFrame:
     return out.drop("_wall", "_own", "_last", "_seen")
 
 
+def _offset_of_line() -> Column:
+    """Seconds east of UTC of a line's zone; a named zone's are those of its rules on the line's day.
+
+    What the line leaves out of its day is taken from the anchor, which only matters within a
+    day of a change of the clocks.
+    """
+    wall = tp.wall_micros(
+        F.coalesce("_y", F.year("_anchor")),
+        F.coalesce("_mo", F.month("_anchor")),
+        F.coalesce("_d", F.dayofmonth("_anchor")),
+        F.coalesce("_tod", F.lit(0).cast("bigint")),
+    )
+    fixed = F.col("_zone").rlike(r"^[+-]\d\d:\d\d$")
+    named = ((wall - F.unix_micros(tp.to_utc(wall, F.col("_zone")))) / 1_000_000).cast("int")
+    return F.when(fixed, tp.offset_seconds(F.col("_zone"))).otherwise(F.coalesce(named, F.lit(0)))
+
+
 def _resolve_running(df: DataFrame) -> DataFrame:
     """Follow the clock of each source; see ``recurrence`` for why blocks suffice."""
     lines = df.select(
@@ -180,7 +197,7 @@ def _resolve_running(df: DataFrame) -> DataFrame:
         F.col("_mo").alias("mo"),
         F.col("_d").alias("d"),
         F.col("_tod").alias("tod"),
-        tp.offset_seconds(F.col("_zone")).alias("off"),
+        _offset_of_line().alias("off"),
         F.col("_zone").alias("zone"),
         F.col("_two").alias("two"),
         F.col("_inferred").alias("inferred"),
@@ -189,9 +206,7 @@ def _resolve_running(df: DataFrame) -> DataFrame:
         F.col("_rollover").alias("rollover"),
     )
     # Python work is heavy for its bytes, so the number of tasks is fixed rather than left to
-    # be reduced by size.  The null filter is what the join below would add: stated here, the
-    # summary and the final pass read one and the same shuffle.
-    lines = lines.filter(F.col("_src").isNotNull() & F.col("block").isNotNull())
+    # be reduced by size.
     lines = lines.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
     blocks = lines.groupBy(*KEY).applyInArrow(block_summary, "_src string, block long, summary string")
     entering = blocks.groupBy("_src").applyInArrow(
@@ -226,10 +241,10 @@ def resolve(
     ``modes_of``) leaves out the kinds of source the profile does not have.
     """
     cfg = cfg or TimeConfig(anchor=dt.datetime.now(dt.timezone.utc))
-    inner = df.drop("timestamp", "ts_confidence")
+    inner = settle_keys(df.drop("timestamp", "ts_confidence"))
     if profile is not None:
         settings = profile.select(
-            "_src",
+            F.coalesce("_src", F.lit(NO_SOURCE)).alias("_src"),
             F.col("anchor").alias("_anchor"),
             F.col("rollover").alias("_rollover"),
             (F.col("dated") if "dated" in profile.columns else ~F.col("rollover")).alias("_dated"),
@@ -242,9 +257,9 @@ def resolve(
         if lead_field:
             inner = _lead(inner, F.split(F.col("attrs")[lead_field], r"\|"))
         branches = {
-            "dated": lambda d: _resolve_dated(d.filter("not _synthetic and _dated")),
+            "dated": lambda d: settle_keys(_resolve_dated(d.filter("not _synthetic and _dated"))),
             "running": lambda d: _resolve_running(d.filter("not _synthetic and not _dated")),
-            "synthetic": lambda d: _synthetic(d.filter("_synthetic")),
+            "synthetic": lambda d: settle_keys(_synthetic(d.filter("_synthetic"))),
         }
         wanted = [build(inner) for mode, build in branches.items() if modes is None or mode in modes]
         out = reduce(DataFrame.unionByName, wanted)
@@ -257,6 +272,7 @@ def resolve(
             inner = _line_columns(extract_parts(inner, cfg.source_field, cfg.source_format), cfg)
             out = _resolve_dated(inner) if cfg.dated and not cfg.rollover else _resolve_running(inner)
     helper = ("_anchor", "_rollover", "_dated", "_synthetic", "_field", "_y", "_mo", "_d", "_tod", "_zone", "_two", "_inferred")
+    out = restore_keys(out)
     return out.drop(*helper) if lead_field else out.drop(*helper, "ts_zone")
 
 
@@ -341,7 +357,9 @@ def profile_time(df: DataFrame, mtime: Column | None = None, now: dt.datetime |
 
     Columns: ``status`` (exact, inferred, missing), ``components``, ``year_width``,
     ``anchor_kind``, ``anchor``, ``year_strategy``, ``rollover``, ``source_field``,
-    ``source_format``, ``warning``.  ``mtime`` is the source file's time if known.
+    ``source_format``, ``warning``, ``dated``.  ``mtime`` is the source file's time if known.
+    Only a source whose every timed line carries a full date is ``dated``; in any other, lines
+    borrow what they lack from the line before.
     """
     at = F.struct("block", "line_no")
     moment = now or dt.datetime.now(dt.timezone.utc)
@@ -356,7 +374,14 @@ def profile_time(df: DataFrame, mtime: Column | None = None, now: dt.datetime |
         F.coalesce(_date_year_width(_text("date")), F.lit(0)),
         F.when(F.col("full").isNotNull(), 4).otherwise(0),
     )
+    part = lambda name: F.coalesce(F.col(f"p.{name}"), F.lit(0)) == 0
+    timed = _text("time").isNotNull() | _text("hour").isNotNull()
+    whole_date = (_date_year_width(_text("date")) >= 4) | ((F.length(_text("year")) >= 4) & _text("month").isNotNull() & _text("day").isNotNull())
+    lacking = F.when(_text("timestamp").isNotNull(), F.col("p").isNotNull() & (part("y") | part("mo") | part("d"))).otherwise(
+        timed & ~F.coalesce(whole_date, F.lit(False))
+    )
     stats = rows.groupBy("_src").agg(
+        F.count_if(F.col("matched") & lacking).alias("lacking"),
         F.max(year_width).alias("year_width"),
         F.min_by("full", F.when(F.col("full").isNotNull(), at)).alias("first_full"),
         F.max("mtime").alias("mtime"),
@@ -398,6 +423,7 @@ def profile_time(df: DataFrame, mtime: Column | None = None, now: dt.datetime |
         F.when(picked, F.col("best")).alias("source_field"),
         F.when(picked & (F.col("best_format") != "auto"), F.col("best_format")).alias("source_format"),
         warning.alias("warning"),
+        ((F.col("year_width") >= 4) & (has["timestamp"] | has["date"]) & (F.col("lacking") == 0)).alias("dated"),
     )
 
 

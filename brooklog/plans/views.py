@@ -15,7 +15,8 @@ from brooklog.functions.relative import window_of
 from brooklog.operators import display, paging, tagging
 from brooklog.operators.histogram import bucket_of
 
-MAX_VIEWS = 200
+#: Views tested side by side in one scan; more go in further scans.
+VIEWS_PER_SCAN = 200
 
 
 @dataclass(frozen=True)
@@ -52,8 +53,11 @@ class View:
 
 def _hits(df: DataFrame, views: Sequence[View], now: dt.datetime) -> DataFrame:
     """One row per (row, matching view).  The scan itself is bounded by the union of the windows."""
-    if len(views) > MAX_VIEWS or len({v.id for v in views}) < len(views):
-        raise ValueError(f"at most {MAX_VIEWS} views, each with its own id")
+    if len({v.id for v in views}) < len(views):
+        raise ValueError("each view needs its own id")
+    if len(views) > VIEWS_PER_SCAN:
+        groups = [views[i : i + VIEWS_PER_SCAN] for i in range(0, len(views), VIEWS_PER_SCAN)]
+        return reduce(DataFrame.unionByName, [_hits(df, g, now) for g in groups])
     windows = [v.window(now) for v in views]
     lo, hi = min(w[0] for w in windows), max(w[1] for w in windows)
     hits = [
@@ -72,14 +76,22 @@ def view_histograms(df: DataFrame, views: Sequence[View], now: dt.datetime) -> D
 
 
 def run_views(df: DataFrame, views: Sequence[View], now: dt.datetime) -> DataFrame:
-    """Per view: count, first and last time, and its histogram (bucket -> count, at most 100 entries)."""
+    """Per view: count, first and last time, and its histogram (bucket -> count, at most 100 entries).
+
+    A view that shows nothing has a count of 0, no times and an empty histogram.
+    """
     entry = F.struct("bucket", "count")
-    return view_histograms(df, views, now).groupBy("view_id").agg(
+    shown = view_histograms(df, views, now).groupBy("view_id").agg(
         F.sum("count").alias("count"),
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("histogram"),
     )
+    asked = df.sparkSession.createDataFrame([(v.id,) for v in views], "view_id string")
+    nothing = F.map_from_entries(F.array().cast("array<struct<k:bigint,v:bigint>>"))
+    return asked.join(shown, "view_id", "left").withColumns(
+        {"count": F.coalesce("count", F.lit(0).cast("long")), "histogram": F.coalesce("histogram", nothing)}
+    )
 
 
 def view_page(df: DataFrame, view: View, now: dt.datetime, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -91,8 +103,3 @@ def view_page(df: DataFrame, view: View, now: dt.datetime, limit: int = 100, off
         return rows
     tags = ["tag", "tag_rule"] if view.rules else []
     return display.select_columns(rows, [*view.columns, *tags])
-
-
-def any_view(views: Sequence[View], now: dt.datetime) -> Column:
-    """Rows that some view shows."""
-    return reduce(Column.__or__, [v.test(now) for v in views], F.lit(False))

@@ -25,9 +25,9 @@ from brooklog.operators import ordering, timeres
 from brooklog.operators.fold import is_header
 from brooklog.plans.ingest import IngestOptions, finish, parse
 from brooklog.session import settle
+from brooklog.sources import store
 
 FLUSH_INTERVAL = "250 milliseconds"
-FLUSH_LINES = 250
 IDLE_TIMEOUT = "60 minutes"
 
 _RECORDS = "_src string, block long, line_no long, line string, source_mtime timestamp"
@@ -124,6 +124,17 @@ def _carried(spark: SparkSession, state_path: str, before: int) -> DataFrame:
     return newest.select("r.*").drop("batch")
 
 
+def _forget(spark: SparkSession, state_path: str, number: int) -> None:
+    """Drop carry tables that no batch can read again: all but this batch's and the one before it."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(state_path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [f.getPath() for f in system.listStatus(root) if f.getPath().getName().startswith("batch=")]
+    held = sorted(folders, key=lambda f: int(f.getName().split("=")[1]))
+    for folder in [f for f in held if int(f.getName().split("=")[1]) < number][:-1]:
+        system.delete(folder, True)
+
+
 def resolve_batch(records: DataFrame, carried: DataFrame, opts: IngestOptions, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Resolve and number the records of one batch given what their sources carried in.
 
@@ -147,7 +158,7 @@ def resolve_batch(records: DataFrame, carried: DataFrame, opts: IngestOptions, n
             "_src",
             "anchor",
             "rollover",
-            (~F.col("rollover")).alias("dated"),
+            "dated",
             (F.col("status") == "missing").alias("synthetic"),
             "source_field",
         )
@@ -232,13 +243,15 @@ def live_ingest(
         records = settle(parse(batch, ing))
         if records.isEmpty():
             return
-        rows, carry = resolve_batch(records, _carried(spark, state_path, number), ing, now())
+        past = _carried(spark, state_path, number)
+        rows, carry = resolve_batch(records, past, ing, now())
         stored = finish(rows, ing)
-        carry = carry.withColumn("batch", F.lit(number).cast("long"))
-        day_parts = stored.withColumn("batch", F.lit(number).cast("long"))
-        writer = day_parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("log_date", "batch").parquet(path)
+        # Each carry table holds every source, so that older ones can go once this one is written.
+        whole = carry.unionByName(past.join(carry.select("_src"), "_src", "left_anti"))
+        carry = settle(whole).withColumn("batch", F.lit(number).cast("long"))
+        store.replace_batch(stored, path, number)
         carry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(state_path)
+        _forget(spark, state_path, number)
         if publish is not None:
             publish(stored.drop("_seq"), number)
 
@@ -299,7 +312,7 @@ def order_by_arrival(stream: DataFrame, src: str = "_src", value: str = "value",
 
 def stream_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows a live ingest has stored."""
-    return spark.read.parquet(path).drop("batch")
+    return store.read_store(spark, path)
 
 
 def latest_per_source(rows: DataFrame, n: int) -> DataFrame:

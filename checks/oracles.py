@@ -50,6 +50,14 @@ def _buckets(lo: int, hi: int, n: int = 100) -> str:
       FROM range({n}) r(i) LEFT JOIN c ON c.bucket = r.i"""
 
 
+def _drill_dst() -> str:
+    """12:00 EST on 9 March to 12:00 EDT on 11 March is 47 hours; buckets 10 to 89 of 100 of them, over moved events."""
+    lo, hi = 1710003600000000, 1710172800000000
+    span = hi - lo + 1
+    moved = E.replace("e AS (", "e0 AS (", 1) + f", e AS (SELECT us + {60 * DAY} AS us FROM e0)"
+    return _with(moved, ", " + _buckets(lo - (-10 * span // 100), lo - (-90 * span // 100) - 1))
+
+
 def _auto(rows: str) -> str:
     return f"""WITH r AS ({rows}), s AS (SELECT min(us) AS lo, max(us) AS hi, (max(us) - min(us)) * 1000 AS span FROM r),
       w AS (SELECT *, greatest(span // 100, 1000000000) AS w0 FROM s),
@@ -118,6 +126,11 @@ VIEWS = "v AS (" + " UNION ALL ".join(
     for v, test, lo, hi in VIEW_SPECS
 ) + ")"
 
+FILL = """SELECT 'user_id' AS name, count(user_id) AS filled, 55 AS priority FROM e
+        UNION ALL SELECT 'value', count(*) FILTER (WHERE trim(vtxt) NOT IN ('', '-')), 30 FROM e
+        UNION ALL SELECT 'k', count(*) FILTER (WHERE trim(k) NOT IN ('', '-')), 30 FROM e
+        UNION ALL SELECT 'error', count(*) FILTER (WHERE false), 30 FROM e"""
+
 STAMPED = "CAST(ts AS TIMESTAMP)"
 SECONDS = f"epoch_us(date_trunc('second', {STAMPED}))"
 
@@ -148,14 +161,15 @@ ORACLES: dict[str, str] = {
     "distribution_auto_orders": _auto("SELECT epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS us, o_orderpriority AS src FROM orders"),
     "drill": _with(E, ", " + _buckets(START + -(-20 * (END - START + 1) // 100), START + -(-41 * (END - START + 1) // 100) - 1)),
     "fit_window": f"SELECT epoch_us(date_trunc('day', min(ts))) - {DAY} AS start_us, epoch_us(date_trunc('day', max(ts))) + {2 * DAY - 1000000} AS end_us FROM events",
-    "available_columns": "SELECT unnest(['timestamp', '_raw', '_src', '_id', 'user_id', 'value', 'k']) AS name FROM (SELECT count(*) AS n FROM events) WHERE n > 0",
+    "available_columns": _with(E, """, c AS (SELECT count(*) AS n, count(user_id) AS u, count(value) AS v, count(k) AS k FROM e)
+        SELECT name FROM (SELECT unnest(['timestamp', '_raw', '_src', '_id']) AS name, n FROM c UNION ALL SELECT 'user_id', u FROM c
+          UNION ALL SELECT 'value', v FROM c UNION ALL SELECT 'k', k FROM c) WHERE n > 0"""),
     "facets": _with(E, """, p AS (SELECT 'user_id' AS field, CAST(user_id AS VARCHAR) AS value FROM e UNION ALL SELECT 'k', k FROM e UNION ALL SELECT '_src', src FROM e),
         c AS (SELECT field, value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM c)
         SELECT field, value, n, rank FROM r WHERE rank <= 5"""),
-    "column_fill": _with(E, """SELECT 'user_id' AS name, count(user_id) AS filled, 55 AS priority FROM e
-        UNION ALL SELECT 'value', count(*) FILTER (WHERE trim(vtxt) NOT IN ('', '-')), 30 FROM e UNION ALL SELECT 'k', count(*) FILTER (WHERE trim(k) NOT IN ('', '-')), 30 FROM e"""),
-    "default_columns": "SELECT unnest(['user_id', 'k']) AS name FROM (SELECT count(*) AS n FROM events) WHERE n > 0",
+    "column_fill": _with(E, FILL),
+    "default_columns": _with(E, f"SELECT name FROM ({FILL}) ORDER BY filled = 0, priority DESC, name LIMIT 2".replace(", SELECT", " SELECT")),
     "match_all": "SELECT doc_id FROM documents",
     "term": _docs(f"list_contains({_tok('text')}, 'was') OR list_contains({_tok('source')}, 'was') OR lang = 'was'"),
     "field_term": _docs("lang = 'fr'"),
@@ -180,8 +194,22 @@ ORACLES: dict[str, str] = {
     "in_last": _with(E, f"SELECT event_id FROM e WHERE us BETWEEN {NOW - 7 * DAY} AND {NOW}"),
     "in_last_units": _with(E, f"SELECT event_id FROM e WHERE us BETWEEN {NOW - 7 * DAY} AND {NOW} AND NOT us BETWEEN {NOW - 30 * 3600000000} AND {NOW}"),
     "select_columns": _with(E, "SELECT us AS ts_us, k, src FROM e"),
-    "in_zone": "SELECT event_id, strftime(CAST(ts AS TIMESTAMP) - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS shown FROM events",
-    "highlight": _with(E, rf"SELECT event_id, regexp_replace(raw, '(error|user1[0-9])', '<b>\1</b>', 'g') AS highlighted FROM (SELECT * FROM e WHERE {ASKED} ORDER BY us DESC, event_id DESC LIMIT 100)"),
+    "in_zone": """SELECT event_id, strftime(t - CASE WHEN t >= TIMESTAMP '2024-03-10 07:00:00' AND t < TIMESTAMP '2024-11-03 06:00:00' THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END,
+        '%Y-%m-%d %H:%M:%S') AS shown FROM (SELECT event_id, CAST(ts AS TIMESTAMP) + to_days(CAST(event_id % 340 AS INTEGER)) AS t FROM events)""",
+    "null_source": """SELECT event_id, nullif(event_type, 'error') AS src, row_number() OVER w AS seq,
+        last_value(CASE WHEN event_id % 3 = 0 THEN event_id END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held
+        FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)""",
+    "in_window_zone": "SELECT event_id FROM events WHERE CAST(ts AS TIMESTAMP) BETWEEN TIMESTAMP '2024-01-05 01:00:00' AND TIMESTAMP '2024-01-05 04:00:00'",
+    "in_last_zone": "SELECT event_id FROM events WHERE CAST(ts AS TIMESTAMP) BETWEEN TIMESTAMP '2024-01-04 12:00:00' AND TIMESTAMP '2024-01-04 21:00:00'",
+    "retain_zone": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1",
+    "drill_dst": _drill_dst(),
+    "mixed_dates": f"""SELECT event_id, epoch_us(CAST(last_value(CASE WHEN user_id < 70 OR event_id < 60 THEN CAST(s AS DATE) END IGNORE NULLS)
+          OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS TIMESTAMP)) + epoch_us(s) % {DAY} AS ts_us,
+        CASE WHEN user_id < 40 OR event_id < 60 THEN 'exact' ELSE 'inferred' END AS confidence
+        FROM (SELECT *, date_trunc('second', CAST(ts AS TIMESTAMP)) AS s FROM events)""",
+    "store_days": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n, CAST(sum(length(event_type)) AS BIGINT) AS n_bytes
+        FROM (SELECT CAST(ts AS DATE) AS ts, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""",
+    "highlight": _with(E, rf"SELECT event_id, regexp_replace(raw, '(error|user1[0-9])', '<b>\1</b>', 'g') AS highlighted FROM e WHERE {ASKED}"),
     "extract_fields": _with(LINES, f""", m AS (SELECT *, regexp_matches(raw, '{PLAIN_RE}') AS matched FROM l)
         SELECT event_id AS line_no, matched, CASE WHEN NOT matched THEN 'Log line did not match the ''plain'' pattern' END AS error,
           {", ".join(f"CASE WHEN matched THEN regexp_extract(raw, '{PLAIN_RE}', {i}) END AS f_{n}" for i, n in enumerate(("timestamp", "type", "user", "k"), 1))},
@@ -257,7 +285,7 @@ ORACLES: dict[str, str] = {
           CASE WHEN confidence = 'exact' THEN strftime(make_timestamp(ts_us), '%Y-%m-%d %H:%M:%S') END AS captured FROM r WHERE n <= 5"""),
     "tag_rows": _with(E + ", " + TAG, "SELECT event_id, tag, CASE tag " + " ".join(f"WHEN '{t}' THEN '{x}'" for t, x in TITLES.items()) + " END AS tag_rule FROM t"),
     "tag_counts": _with(E + ", " + TAG, "SELECT tag, count(*) AS n FROM t GROUP BY 1"),
-    "run_views": _with(E + ", " + VIEWS, "SELECT view_id, count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(DISTINCT bucket) AS n_buckets FROM v GROUP BY 1"),
+    "run_views": _with(E + ", " + VIEWS, "SELECT view_id, count(*) AS n, min(us) AS first_us, max(us) AS last_us, count(DISTINCT bucket) AS n_buckets FROM v GROUP BY 1 UNION ALL SELECT 'none', count(*), min(us), max(us), 0 FROM e WHERE list_contains(regexp_split_to_array(lower(raw), '[^a-z0-9_]+'), 'nowhere')"),
     "view_buckets": _with(E + ", " + VIEWS, "SELECT view_id, bucket, count(*) AS n FROM v GROUP BY 1, 2"),
     "view_page": _with(E, rf"""SELECT us AS ts_us, CAST(user_id AS VARCHAR) AS user_id, vtxt AS value,
           CASE WHEN regexp_matches(vtxt, '^9[0-9]\.') THEN 'high' WHEN contains(raw, 'user1') THEN 'ones' WHEN k <> '5' THEN 'rest' ELSE 'any' END AS tag
@@ -268,7 +296,7 @@ ORACLES: dict[str, str] = {
     "delete_count": "SELECT count(*) AS n_deleted FROM events WHERE user_id < 20",
     "retain": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1",
     "validate_lines": _with(DL, "SELECT CASE WHEN strlen(line) <= 400 THEN 'ok' ELSE 'rejected' END AS kind, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM dl GROUP BY 1"),
-    "export_rows": _with(E, f"SELECT id, value, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts FROM e WHERE {ASKED} ORDER BY us DESC, event_id DESC LIMIT 500"),
+    "export_rows": _with(E, f"SELECT id, value, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts FROM e WHERE {ASKED}"),
     "skipped_while_paused": _with(E, f""", p AS (SELECT n_name AS viewer, 1704067200000000 + n_nationkey * {DAY} AS lo FROM nation)
         SELECT viewer, src, count(*) AS skipped FROM p JOIN e ON us BETWEEN lo AND lo + {DAY * 3 // 2} GROUP BY 1, 2"""),
     "search_page": _with(E, f"SELECT id AS _id, vtxt AS value FROM e WHERE {ASKED} ORDER BY value ASC, event_id ASC LIMIT 50 OFFSET 10".replace("ORDER BY value", "ORDER BY e.value")),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +122,58 @@ def available_columns(spark: SparkSession, sf: str) -> DataFrame:
     return summary.available_columns(event_log(spark, sf)).select(F.col("column").alias("name"))
 
 
+def null_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a source are numbered and carried like a source of their own."""
+    df = timed_events(spark, sf, value=F.col("value")).withColumn("_src", F.nullif("_src", F.lit("error")))
+    held = ordering.carry(ordering.with_seq(df), {"held": F.when(F.col("line_no") % 3 == 0, F.col("line_no"))})
+    return held.select(F.col("line_no").alias("event_id"), F.col("_src").alias("src"), F.col("_seq").alias("seq"), "held")
+
+
+def in_window_zone(spark: SparkSession, sf: str) -> DataFrame:
+    """A window stated in New York, over the end of a UTC day."""
+    start = dt.datetime(2024, 1, 4, 20, tzinfo=ZoneInfo("America/New_York"))
+    return event_log(spark, sf).filter(q.in_window(start, start.replace(hour=23))).select(F.col("_seq").alias("event_id"))
+
+
+def in_last_zone(spark: SparkSession, sf: str) -> DataFrame:
+    """The last nine hours as asked in Tokyo on the morning of a day that has not begun in UTC."""
+    now = dt.datetime(2024, 1, 5, 6, tzinfo=ZoneInfo("Asia/Tokyo"))
+    return event_log(spark, sf).filter(relative.in_last(9, "hours", now)).select(F.col("_seq").alias("event_id"))
+
+
+def retain_zone(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten days before 2 a.m. in Tokyo is still the day before in UTC."""
+    kept = store.retain(event_log(spark, sf), dt.timedelta(days=10), dt.datetime(2024, 1, 25, 2, tzinfo=ZoneInfo("Asia/Tokyo")))
+    return kept.groupBy(F.col("log_date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def drill_dst(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets of a day of 23 hours."""
+    moved = event_log(spark, sf).withColumn("timestamp", F.timestamp_micros(us("timestamp") + 60 * 86_400_000_000))
+    zone = ZoneInfo("America/New_York")
+    start, end = dt.datetime(2024, 3, 9, 12, tzinfo=zone), dt.datetime(2024, 3, 11, 12, tzinfo=zone)
+    return _dist(histogram.drill(model.with_log_date(moved), start, end, 10, 89)[2])
+
+
+def mixed_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Full dates, dates without a year and bare times in one source, settled by its profile.
+
+    A source with full dates has no rollover, so a bare time takes the last day that was named.
+    """
+    full = (F.col("user_id") < 40) | (F.col("event_id") < 60)
+    df = timed_events(
+        spark, sf, timestamp=F.when(full, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(F.col("user_id") < 70, F.date_format("ts", "MMM dd HH:mm:ss")),
+        time=F.when(~full & (F.col("user_id") >= 70), F.date_format("ts", "HH:mm:ss")),
+    )
+    return _resolved(timeres.resolve(df, profile=timeres.profile_time(df, now=NOW)))
+
+
+def store_days(spark: SparkSession, sf: str) -> DataFrame:
+    """The overview of a store, with made-up file names and sizes."""
+    rows = event_log(spark, sf).withColumns({"file": F.concat_ws("/", "log_date", "_src"), "size": F.length("_src").cast("long")})
+    return store.info(rows)["days"].select(F.col("log_date").cast("string").alias("day"), F.col("rows").alias("n"), F.col("bytes").alias("n_bytes"))
+
+
 def drill(spark: SparkSession, sf: str) -> DataFrame:
     return _dist(histogram.drill(event_log(spark, sf), START, END, 40, 20)[2])
 
@@ -341,13 +394,14 @@ def one_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def in_zone(spark: SparkSession, sf: str) -> DataFrame:
-    shown = relative.in_zone("timestamp", "America/New_York")
+    """Wall clocks over a whole year, with both changes of the clocks."""
+    shown = relative.in_zone(F.timestamp_micros(us("timestamp") + (F.col("_seq") % 340) * 86_400_000_000), "America/New_York")
     return event_log(spark, sf).select(F.col("_seq").alias("event_id"), F.date_format(shown, "yyyy-MM-dd HH:mm:ss").alias("shown"))
 
 
 def highlight(spark: SparkSession, sf: str) -> DataFrame:
     marks = [display.Mark("ERROR"), display.Mark(r"user1\d", is_regex=True), display.Mark("2024", excluded=True)]
-    rows = display.highlight(paging.page(asked(event_log(spark, sf)), 100), marks)
+    rows = display.highlight(asked(event_log(spark, sf)), marks)
     return rows.select(F.col("_seq").alias("event_id"), "highlighted")
 
 
@@ -392,7 +446,7 @@ def validate_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def export_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Export read back: only the JSON text is looked at."""
-    text = store.export_frame(asked(event_log(spark, sf)), 500)
+    text = store.export_frame(asked(event_log(spark, sf)))
     get = lambda k: F.get_json_object("value", f"$.{k}")
     return text.select(get("_id").alias("id"), get("value").cast("double").alias("value"), get("timestamp").alias("ts"))
 
@@ -497,6 +551,13 @@ QUERIES: dict[str, Query] = {
     "forced_date": forced_date,
     "synthetic_ts": synthetic_ts,
     "profile_time": profile_time,
+    "mixed_dates": mixed_dates,
+    "null_source": null_source,
+    "in_window_zone": in_window_zone,
+    "in_last_zone": in_last_zone,
+    "retain_zone": retain_zone,
+    "drill_dst": drill_dst,
+    "store_days": store_days,
     "time_candidates": time_candidates,
     "time_quality": time_quality,
     "time_examples": time_examples,

@@ -29,52 +29,53 @@ def two_sources(spark):
     return log(
         spark,
         [
-            (T0, "GET /checkout returned 503 from upstream", "nginx.access.log", {"method": "GET", "url": "/checkout", "status": "503"}),
-            (T0 + MIN, "GET /health returned 200", "nginx.access.log", {"method": "GET", "url": "/health", "status": "200"}),
-            (T0 + 2 * MIN, "billing worker connection timeout after retry", "app.service.log",
-             {"level": "error", "service": "billing-worker", "message": "connection timeout after retry", "deployment": "blue canary"}),
-            (T0 + 3 * MIN, "billing worker completed request", "app.service.log",
-             {"level": "info", "service": "billing-worker", "message": "completed request"}),
+            (T0, "pump 4 refused valve order code 731", "north.station.log", {"pump": "4", "kind": "/Refused", "code": "731"}),
+            (T0 + MIN, "pump 4 took valve order code 204", "north.station.log", {"pump": "4", "kind": "/Took", "code": "204"}),
+            (T0 + 2 * MIN, "night crew lost radio contact near quarry", "crew.radio.log",
+             {"level": "alarm", "crew": "night-crew", "message": "radio contact lost near quarry", "zone": "red falcon"}),
+            (T0 + 3 * MIN, "night crew closed the round", "crew.radio.log",
+             {"level": "calm", "crew": "night-crew", "message": "closed the round"}),
         ],
     ).cache()
 
 
 CASES = [
-    (lambda: q.num_range("status", ge=500), [0]),
-    (lambda: q.num_eq(503, "status"), [0]),
-    (lambda: q.num_eq(503), [0]),
-    (lambda: q.num_range("status", gt=200), [0]),
-    (lambda: q.num_range("status", lt=503, ge=200), [1]),
-    (lambda: q.num_range("status", le=503), [0, 1]),
-    (lambda: q.phrase("connection timeout", "message"), [2]),
-    (lambda: q.phrase("connection timeout"), [2]),
-    (lambda: q.phrase("timeout connection", "message"), []),
-    (lambda: q.phrase("retry blue"), []),  # neighbours only across two fields
-    (lambda: q.phrase("conection timeuot", fuzziness=2), [2]),
-    (lambda: q.phrase("conection timeuot", "message", fuzziness=1), []),
-    (lambda: q.phrase("..."), []),
-    (lambda: q.term("canary"), [2]),
-    (lambda: q.term("CANARY"), [2]),
-    (lambda: q.term("canar"), []),
-    (lambda: q.phrase("blue canary"), [2]),
-    (lambda: q.wildcard("canar*"), [2]),
-    (lambda: q.wildcard("*anary"), [2]),
-    (lambda: q.wildcard("c?nary"), [2]),
-    (lambda: q.regex("canar.*"), [2]),
-    (lambda: q.regex("anar"), []),
-    (lambda: q.regex("worker con", on="text"), [2]),
-    (lambda: q.fuzzy("canarz", 1), [2]),
-    (lambda: q.fuzzy("kanarz", 1), []),
-    (lambda: q.all_of(q.term("error", "level"), q.term("canary", "deployment")), [2]),
-    (lambda: q.any_of(q.term("error", "level"), q.term("503")), [0, 2]),
-    (lambda: q.none_of(q.term("error", "level")), [0, 1, 3]),
+    (lambda: q.num_range("code", ge=700), [0]),
+    (lambda: q.num_range("code", gt=204), [0]),
+    (lambda: q.num_range("code", ge=204, lt=731), [1]),
+    (lambda: q.num_range("code", le=731), [0, 1]),
+    (lambda: q.num_eq(731, "code"), [0]),
+    (lambda: q.num_eq(731), [0]),
+    (lambda: q.num_eq(4, "pump"), [0, 1]),
+    (lambda: q.phrase("radio contact"), [2]),
+    (lambda: q.phrase("radio contact", "message"), [2]),
+    (lambda: q.phrase("contact radio", "message"), []),
+    (lambda: q.phrase("quarry red"), []),  # neighbours only across two fields
+    (lambda: q.phrase("raido contcat", fuzziness=2), [2]),
+    (lambda: q.phrase("raido contcat", "message", fuzziness=1), []),
+    (lambda: q.phrase("--"), []),
+    (lambda: q.phrase("red falcon"), [2]),
+    (lambda: q.term("falcon"), [2]),
+    (lambda: q.term("FALCON"), [2]),
+    (lambda: q.term("falco"), []),
+    (lambda: q.wildcard("falc*"), [2]),
+    (lambda: q.wildcard("*alcon"), [2]),
+    (lambda: q.wildcard("f?lcon"), [2]),
+    (lambda: q.regex("falc.*"), [2]),
+    (lambda: q.regex("alco"), []),
+    (lambda: q.regex("crew lost", on="text"), [2]),
+    (lambda: q.fuzzy("falcom", 1), [2]),
+    (lambda: q.fuzzy("valcom", 1), []),
+    (lambda: q.all_of(q.term("alarm", "level"), q.term("falcon", "zone")), [2]),
+    (lambda: q.any_of(q.term("alarm", "level"), q.term("731")), [0, 2]),
+    (lambda: q.none_of(q.term("alarm", "level")), [0, 1, 3]),
     (lambda: q.match_all(), [0, 1, 2, 3]),
-    (lambda: q.from_sources(["nginx.access.log"]), [0, 1]),
-    (lambda: q.from_sources(["access"]), []),
-    (lambda: q.from_sources(["access"], exact=False), [0, 1]),
+    (lambda: q.from_sources(["north.station.log"]), [0, 1]),
+    (lambda: q.from_sources(["station"]), []),
+    (lambda: q.from_sources(["station"], exact=False), [0, 1]),
     (lambda: q.from_sources([]), []),
     (lambda: q.from_sources(None), [0, 1, 2, 3]),
-    (lambda: q.term("error", "level") & q.from_sources(["app.service.log"]), [2]),
+    (lambda: q.term("calm", "level") & q.from_sources(["crew.radio.log"]), [3]),
     (lambda: q.ts_range(gt=T0, lt=T0 + 2 * MIN), [1]),
     (lambda: q.in_window(T0, T0 + MIN), [0, 1]),
     (lambda: q.in_window(T0 + MIN, T0), []),
@@ -166,7 +167,7 @@ def test_histogram_buckets(spark):
 def test_column_summaries(spark):
     df = log(spark, [(T0, "r", "s", {"ident": "-", "level": "x", "zeta": "1", "alpha": " ", "_hid": "1"}), (T0, "r", "s", {"level": "y", "auth": "q"})])
     fill = {r.column: r.filled for r in summary.column_fill(df).collect()}
-    assert fill == {"ident": 0, "level": 2, "zeta": 1, "alpha": 0, "auth": 1}
+    assert fill == {"ident": 0, "level": 2, "zeta": 1, "alpha": 0, "auth": 1, "error": 0}
     assert [r.column for r in summary.default_columns(df, 4).collect()] == ["level", "zeta", "auth", "alpha"]
     top = {(r.source, r.is_top): r["count"] for r in summary.top_sources(log(spark, [(T0, "r", s, {}) for s in "aaabbc"]), 2).collect()}
     assert top == {("a", True): 3, ("b", True): 2, ("other", False): 1}
@@ -177,17 +178,18 @@ def test_column_summaries(spark):
 def test_first_rule_wins(two_sources):
     rules = [
         tagging.Rule("level", "regex", "(", "bad"),
-        tagging.Rule("level", "eq", "ERROR", "off", enabled=False),
-        tagging.Rule("level", "eq", "ERROR", "red"),
-        tagging.Rule("message", "contains", "RETRY", "late"),
-        tagging.Rule("level", "neq", "error", "other"),
-        tagging.Rule("url", "regex", "^/Check", "case"),
-        tagging.Rule("url", "exists", "", "web"),
+        tagging.Rule("level", "eq", "ALARM", "off", enabled=False),
+        tagging.Rule("level", "eq", "ALARM", "red"),
+        tagging.Rule("message", "contains", "QUARRY", "late"),
+        tagging.Rule("level", "neq", "alarm", "other"),
+        tagging.Rule("kind", "regex", "^/refused", "case"),
+        tagging.Rule("kind", "regex", r"^/(?P<word>\p{Lu}ook)$", "taken"),
+        tagging.Rule("kind", "exists", "", "pumps"),
     ]
     got = tagging.tag(two_sources, rules).orderBy("_seq").collect()
-    assert [r.tag for r in got] == ["web", "web", "red", "other"]
-    assert got[2].tag_rule == 'Rule: level == "ERROR"' and got[0].tag_rule == "Rule: url exists"
-    assert {r.tag: r["count"] for r in tagging.tag_counts(two_sources, rules).collect()} == {"web": 2, "red": 1, "other": 1}
+    assert [r.tag for r in got] == ["pumps", "taken", "red", "other"]
+    assert got[2].tag_rule == 'Rule: level == "ALARM"' and got[0].tag_rule == "Rule: kind exists"
+    assert {r.tag: r["count"] for r in tagging.tag_counts(two_sources, rules).collect()} == {"pumps": 1, "taken": 1, "red": 1, "other": 1}
 
 
 def test_highlight(spark):
@@ -202,8 +204,8 @@ def test_highlight(spark):
 
 
 def test_columns_and_zone(two_sources):
-    df = display.select_columns(two_sources, ["status", "timestamp", "_src"])
-    assert df.columns == ["timestamp", "status", "_src"]
+    df = display.select_columns(two_sources, ["code", "timestamp", "_src"])
+    assert df.columns == ["timestamp", "code", "_src"]
     assert str(two_sources.select(relative.in_zone("timestamp", "America/New_York")).first()[0]) == "2024-01-15 05:00:00"
 
 
@@ -232,15 +234,53 @@ def test_relative_windows():
 def test_views_in_one_scan(two_sources):
     now = T0 + 10 * MIN
     views = [
-        View("errors", q.term("error", "level")),
-        View("web", sources=("nginx.access.log",), preset=None, start=T0, end=T0 + MIN),
-        View("tail", preset="custom", count=8, unit="minutes", columns=("level",), rules=tagging.DEFAULT_RULES),
+        View("alarms", q.term("alarm", "level")),
+        View("pumps", sources=("north.station.log",), preset=None, start=T0, end=T0 + MIN),
+        View("tail", preset="custom", count=8, unit="minutes", columns=("level",), rules=(tagging.Rule("level", "eq", "ALARM", "red"),)),
         View("nothing", q.term("zzz")),
     ]
     got = {r.view_id: r for r in run_views(two_sources, views, now).collect()}
-    assert {k: v["count"] for k, v in got.items()} == {"errors": 1, "web": 2, "tail": 2}
-    assert sum(got["web"].histogram.values()) == 2
+    assert {k: v["count"] for k, v in got.items()} == {"alarms": 1, "pumps": 2, "tail": 2, "nothing": 0}
+    assert sum(got["pumps"].histogram.values()) == 2
     page = view_page(two_sources, views[2], now).collect()
-    assert [(r.level, r.tag) for r in page] == [("info", None), ("error", "red")]
+    assert [(r.level, r.tag) for r in page] == [("calm", None), ("alarm", "red")]
     with pytest.raises(ValueError):
         run_views(two_sources, [views[0], views[0]], now)
+
+
+def test_windows_in_other_zones(spark):
+    """Bounds in any zone find what the same moments in UTC find, with and without pruning by day."""
+    from zoneinfo import ZoneInfo
+
+    df = log(spark, [(dt.datetime(2031, 3, 9, tzinfo=dt.timezone.utc) + dt.timedelta(hours=i), "r", "s", {}) for i in range(72)])
+    for zone in ("America/New_York", "Asia/Tokyo", "Australia/Lord_Howe"):
+        start = dt.datetime(2031, 3, 9, 20, tzinfo=ZoneInfo(zone))
+        end = start.replace(hour=23)
+        want = df.filter(q.in_window(start.astimezone(dt.timezone.utc), end.astimezone(dt.timezone.utc))).count()
+        assert df.filter(q.in_window(start, end)).count() == df.filter(q.in_window(start, end, prune=False)).count() == want == 4
+
+
+def test_drill_over_a_change_of_the_clocks(spark):
+    from zoneinfo import ZoneInfo
+
+    df = log(spark, [(T0, "r", "s", {})])
+    for day in (dt.datetime(2031, 7, 1), dt.datetime(2031, 3, 9), dt.datetime(2031, 11, 2)):
+        start = day.replace(tzinfo=ZoneInfo("America/New_York"))
+        end = start + dt.timedelta(days=1)
+        got = histogram.drill(df, start, end, 0, histogram.bucket_count(start, end) - 1)
+        assert (got[0], got[1]) == (start, end) and got[0].tzinfo == start.tzinfo
+
+
+def test_error_is_a_column_to_fill(spark):
+    df = log(spark, [(T0, "a", "s", {"level": "x"}), (T0, "b", "s", {"level": "-"}), (T0, "c", "s", {})]).withColumn("error", F.when(F.col("_raw") == "b", "no match"))
+    got = {r.column: r.filled for r in summary.column_fill(df).collect()}
+    assert got == {"level": 1, "error": 1}
+
+
+def test_more_views_than_one_scan(spark, two_sources, monkeypatch):
+    from brooklog.plans import views as vw
+
+    monkeypatch.setattr(vw, "VIEWS_PER_SCAN", 3)
+    views = [View(f"v{i}", preset="custom", count=i + 1, unit="minutes") for i in range(8)]
+    got = {r.view_id: r["count"] for r in run_views(two_sources, views, T0 + 4 * MIN).collect()}
+    assert got == {f"v{i}": min(i + 1, 4) for i in range(8)}

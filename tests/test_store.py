@@ -150,3 +150,33 @@ def test_too_long_line_stops_the_ingest(spark, tmp_path):
     (tmp_path / "in" / "x.log").write_text("ok\n" + "y" * (li.MAX_LINE_BYTES + 1) + "\n")
     with pytest.raises(Exception, match="2 MiB"):
         ingest(spark, str(tmp_path / "in"), IngestOptions(), str(tmp_path / "store"))
+
+def test_one_store_for_files_and_streams(spark, rows, tmp_path):
+    """Rows of files and of stream batches share days; every way of changing the store keeps it readable."""
+    path = str(tmp_path / "store")
+    store.replace_batch(rows.filter("_seq < 5").withColumn("_urls", F.array(F.lit("http://x"))), path, 0)
+    store.append(rows.filter("_seq >= 5"), path)
+    assert store.read_store(spark, path).count() == 9
+    assert store.read_store(spark, path).filter("_urls is not null").count() == 5
+    store.replace_batch(rows.filter("_seq < 5"), path, 0)  # the same batch runs again
+    assert store.read_store(spark, path).count() == 9
+    ids = [r._id for r in rows.filter("_seq in (0, 3, 8)").collect()]
+    assert store.delete_from_store(spark, path, [*ids, "nonsense", "17-gone-1"]) == 3
+    assert {r._seq for r in store.read_store(spark, path).collect()} == {1, 2, 4, 5, 6, 7}
+    store.upsert(spark, path, rows.filter("_seq in (1, 8)").withColumn("_raw", F.lit("new")))
+    got = {r._seq: r._raw for r in store.read_store(spark, path).collect()}
+    assert got == {1: "new", 2: "r2", 4: "r4", 5: "r5", 6: "r6", 7: "r7", 8: "new"}
+    store.append(rows.filter("_seq = 0"), path)
+    assert store.retain_store(spark, path, dt.timedelta(days=1), dt.datetime(2024, 1, 2, 23, tzinfo=UTC)) == 1
+    assert {r._seq for r in store.read_store(spark, path).collect()} == {1, 4, 7, 2, 5, 8}
+    assert store.store_info(spark, path)["total"].first().rows == 6
+
+
+def test_days_of_other_zones(spark, rows, tmp_path):
+    from zoneinfo import ZoneInfo
+
+    path = str(tmp_path / "store")
+    store.append(rows, path)
+    evening = dt.datetime(2024, 1, 1, 20, tzinfo=ZoneInfo("America/New_York"))  # 2 January in UTC
+    assert {r.log_date for r in store.scan(spark, path, evening, evening).collect()} == {dt.date(2024, 1, 2)}
+    assert store.first_day_kept(dt.timedelta(days=10), dt.datetime(2024, 1, 25, 2, tzinfo=ZoneInfo("Asia/Tokyo"))) == dt.date(2024, 1, 15)

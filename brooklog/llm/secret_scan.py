@@ -128,14 +128,16 @@ def mask(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     ledger = ledger or work_folder(docs.sparkSession, "ledger")
     scan_new(docs, ledger, rules, RULE_VERSION, text, text)
     found = read_ledger(docs, ledger, RULE_VERSION).filter(F.size("spans") > 0).select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_"))
+    own, spans = docs[text], found["spans_"]
     parts = F.transform(
-        F.col("spans_"),
+        spans,
         lambda s: F.concat(
-            F.substring(F.col(text), s["upto"] + 1, F.greatest(s["start"] - s["upto"], F.lit(0))),
+            F.substring(own, s["upto"] + 1, F.greatest(s["start"] - s["upto"], F.lit(0))),
             F.repeat(F.lit("*"), F.greatest(s["end"] - F.greatest(s["start"], s["upto"]), F.lit(0))),
         ),
     )
-    last = F.array_max(F.transform(F.col("spans_"), lambda s: s["end"]))
-    masked = F.concat(F.array_join(parts, ""), F.substring(F.col(text), last + 1, F.length(text)))
-    joined = docs.withColumn("blob_of_", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(found, F.col("blob_of_") == F.col("blob_"), "left")
-    return joined.withColumn(text, F.when(F.col("spans_").isNull(), F.col(text)).otherwise(masked)).select(*docs.columns)
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    masked = F.concat(F.array_join(parts, ""), F.substring(own, last + 1, F.length(own)))
+    joined = docs.join(found, F.sha2(F.coalesce(own, F.lit("")), 256) == found["blob_"], "left")
+    new_text = F.when(spans.isNull(), own).otherwise(masked).alias(text)
+    return joined.select(*(new_text if c == text else docs[c] for c in docs.columns))

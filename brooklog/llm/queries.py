@@ -143,9 +143,11 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
   where embedding is not null and vec_id is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
     and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+w as (select *, list_reduce(list_transform(e, lambda x: x * x), lambda x, y: x + y) as n from v),
 c as (
-  select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.e, v.e) as score
-  from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0)
+  select q.vec_id as query_id, v.vec_id,
+    list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i]), lambda x, y: x + y) / (sqrt(q.n) * sqrt(v.n)) as score
+  from w q join w v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 50 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from c qualify rank <= 5""",
     "op9_warc": """

@@ -25,8 +25,15 @@ SLACK = 1e-7
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of equal rows, in double precision; equal vectors give equal results wherever they stand."""
-    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    """Cosines of equal rows, in double precision, added up in the order of the dimensions.
+
+    Equal vectors give equal results wherever they stand, and the same as a plain loop.
+    """
+
+    def total(x: np.ndarray) -> np.ndarray:
+        return np.cumsum(x, axis=1)[:, -1]
+
+    return total(a * b) / (np.sqrt(total(a * a)) * np.sqrt(total(b * b)))
 
 
 class Tree:

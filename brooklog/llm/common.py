@@ -29,6 +29,20 @@ def through_table(df: DataFrame, name: str, folder: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: list[tuple[object, object]] = []
+
+
+def held_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives for ``key``, kept in this worker from task to task until another key is asked for.
+
+    A worker serves the operators of a pipeline in turn; only the cache of the one at work is held.
+    """
+    if not _HELD or _HELD[0][0] != key:
+        _HELD.clear()
+        _HELD.append((key, make()))
+    return _HELD[0][1]
+
+
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts that hold about ``chars`` characters each."""
     start = held = 0

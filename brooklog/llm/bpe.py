@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.common import add_columns
+from brooklog.llm.common import add_columns, held_by_worker
 from brooklog.llm.vocabulary import ByteLevelIds
 
 
@@ -144,14 +144,9 @@ class ReplayIds(ByteLevelIds):
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_OPEN: dict[tuple[str, str], ReplayIds] = {}
-
-
 def replay(path: str, pattern: str) -> ReplayIds:
     """The encoder of this worker for a rank file; kept from task to task, with a bounded number of chunks."""
-    if (path, pattern) not in _OPEN:
-        _OPEN[path, pattern] = ReplayIds(path, pattern)
-    return _OPEN[path, pattern]
+    return held_by_worker((path, pattern), lambda: ReplayIds(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:

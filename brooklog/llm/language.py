@@ -18,11 +18,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.common import add_columns, small_side, through_table
+from brooklog.llm.common import add_columns, held_by_worker, small_side, through_table
 from brooklog.llm.fingerprints import MULTIPLIER, mixed
 
 #: Labelled rows that the text model is fitted on.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
 #: Hash buckets of trigrams.
 BUCKETS = 1 << 16
 TEXT_GRAMS = 60.0
@@ -57,6 +57,7 @@ class TextModel:
 
     def score(self, texts: list[str]) -> list[list]:
         """The damped log-likelihood in each language, the likelihood a gram in the best, and the number of letters."""
+        held_by_worker("language", lambda: None)  # what the operators before have kept can go
         table = np.zeros((len(texts), len(self.languages)))
         per_gram, letters = np.full(len(texts), -np.inf), []
         for i, text in enumerate(texts):
@@ -64,7 +65,7 @@ class TextModel:
             letters.append(n)
             if len(found):
                 mean = self.weights[found].mean(axis=0)
-                per_gram[i] = mean.max()
+                per_gram[i] = mean.max(initial=-np.inf)
                 table[i] = mean * (len(found) / (1 + len(found) / TEXT_GRAMS))
         return [*table.T.tolist(), per_gram.tolist(), letters]
 
@@ -76,12 +77,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text",
     sample = [] if last is None else rows.filter(F.col("h") <= last).select(label, text).limit(sample_rows).collect()
     languages = sorted({r[0] for r in sample})
     counts = np.full((BUCKETS, len(languages)), 0.5)
-    texts = [(languages.index(r[0]), grams(r[1])[0]) for r in sample]
-    for n, found in texts:
-        counts[:, n] += np.bincount(found, minlength=BUCKETS)
-    weights = np.log(counts / counts.sum(axis=0, keepdims=True)) if languages else counts
-    floor = min((weights[found].mean(axis=0).max() for _, found in texts if len(found)), default=0.0)
-    return TextModel(languages, weights, floor - MARGIN)
+    for label_, text_ in sample:
+        counts[:, languages.index(label_)] += np.bincount(grams(text_)[0], minlength=BUCKETS)
+    weights = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32) if languages else counts
+    best = (weights[found].mean(axis=0).max() for found in (grams(text_)[0] for _, text_ in sample) if len(found))
+    return TextModel(languages, weights, float(min(best, default=0.0)) - MARGIN)
 
 
 def declared(text: Column) -> Column:
@@ -174,5 +174,5 @@ def keep_identified(docs: DataFrame, model: TextModel, text: str = "text", key:
     """``docs`` without the rows that ``identify`` rejects; all columns stay."""
     found = identify(docs, model, text, key, F.col(host))
     gone = through_table(found.filter(~F.col("kept")).select(F.col(key).alias("k_"), F.col("host").alias("h_"), F.col("text_hash").alias("t_")).distinct(), "language-rejected")
-    same = docs[key].eqNullSafe(F.col("k_")) & docs[host].cast("string").eqNullSafe(F.col("h_")) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == F.col("t_"))
+    same = docs[key].eqNullSafe(gone["k_"]) & docs[host].cast("string").eqNullSafe(gone["h_"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == gone["t_"])
     return docs.join(small_side(gone), same, "left_anti")

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.common import add_columns
+from brooklog.llm.common import add_columns, held_by_worker
 
 #: Counts that a worker keeps; at this number it starts anew.
 CACHE_SEGMENTS = 1_000_000
@@ -141,14 +141,9 @@ class PieceCounter:
         return out
 
 
-_OPEN: dict[str, PieceCounter] = {}
-
-
 def piece_counter(path: str) -> PieceCounter:
     """The counter of this worker for a model file; kept from task to task."""
-    if path not in _OPEN:
-        _OPEN[path] = PieceCounter(path)
-    return _OPEN[path]
+    return held_by_worker(("pieces", path), lambda: PieceCounter(path))
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:

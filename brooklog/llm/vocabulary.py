@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from brooklog.llm.common import held_by_worker
+
 #: The characters that count as white space in the split pattern of byte-level BPE.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -121,11 +123,6 @@ class WordIds(ChunkIds):
         return [out[c] for c in chunks]
 
 
-_OPEN: dict[tuple[str, str], ChunkIds] = {}
-
-
 def chunk_ids(path: str, kind: str) -> ChunkIds:
     """The encoder of this worker for a file; ``kind`` is ``byte`` or ``word``.  Kept from task to task."""
-    if (path, kind) not in _OPEN:
-        _OPEN[path, kind] = {"byte": ByteLevelIds, "word": WordIds}[kind](path)
-    return _OPEN[path, kind]
+    return held_by_worker((path, kind), lambda: {"byte": ByteLevelIds, "word": WordIds}[kind](path))

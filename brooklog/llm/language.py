@@ -31,7 +31,7 @@ HOST_ROWS, SUFFIX_ROWS = 10.0, 100.0
 #: A row with a best posterior under this is rejected.
 LEAST_CONFIDENCE = 0.5
 #: A text whose likelihood a character is this far (in nats) under all sample texts is in no language that is known.
-MARGIN = 1.0
+MARGIN = 6.0
 
 
 def grams(text: str) -> tuple[np.ndarray, int]:

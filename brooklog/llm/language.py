@@ -12,7 +12,7 @@ All corpus counts are grouped aggregations over every row; the driver sees the s
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,8 +30,42 @@ TEXT_GRAMS = 60.0
 HOST_ROWS, SUFFIX_ROWS = 10.0, 100.0
 #: A row with a best posterior under this is rejected.
 LEAST_CONFIDENCE = 0.5
-#: A text whose likelihood a character is this far (in nats) under all sample texts is in no language that is known.
-MARGIN = 6.0
+#: Hash buckets of trigrams of letters.
+LETTER_BUCKETS = 1 << 20
+#: A trigram of letters is known in a language by so many sample texts; by one if there are fewer than ``REPEATS`` texts.
+KNOWN_TEXTS, REPEATS = 2, 20
+#: So many known trigrams are lent to each text, so that a word or two are not held against it.
+LENT = 4
+#: A text is in no known language if its share of unknown trigrams is over bounds between these in every language.
+LEAST_BOUND, MOST_BOUND = 2 / 3, 0.95
+
+
+@cache
+def alphabet() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def letter_grams(text: str) -> np.ndarray:
+    """Buckets of the trigrams around each letter in lower case; what is no letter is a blank to them."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = alphabet()[c]
+    at = np.flatnonzero(letter)
+    c = np.where(letter, c, 32).astype(np.uint64)
+    times = np.uint64(MULTIPLIER)
+    return (mixed((c[at - 1] * times + c[at]) * times + c[at + 1]) % np.uint64(LETTER_BUCKETS)).astype(np.int64)
+
+
+def known_grams(texts: list[str]) -> tuple[np.ndarray, float]:
+    """The trigrams of letters known by the sample texts of a language (packed bits), and the share of unknown ones
+    that its texts may have: LEAST_BOUND, more if its median text has many trigrams that no other text has."""
+    found = [g for g in map(letter_grams, sorted(set(texts))) if len(g)]
+    n = np.zeros(LETTER_BUCKETS, np.int64)
+    for g in found:
+        n[np.unique(g)] += 1
+    alone = float(np.median([(n[g] < 2).mean() for g in found])) if found else 1.0
+    bound = min(LEAST_BOUND + (1 - LEAST_BOUND) * alone, MOST_BOUND)
+    return np.packbits(n >= (KNOWN_TEXTS if len(found) >= REPEATS else 1)), bound
 
 
 def grams(text: str) -> tuple[np.ndarray, int]:
@@ -49,25 +83,33 @@ def grams(text: str) -> tuple[np.ndarray, int]:
 
 @dataclass
 class TextModel:
-    """Log-probabilities (bucket, language), and the least likelihood a character seen in the sample."""
+    """Log-probabilities (bucket, language), and of each language the known trigrams of letters and the bound for
+    the share of unknown ones."""
 
     languages: list[str]
     weights: np.ndarray
-    floor: float
+    known: list[np.ndarray]
+    bounds: list[float]
+
+    def strange(self, text: str) -> float:
+        """How far the share of unknown trigrams is over the bound, in the language where that is least."""
+        found = letter_grams(text)
+        byte, bit = found >> 3, (7 - (found & 7)).astype(np.uint8)
+        shares = ((len(found) - np.count_nonzero(known[byte] >> bit & 1)) / (len(found) + LENT) for known in self.known)
+        return min((share - bound for share, bound in zip(shares, self.bounds, strict=True)), default=0.0)
 
     def score(self, texts: list[str]) -> list[list]:
-        """The damped log-likelihood in each language, the likelihood a gram in the best, and the number of letters."""
+        """The damped log-likelihood in each language, how strange the text is, and the number of letters."""
         held_by_worker("language", lambda: None)  # what the operators before have kept can go
         table = np.zeros((len(texts), len(self.languages)))
-        per_gram, letters = np.full(len(texts), -np.inf), []
+        letters = []
         for i, text in enumerate(texts):
             found, n = grams(text)
             letters.append(n)
             if len(found):
                 mean = self.weights[found].mean(axis=0)
-                per_gram[i] = mean.max(initial=-np.inf)
                 table[i] = mean * (len(found) / (1 + len(found) / TEXT_GRAMS))
-        return [*table.T.tolist(), per_gram.tolist(), letters]
+        return [*table.T.tolist(), [self.strange(t) for t in texts], letters]
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id", label: str = "lang") -> TextModel:
@@ -80,8 +122,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text",
     for label_, text_ in sample:
         counts[:, languages.index(label_)] += np.bincount(grams(text_)[0], minlength=BUCKETS)
     weights = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32) if languages else counts
-    best = (weights[found].mean(axis=0).max() for found in (grams(text_)[0] for _, text_ in sample) if len(found))
-    return TextModel(languages, weights, float(min(best, default=0.0)) - MARGIN)
+    known = [known_grams([t for x, t in sample if x == l]) for l in languages]
+    return TextModel(languages, weights, [k for k, _ in known], [b for _, b in known])
 
 
 def declared(text: Column) -> Column:
@@ -120,7 +162,8 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", key: str = "
     ``host`` or else the host of ``url`` groups rows; rows without one use the prior of the corpus.  With ``markup``
     the texts are pages: tags are taken off before the text is scored.  A declaration in the markup counts in either
     case.  Rejected (``kept`` false): texts without a letter (null and empty ones too; ``lang`` is null), a best
-    posterior under ``LEAST_CONFIDENCE``, texts unlike all the sample.  Null keys and repeated rows stay; an empty
+    posterior under ``LEAST_CONFIDENCE``, texts whose trigrams of letters are mostly unknown in every language
+    (digits and symbols say nothing there).  Null keys and repeated rows stay; an empty
     table gives no rows; a model without languages rejects all; other columns are left out.
     """
     langs = model.languages
@@ -131,7 +174,7 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", key: str = "
         (without_markup(source) if markup else source).alias("text_"),
     )
     n = range(len(langs))
-    scored = add_columns(rows, "text_", "".join(f"t{i} double, " for i in n) + "per_gram double, letters bigint", model.score, [key, "host", "text_hash", "declared"])
+    scored = add_columns(rows, "text_", "".join(f"t{i} double, " for i in n) + "strange double, letters bigint", model.score, [key, "host", "text_hash", "declared"])
     scored = through_table(scored.withColumn("suffix", suffix_of(F.col("host"))), "language-scores")
     if not langs:
         return scored.select(key, "host", "text_hash", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
@@ -165,8 +208,8 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", key: str = "
     logs = joined.withColumns({f"l{i}": F.col(f"t{i}") + F.log(by_host[i]) + declares[i] for i in n})
     fused = logs.withColumns({f"q{i}": q for i, q in enumerate(_softmax([F.col(f"l{i}") for i in n]))})
     best = F.greatest(*(F.struct(F.col(f"q{i}").alias("q"), F.lit(l).alias("lang")) for i, l in enumerate(langs))) if len(langs) > 1 else F.struct(F.col("q0").alias("q"), F.lit(langs[0]).alias("lang"))
-    out = fused.select(key, "host", "text_hash", says.alias("says"), "per_gram", best.alias("best"))
-    kept = F.col("says") & (F.col("best.q") >= LEAST_CONFIDENCE) & (F.col("per_gram") >= model.floor)
+    out = fused.select(key, "host", "text_hash", says.alias("says"), "strange", best.alias("best"))
+    kept = F.col("says") & (F.col("best.q") >= LEAST_CONFIDENCE) & (F.col("strange") <= 0)
     return out.select(key, "host", "text_hash", F.when(F.col("says"), F.col("best.lang")).alias("lang"), F.when(F.col("says"), F.col("best.q")).otherwise(0.0).alias("confidence"), kept.alias("kept"))
 
 

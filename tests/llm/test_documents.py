@@ -228,3 +228,21 @@ def test_language_odd_rows(table, odd_rows):
     nothing = language.fit(table([]))
     assert nothing.languages == [] and language.identify(table([]), nothing).count() == 0
     assert not any(r.kept for r in language.identify(table(rows), nothing).collect())
+
+
+STRANGE = [
+    "Съешь же ещё этих мягких французских булок да выпей чаю", "我们今天去公园散步然后回家吃饭", "これは日本語の文章です。今日は天気がいいですね", "هذا نص باللغة العربية عن الطقس اليوم",
+    "Η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί", "यह हिंदी भाषा का एक सरल वाक्य है और कुछ नहीं", "asdfkjh qwlkejr zxmcnvb sdkfjgh wieurty xcvmnb lkjhgf qpwoei zmxncb", "kjhsdf 8273 lkjsdhf !!! wqeiuy 9982 mznxbc qowieu",
+]
+
+
+def test_language_rejects_the_strange(spark):
+    """Unknown scripts and mash go, also if they are labelled rows of the sample; clean rows rich in digits stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    clean = [(r.text[:60], r.lang) for r in docs.filter("lang is not null and length(text) > 60").orderBy("doc_id").limit(40).collect()]
+    digits = [(10**6 + i, f"{t} {'4471 9930-22 %%% $$$ ' * 40}", lang, "s") for i, (t, lang) in enumerate(clean)]
+    strange = [(2 * 10**6 + i, t, "en", "s") for i, t in enumerate(STRANGE)]
+    both = docs.union(spark.createDataFrame(digits + strange, docs.schema))
+    for model in (language.fit(docs), language.fit(both)):
+        gone = {r.doc_id for r in language.identify(both, model, host=F.col("source")).filter("not kept").collect()}
+        assert gone == {k for k, *_ in strange}

@@ -1,12 +1,12 @@
 """Language identification by fusing evidence with Bayes' rule.
 
 * Text: log-likelihoods of character trigrams and single characters, from a model fitted on a bounded sample of
-  labelled rows.  Trigrams overlap, so their sum is damped to that of at most ``TEXT_GRAMS`` of them.
+  the rows of every label.  Trigrams overlap, so their sum is damped to that of at most ``TEXT_GRAMS`` of them.
 * Declared language of the markup: how often texts of a language declare which language, counted over all rows.
 * Address suffix and host: priors from the text posteriors of all rows, a host smoothed towards its suffix and the
   suffix towards the whole corpus; a row's own share is taken out of its priors.
 
-All corpus counts are grouped aggregations over every row; the driver sees the sample and tables of languages only.
+All corpus counts are grouped aggregations over every row; the driver sees tables of languages only.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from dataclasses import dataclass
 from functools import cache, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brooklog.llm.common import add_columns, held_by_worker, small_side, through_table
 from brooklog.llm.fingerprints import MULTIPLIER, mixed
 
-#: Labelled rows that the text model is fitted on.
-SAMPLE_ROWS = 2000
+#: Labelled rows that the text model is fitted on, spread evenly over the languages; and those of a language at least.
+SAMPLE_ROWS, LABEL_ROWS = 2000, 100
 #: Hash buckets of trigrams.
 BUCKETS = 1 << 16
 TEXT_GRAMS = 60.0
@@ -113,17 +114,35 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id", label: str = "lang") -> TextModel:
-    """Fit the text model on at most ``sample_rows`` rows with a label, chosen by a hash of the key."""
-    rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), label, text)
-    last = rows.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = [] if last is None else rows.filter(F.col("h") <= last).select(label, text).limit(sample_rows).collect()
-    languages = sorted({r[0] for r in sample})
-    counts = np.full((BUCKETS, len(languages)), 0.5)
-    for label_, text_ in sample:
-        counts[:, languages.index(label_)] += np.bincount(grams(text_)[0], minlength=BUCKETS)
-    weights = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32) if languages else counts
-    known = [known_grams([t for x, t in sample if x == l]) for l in languages]
-    return TextModel(languages, weights, [k for k, _ in known], [b for _, b in known])
+    """Fit the text model on all languages that a row with a text is labelled with.
+
+    Each has about an equal part of ``sample_rows``, ``LABEL_ROWS`` at least (all its rows if it has no more), chosen
+    by a hash of key and text; a repeated row counts once.  A language is fitted in one task from its sample; the
+    driver sees a table row a language.
+    """
+    place = F.xxhash64(key, text) / F.lit(2.0**64) + 0.5  # from 0 to 1
+    rows = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"), place.alias("place"))
+    labels = rows.groupBy("label").agg(F.approx_count_distinct("place").alias("n"), F.min("place").alias("least")).collect()
+    if not labels:
+        return TextModel([], np.empty((BUCKETS, 0)), [], [])
+    each = max(-(-sample_rows // len(labels)), LABEL_ROWS)
+    upto = [(r["label"], max(each / r["n"], r["least"])) for r in labels]  # the lowest row is always in
+    sample = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(upto, "label string, upto double")), "label").filter("place <= upto")
+    sample = sample.groupBy("label", "place").agg(F.first("text").alias("text"))
+
+    def fit_label(group: pa.Table) -> pa.Table:
+        texts = group.column("text").to_pylist()
+        counts = np.full(BUCKETS, 0.5)
+        for t in texts:
+            counts += np.bincount(grams(t)[0], minlength=BUCKETS)
+        known, bound = known_grams(texts)
+        weights = np.log(counts / counts.sum()).astype(np.float32)
+        return pa.table({"label": group.column("label").slice(0, 1), "weights": pa.array([weights.tobytes()], pa.binary()), "known": pa.array([known.tobytes()], pa.binary()), "bound": [bound]})
+
+    fitted = sample.select("label", "text").groupBy("label").applyInArrow(fit_label, "label string, weights binary, known binary, bound double").collect()
+    fitted.sort(key=lambda r: r["label"])
+    weights = np.stack([np.frombuffer(r["weights"], np.float32) for r in fitted], axis=1)
+    return TextModel([r["label"] for r in fitted], weights, [np.frombuffer(r["known"], np.uint8) for r in fitted], [r["bound"] for r in fitted])
 
 
 def declared(text: Column) -> Column:

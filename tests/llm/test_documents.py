@@ -246,3 +246,15 @@ def test_language_rejects_the_strange(spark):
     for model in (language.fit(docs), language.fit(both)):
         gone = {r.doc_id for r in language.identify(both, model, host=F.col("source")).filter("not kept").collect()}
         assert gone == {k for k, *_ in strange}
+
+
+def test_language_models_every_label(spark):
+    """Three rows of a label among a thousand are enough for a language, however small the sample is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rare = [(10**6 + i, t, lang, "s") for i, (t, lang) in enumerate([(STRANGE[0], "ru"), (STRANGE[0] + " и кофе", "ru"), (STRANGE[4], "el")])]
+    rare += [(2 * 10**6, STRANGE[4] + " και καφέ", None, "s"), *[(None, STRANGE[0], "ru", "s")] * 300]  # unlabelled; repeated
+    both = docs.union(spark.createDataFrame(rare, docs.schema))
+    model = language.fit(both, sample_rows=40)
+    assert model.languages == ["de", "el", "en", "es", "fr", "ru"]
+    found = language.identify(both.filter("source = 's'"), model, host=F.lit("h")).collect()
+    assert len(found) == len(rare) and all(r.kept and r.lang == ("el" if r.doc_id in (10**6 + 2, 2 * 10**6) else "ru") for r in found)

@@ -1,8 +1,9 @@
 """Document fingerprints by a threshold-scaled sketch.
 
 A text's shingles are its runs of ``SHINGLE`` characters (a shorter text is one shingle).  The sketch keeps every
-shingle hash below a fixed fraction of the range, so the sketch of a union is the union of the sketches, and overlaps
-of very unequal texts can be estimated.  If no hash is that low, the lowest is kept, so no text goes without.
+shingle hash below a fixed fraction of the range, and every shorter shingle, so the sketch of a union is the union of
+the sketches, and overlaps of very unequal texts can be estimated.  A text whose hashes are all higher has an empty
+sketch and no estimates: a chance of ``(1 - 1 / SCALE) ** n`` with n shingles, 7.5 % at 20 characters, 0.01 % at 43.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 12
 #: One of so many hashes is kept.
-SCALE = 16
+SCALE = 4
 MULTIPLIER = 0x9E3779B97F4A7C15  # odd, golden ratio
 MASK = (1 << 64) - 1
 
@@ -31,7 +32,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: str) -> np.ndarray:
-    """The kept hashes in order, 48 bits each; none for an empty text."""
+    """The kept hashes in order, 48 bits each; none for an empty text, or if no hash is low."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     if not len(c):
         return c
@@ -40,15 +41,13 @@ def sketch(text: str) -> np.ndarray:
         h = np.uint64(len(c))
         for x in c.tolist():
             h = np.uint64((int(h) * MULTIPLIER + x) & MASK)
-        h = np.array([h])
-    else:
-        two = c[:-1] * power[1] + c[1:]
-        four = two[:-2] * power[2] + two[2:]
-        eight = four[:-4] * power[4] + four[4:]
-        h = eight[: len(c) - SHINGLE + 1] * power[4] + four[8:]
+        return mixed(np.array([h])) >> np.uint64(16)
+    two = c[:-1] * power[1] + c[1:]
+    four = two[:-2] * power[2] + two[2:]
+    eight = four[:-4] * power[4] + four[4:]
+    h = eight[: len(c) - SHINGLE + 1] * power[4] + four[8:]
     h = mixed(h) >> np.uint64(16)
-    low = h[h < np.uint64((1 << 48) // SCALE)]
-    return np.unique(low) if len(low) else h.min(keepdims=True)
+    return np.unique(h[h < np.uint64((1 << 48) // SCALE)])
 
 
 def as_text(kept: np.ndarray) -> str:
@@ -69,6 +68,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return both / (len(a) + len(b) - both), both / len(a)
 
 
+def estimates(text: str, kept: np.ndarray, other_text: str, other: np.ndarray) -> tuple[float | None, float | None]:
+    """``overlap`` of the sketches of two texts; unknown (none) if one is not empty but its sketch is."""
+    if (text and not len(kept)) or (other_text and not len(other)):
+        return None, None
+    return overlap(kept, other)
+
+
 def edit(text: str, following: str) -> str:
     """The last third of a text replaced by the head of the text that follows."""
     k = len(text) // 3
@@ -111,7 +117,8 @@ def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     ``edited_fingerprint``, and the estimated resemblance of its fingerprint to the edited text's (``near_edited``)
     and to the next document's (``near_next``); ``contained_edited`` is the part of its shingles in the edited text.
 
-    A null or empty text has no characters and an empty fingerprint, and equals another one (1.0).  Null keys come
+    A null or empty text has no characters and an empty fingerprint, and equals another one (1.0).  Where a text that
+    is not empty has an empty fingerprint (no low hash), the estimates with it are null.  Null keys come
     last, repeated keys in an order fixed by their texts; an empty table gives no rows; other columns are left out.
     Texts are shuffled once, by key ranges.
     """
@@ -140,8 +147,8 @@ def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                     _, key_, text_, kept = waiting
                     edited = edit(text_, t)
                     other = sketch(edited)
-                    near, inside = overlap(kept, other)
-                    out.append((key_, len(text_), edited, as_text(kept), as_text(other), near, overlap(kept, own)[0], inside))
+                    near, inside = estimates(text_, kept, edited, other)
+                    out.append((key_, len(text_), edited, as_text(kept), as_text(other), near, estimates(text_, kept, t, own)[0], inside))
                     held += len(text_)
                 waiting = None if borrowed else (bucket, k, t, own)
                 if held > 2_000_000 or len(out) >= 5000:

@@ -258,3 +258,30 @@ def test_language_models_every_label(spark):
     assert model.languages == ["de", "el", "en", "es", "fr", "ru"]
     found = language.identify(both.filter("source = 's'"), model, host=F.lit("h")).collect()
     assert len(found) == len(rare) and all(r.kept and r.lang == ("el" if r.doc_id in (10**6 + 2, 2 * 10**6) else "ru") for r in found)
+
+
+def test_short_sketches(spark, table):
+    """Short texts: wholly contained in longer ones, their error by length, and no estimate without a hash."""
+    pick = random.Random(4)
+    some = lambda n: "".join(pick.choice("abcdefghij ") for _ in range(n))
+    for short, long in ((some(n), some(3000)) for n in (1, 5, *range(12, 400, 3))):
+        kept, whole = fingerprints.sketch(short), fingerprints.sketch(long + short)
+        if len(short) >= 12:
+            assert set(kept.tolist()) <= set(whole.tolist())  # so sketches merge
+            assert fingerprints.estimates(short, kept, long + short, whole)[1] == (1.0 if len(kept) else None)
+        assert len(kept) or 12 <= len(short) < 60
+    for lengths, bound in (((12, 60), 0.15), ((60, 120), 0.1), ((120, 400), 0.05)):
+        errors = []
+        for _ in range(200):
+            t = some(pick.randrange(*lengths))
+            edited = fingerprints.edit(t, some(400))
+            a, b = ({x[i : i + 12] for i in range(len(x) - 11)} for x in (t, edited))
+            near, _ = fingerprints.estimates(t, fingerprints.sketch(t), edited, fingerprints.sketch(edited))
+            if near is not None:
+                errors.append(abs(near - len(a & b) / len(a | b)))
+        assert len(errors) > 150 and sum(errors) / len(errors) < bound
+    unknown = next(t for t in iter(lambda: some(12), None) if not len(fingerprints.sketch(t)))
+    found = {r.doc_id: r for r in fingerprints.fingerprint(table([(2, unknown), (1, "short"), (0, "")])).collect()}
+    assert found[2].fingerprint == "" and found[2].n_chars == 12
+    assert (found[2].near_edited, found[2].near_next, found[2].contained_edited) == (None, None, None)
+    assert found[1].near_next == 0.0 and found[0].near_next is None and found[0].near_edited is not None

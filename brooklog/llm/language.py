@@ -33,8 +33,9 @@ HOST_ROWS, SUFFIX_ROWS = 10.0, 100.0
 LEAST_CONFIDENCE = 0.5
 #: Hash buckets of trigrams of letters.
 LETTER_BUCKETS = 1 << 20
-#: A trigram of letters is known in a language by so many sample texts; by one if there are fewer than ``REPEATS`` texts.
-KNOWN_TEXTS, REPEATS = 2, 20
+#: A trigram of letters is known in a language by two sample texts.  By one if the sample says little of the language:
+#: fewer texts than this, or fewer trigrams that two texts have (codes with hardly any letters).
+ENOUGH_TEXTS, ENOUGH_GRAMS = 20, 200
 #: So many known trigrams are lent to each text, so that a word or two are not held against it.
 LENT = 4
 #: A text is in no known language if its share of unknown trigrams is over bounds between these in every language.
@@ -66,7 +67,8 @@ def known_grams(texts: list[str]) -> tuple[np.ndarray, float]:
         n[np.unique(g)] += 1
     alone = float(np.median([(n[g] < 2).mean() for g in found])) if found else 1.0
     bound = min(LEAST_BOUND + (1 - LEAST_BOUND) * alone, MOST_BOUND)
-    return np.packbits(n >= (KNOWN_TEXTS if len(found) >= REPEATS else 1)), bound
+    enough = len(found) >= ENOUGH_TEXTS and np.count_nonzero(n >= 2) >= ENOUGH_GRAMS
+    return np.packbits(n >= (2 if enough else 1)), bound
 
 
 def grams(text: str) -> tuple[np.ndarray, int]:

@@ -11,15 +11,14 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.common import slices, through_table
-from brooklog.llm.vocabulary import chunk_ids
+from brooklog.llm.common import through_table
+from brooklog.llm.flat_ids import flat_ids, text_slices
 
 WINDOW = 4096
 OPEN_WINDOWS = 64
@@ -66,8 +65,8 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, window: int,
     """One row per piece, with the window of its task and whether that window is still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = chunk_ids(tokenizer, kind), TaskContext.get().partitionId()
-        windows, end, key_type = OpenWindows(window, most), np.array([end_id], "<u4").tobytes(), None
+        encoder, task = flat_ids(tokenizer, kind), TaskContext.get().partitionId()
+        windows, key_type = OpenWindows(window, most), None
 
         def rows(done: list[tuple[int, list[tuple]]], still_open: bool) -> pa.RecordBatch:
             flat = [(*piece[:4], piece[4], task, number, piece[5], still_open) for number, held in done for piece in held]
@@ -76,15 +75,15 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, window: int,
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in text_slices(texts):
                 done: list[tuple[int, list[tuple]]] = []
-                for doc, ids in zip(keys[a:b], encoder.encode([t or "" for t in texts[a:b]]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    for start in range(0, total, window):
-                        length = min(window, total - start)
-                        done += windows.place((doc, start, length, ids[4 * start : 4 * (start + length)], total), length)
+                ids, at = encoder.encode(texts.slice(a, b - a), end_id)
+                ids = ids.astype("<u4", copy=False)
+                for doc, first, last in zip(keys[a:b], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    for start in range(0, last - first, window):
+                        length = min(window, last - first - start)
+                        done += windows.place((doc, start, length, ids[first + start : first + start + length].tobytes(), last - first), length)
                 if done:
                     yield rows(done, False)
         for item in windows.rest():

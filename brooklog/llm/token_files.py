@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brooklog.llm.common import slices, small_side, through_table
-from brooklog.llm.vocabulary import chunk_ids
+from brooklog.llm.common import small_side, through_table
+from brooklog.llm.flat_ids import flat_ids, text_slices
 
 #: An empty skippable frame: number 0x184D2A50, length 0.
 GAP = "P*M\x18\x00\x00\x00\x00"
@@ -36,7 +36,7 @@ class FileWriter:
         self.entries: list[tuple] = []
         self.position = 0
 
-    def add(self, doc: int | None, ids: bytes) -> bytes:
+    def add(self, doc: int | None, ids: bytes | memoryview) -> bytes:
         frame = self.compressor.compress(ids)
         self.entries.append((doc or 0, doc is not None, self.position, len(frame), len(ids) // 4, zlib.crc32(ids)))
         self.position += len(frame) + len(GAP)
@@ -77,12 +77,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, kind: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, end = chunk_ids(tokenizer, kind), FileWriter(), np.array([end_id], "<u4").tobytes()
+        encoder, writer = flat_ids(tokenizer, kind), FileWriter()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                found = encoder.encode([t or "" for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays([pa.array([writer.add(k, ids + end) for k, ids in zip(keys[a:b], found, strict=True)], pa.binary())], names=["frame"])
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in text_slices(texts):
+                ids, at = encoder.encode(texts.slice(a, b - a), end_id)
+                data, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), (4 * at).tolist()
+                frames = [writer.add(k, data[x:y]) for k, x, y in zip(keys[a:b], ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
         if writer.entries:
             yield pa.RecordBatch.from_arrays([pa.array([writer.table()], pa.binary())], names=["frame"])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklog.llm import bpe, fingerprints, language, near_duplicates, packing, secret_scan, token_counts, token_files, vantage_trees, warc
+from brooklog.llm import alignment, bpe, fingerprints, hard_negatives, language, near_duplicates, packing, pattern_packing, secret_scan, token_counts, token_files, vantage_trees, warc
 from brooklog.llm.common import work_folder
 
 
@@ -99,6 +99,29 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into few sequences of 1024 tokens."""
+    pieces = pattern_packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=2)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over all documents, with corpus-wide counts of linked pairs."""
+    docs = _read(spark, sf_dir, "documents")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    texts = alignment.align_texts(docs, a, b).select("blob", "copies", "n_a", "n_b", "n_groups", "n_links", digest, "links")
+    found = alignment.per_document(docs, alignment.measure(texts, a, b))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, labels of every seventh moved on by one."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), vectors.filter("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -111,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op11_pattern_packing": op11_pattern_packing,
+    "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _ASSIGN = secret_scan.ASSIGN.replace("'", "''")
@@ -150,6 +176,23 @@ c as (
   from w q join w v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 50 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from c qualify rank <= 5""",
+    "op13_hard_negatives": """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and vec_id is not null and label is not null and len(embedding) > 0
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+c as (
+  select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label,
+    cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+  from r a join r b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from c where label = anchor_label
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join c using (anchor_id) where label <> anchor_label and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3""",
     "op9_warc": """
 with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes from pages),
 d as (select page_id, payload_bytes, sha256(html) as payload_digest from p),

@@ -17,9 +17,9 @@ import pyarrow as pa
 from brooklog.llm.common import held_by_worker
 
 #: Bytes of text that one slice holds at most (one longer text is a slice of its own).
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 #: Chunks, and ids of chunks, that a worker keeps; at either number it starts anew.
-CACHE_CHUNKS, CACHE_IDS = 1_000_000, 16_000_000
+CACHE_CHUNKS, CACHE_IDS = 400_000, 8_000_000
 #: Longer chunks are not kept.
 CACHE_BYTES = 64
 #: Chunks joined in one call of the library.
@@ -264,7 +264,7 @@ class FlatWordIds(FlatIds):
 
     def clear(self) -> None:
         super().clear()
-        self.bare: dict[str, tuple[int, int]] = {}
+        self.bare: dict[str, int] = {}
 
     def learn(self, chunks: list[str]) -> None:
         """White space around a chunk, and ASCII capitals, change no id: each bare chunk is encoded once."""
@@ -273,11 +273,20 @@ class FlatWordIds(FlatIds):
         ids, lengths = self.new(new)
         starts = self.ids.size + np.cumsum(lengths) - lengths
         self.ids.add(ids)
-        where = dict(zip(new, zip(starts.tolist(), lengths.tolist(), strict=True), strict=True))
-        both = np.array([where.get(c) or self.bare[c] for c in bare], np.int64).reshape(-1, 2)
-        self.bare.update((c, x) for c, x in where.items() if len(c) <= CACHE_BYTES)
-        self.first_id.add(both[:, 0])
-        self.lengths.add(both[:, 1])
+        # A bare chunk is known by the number of the first chunk that held it.
+        first = self.known - len(chunks)
+        seen = dict.fromkeys(bare)
+        for i, c in enumerate(bare):
+            if seen[c] is None:
+                seen[c] = self.bare.get(c, first + i)
+        own = np.array([seen[c] for c in bare], np.int64)
+        fresh = own == np.arange(first, first + len(bare))
+        for grown, values in ((self.first_id, starts), (self.lengths, lengths)):
+            column = np.zeros(len(bare), np.int64)
+            column[fresh] = values
+            grown.add(column)
+            grown.held[first:grown.size][~fresh] = grown.held[own[~fresh]]
+        self.bare.update((c, seen[c]) for c in new if len(c) <= CACHE_BYTES)
 
     def new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Plain words skip the normalizer and the split pattern; others are joined with marks between them."""

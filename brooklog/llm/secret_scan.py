@@ -7,6 +7,7 @@ path (row) that holds the blob, so copies cost a join and not a scan.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brooklog.llm.common import work_folder
+from brooklog.session import BROADCAST_ROWS
 
 
 def either_case(word: str) -> str:
@@ -39,6 +41,8 @@ ASSIGN = "(" + "|".join(map(either_case, KEYWORDS)) + r""")["']?\x20*[:=]\x20*["
 # Runs of hex digits and of key letters are maximal, so a lower bound in the pattern finds the same runs.
 RULES = (Rule("assign", ASSIGN, 2, 6), Rule("access", "AKIA[A-Z0-9]{16,}", 0, 20), Rule("hex", "[0-9a-f]{24,}", 0, 24))
 RULE_VERSION = "1"
+#: Spans that a broadcast of findings holds at most.
+BROADCAST_SPANS = 4 * BROADCAST_ROWS
 
 LEDGER = "blob string, rule_version string, spans array<struct<start:int,rule:int,end:int,upto:int>>"
 
@@ -80,25 +84,37 @@ def with_blob(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("blob", F.sha2(F.col(text), 256))
 
 
-def read_ledger(docs: DataFrame, ledger: str, rule_version: str) -> DataFrame:
-    """What the ledger holds for a rule version; a folder that is not there yet holds nothing."""
+def version_of(rules: tuple[Rule, ...], name: str = RULE_VERSION) -> str:
+    """How the ledger names a set of rules: own rules by their content too, so that no others' findings are taken for theirs."""
+    if rules == RULES:
+        return name
+    return f"{name}:{hashlib.sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()}"
+
+
+def read_ledger(docs: DataFrame, ledger: str, rule_version: str, shared: bool = True) -> DataFrame:
+    """What the ledger holds for a rule version, a row per blob; a folder that is not there yet holds nothing.
+
+    Scans that ran at once may both have added a blob: of such entries, which are equal, one is read.
+    """
     spark = docs.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], LEDGER)
     schema = T._parse_datatype_string(LEDGER)
-    return spark.read.schema(schema).parquet(ledger).filter(F.col("rule_version") == rule_version)
+    held = spark.read.schema(schema).parquet(ledger).filter(F.col("rule_version") == rule_version)
+    return held.dropDuplicates(["blob"]) if shared else held
 
 
 def scan_new(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, text: str = "text", key: str = "doc_id") -> None:
     """Scan the blobs that the ledger lacks for this rule version and add them to it."""
+    version = version_of(rules, rule_version)
     versions = with_blob(docs.select(docs[key].alias("path"), docs[text].alias("text")), "text")
     # One path of each blob stands for it, so that its text is moved once.
     chosen = versions.groupBy("blob").agg(F.min("path").alias("chosen"))
-    unseen = chosen.join(read_ledger(docs, ledger, rule_version).select("blob"), "blob", "left_anti")
+    unseen = chosen.join(read_ledger(docs, ledger, version).select("blob"), "blob", "left_anti")
     texts = versions.join(unseen.withColumnRenamed("blob", "new").hint("shuffle_hash"), (F.col("blob") == F.col("new")) & F.col("path").eqNullSafe(F.col("chosen")), "left_semi")
     scanned = scan_blobs(texts.select("blob", "text"), rules)
-    scanned.select("blob", F.lit(rule_version).alias("rule_version"), "spans").write.mode("append").parquet(ledger)
+    scanned.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger)
 
 
 def scan(
@@ -107,13 +123,14 @@ def scan(
 ) -> DataFrame:
     """A row per input row: the key, ``blob`` and ``spans`` (in order of start, then rule).
 
-    ``ledger`` is a folder that later scans share; without one a new ledger is used.  A null text is empty and has
-    no spans; null keys and repeated rows stay; an empty table gives no rows; other columns are left out.
+    ``ledger`` is a folder that later scans share, also at the same time; without one a new ledger is used.
+    ``rule_version`` names the rules in the ledger; to own rules their digest is added.  A null text is empty and has no
+    spans; null keys and repeated rows stay; an empty table gives no rows; other columns are left out.
     """
-    ledger = ledger or work_folder(docs.sparkSession, "ledger")
-    scan_new(docs, ledger, rules, rule_version, text, key)
+    own = ledger or work_folder(docs.sparkSession, "ledger")
+    scan_new(docs, own, rules, rule_version, text, key)
     paths = with_blob(docs.select(docs[key].alias("path"), docs[text].alias("text")), "text").select(F.col("path").alias(key), "blob")
-    found = read_ledger(docs, ledger, rule_version).select("blob", "spans")
+    found = read_ledger(docs, own, version_of(rules, rule_version), shared=ledger is not None).select("blob", "spans")
     return paths.join(found, "blob", "left").select(key, "blob", "spans")
 
 
@@ -123,11 +140,25 @@ def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def mask(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with every character of a secret replaced by ``*``; all rows and columns stay, lengths too."""
-    ledger = ledger or work_folder(docs.sparkSession, "ledger")
-    scan_new(docs, ledger, rules, RULE_VERSION, text, text)
-    found = read_ledger(docs, ledger, RULE_VERSION).filter(F.size("spans") > 0).select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_"))
+def small_findings(found: DataFrame) -> bool:
+    """Whether findings were counted to be few enough, in blobs and in spans, for a broadcast."""
+    blobs, spans = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans_")), F.lit(0))).first()
+    return blobs <= BROADCAST_ROWS and spans <= BROADCAST_SPANS
+
+
+def mask(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id", rule_version: str = RULE_VERSION) -> DataFrame:
+    """``docs`` with every character of a secret replaced by ``*``; all rows and columns stay, lengths too.
+
+    ``ledger``, ``rules`` and ``rule_version`` are as for ``scan``.  A null text stays null, an empty one empty; null
+    keys and repeated rows stay; an empty table gives no rows.  The texts are moved once, to be scanned; findings
+    come to the texts by broadcast if they were counted to be few, else the texts are moved a second time.
+    """
+    own_ledger = ledger or work_folder(docs.sparkSession, "ledger")
+    scan_new(docs, own_ledger, rules, rule_version, text, key)
+    held = read_ledger(docs, own_ledger, version_of(rules, rule_version), shared=ledger is not None)
+    found = held.filter(F.size("spans") > 0).select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_"))
+    if small_findings(found):
+        found = F.broadcast(found)
     own, spans = docs[text], found["spans_"]
     parts = F.transform(
         spans,

@@ -285,3 +285,31 @@ def test_short_sketches(spark, table):
     assert found[2].fingerprint == "" and found[2].n_chars == 12
     assert (found[2].near_edited, found[2].near_next, found[2].contained_edited) == (None, None, None)
     assert found[1].near_next == 0.0 and found[0].near_next is None and found[0].near_edited is not None
+
+
+def test_two_scans_at_once(spark, table):
+    """Both find the blobs new and add them; later reads see one entry per blob."""
+    ledger = work_folder(spark, "test-ledger")
+    docs = table([(1, SECRETS[0]), (2, SECRETS[1])])
+    secret_scan.scan_new(docs, ledger)
+    entries = secret_scan.read_ledger(docs, ledger, "1").collect()
+    spark.createDataFrame(entries, secret_scan.LEDGER).write.mode("append").parquet(ledger)
+    assert secret_scan.scan(docs, ledger).count() == 2 and secret_scan.mask(docs, ledger).count() == 2
+
+
+def test_own_rules_and_a_shared_ledger(spark, table):
+    """Findings of other rules under the same name are not taken for those of one's own."""
+    ledger = work_folder(spark, "test-ledger")
+    docs = table([(1, "pin 4711 and password = hunter2222"), (2, None), (3, "")])
+    pins = (secret_scan.Rule("pin", "pin [0-9]{4}", 0, 8),)
+    assert secret_scan.scan(docs, ledger).filter("size(spans) > 0").count() == 1
+    masked = {r.doc_id: r.text for r in secret_scan.mask(docs, ledger, rules=pins).collect()}
+    assert masked == {1: "******** and password = hunter2222", 2: None, 3: ""}
+    assert {r.doc_id: len(r.spans) for r in secret_scan.scan(docs, ledger, rules=pins).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_mask_without_a_broadcast(table, monkeypatch):
+    monkeypatch.setattr(secret_scan, "BROADCAST_SPANS", 0)
+    rows = [(i, SECRETS[i % len(SECRETS)]) for i in range(30)] + [(None, SECRETS[0]), (None, SECRETS[0])]
+    assert secret_scan.mask(table(rows)).filter("text like '%hunter%'").count() == 0
+    assert secret_scan.mask(table(rows)).count() == 32

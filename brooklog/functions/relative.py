@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brooklog.functions import utc
 from brooklog.functions.predicates import in_window
 
 # Preset names and their lengths.
@@ -78,5 +79,4 @@ def in_last(what: str | int, unit_or_now: str | dt.datetime, now: dt.datetime |
 
 def in_zone(ts: str | Column, zone: str) -> Column:
     """Wall-clock time of a UTC timestamp in a zone, without a zone of its own."""
-    col = F.col(ts) if isinstance(ts, str) else ts
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), col.cast("timestamp_ntz"))
+    return utc.wall(ts, zone)

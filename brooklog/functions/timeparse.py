@@ -14,6 +14,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brooklog.functions import utc
+
 PARTS = "struct<y:int,mo:int,d:int,tod:bigint,zone:string>"
 CUT = "\uffff"
 
@@ -109,13 +111,12 @@ def _tod(h: Column, mi: Column, s: Column, us: Column) -> Column:
 
 
 def _of_moment(ts: Column) -> Column:
-    """Parts of a real timestamp (session zone is UTC)."""
-    midnight = F.date_trunc("day", ts)
+    """Parts of a real timestamp in UTC."""
     return F.struct(
-        F.year(ts).alias("y"),
-        F.month(ts).alias("mo"),
-        F.dayofmonth(ts).alias("d"),
-        (F.unix_micros(ts) - F.unix_micros(midnight)).alias("tod"),
+        utc.year(ts).alias("y"),
+        utc.month(ts).alias("mo"),
+        utc.day(ts).alias("d"),
+        utc.time_of_day(ts).alias("tod"),
         F.lit("+00:00").alias("zone"),
     ).cast(PARTS)
 
@@ -312,7 +313,7 @@ def offset_seconds(zone: Column) -> Column:
 
 def wall_micros(y: Column, mo: Column, d: Column, tod: Column) -> Column:
     """Wall-clock microseconds; a day the month lacks runs over into the next month."""
-    first = F.try_make_timestamp(y, mo, F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    first = F.try_make_timestamp(y, mo, F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC"))
     return F.unix_micros(first) + (d.cast("bigint") - 1) * 86_400_000_000 + tod
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brooklog.functions import utc
+
 CORE_COLUMNS = ("timestamp", "log_date", "_raw", "_src", "_seq", "_id", "error", "source", "block", "line_no")
 ORDER = ("block", "line_no")
 
@@ -76,8 +78,8 @@ def promote(df: DataFrame, names: Sequence[str], numeric: Sequence[str] = ()) ->
 
 
 def with_log_date(df: DataFrame) -> DataFrame:
-    """Day of the row in the session zone (UTC)."""
-    return df.withColumn("log_date", F.to_date("timestamp"))
+    """Day of the row in UTC, in every session."""
+    return df.withColumn("log_date", utc.date("timestamp"))
 
 
 def with_row_id(df: DataFrame, source: str | Column = "_src") -> DataFrame:

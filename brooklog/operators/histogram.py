@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brooklog.functions import utc
 from brooklog.model import micros, moment
 
 MAX_BUCKETS = 100
@@ -135,9 +136,8 @@ def drill(df: DataFrame, start: dt.datetime, end: dt.datetime, i: int, j: int) -
 
 def fit_window(df: DataFrame) -> DataFrame:
     """The days that hold data, widened by one day on both sides: one row (start, end)."""
-    day = F.expr("interval 1 day")
     edge = df.agg(F.min("log_date").alias("lo"), F.max("log_date").alias("hi"))
     return edge.select(
-        (F.col("lo").cast("timestamp") - day).alias("start"),
-        (F.col("hi").cast("timestamp") + F.expr("interval 2 days") - F.expr("interval 1 second")).alias("end"),
+        utc.midnight(F.date_sub("lo", 1)).alias("start"),
+        F.timestamp_micros(F.unix_micros(utc.midnight(F.date_add("hi", 2))) - SECOND).alias("end"),
     )

@@ -3,8 +3,9 @@
 A line without a year, or without a date, borrows it from the previous line, and a jump
 back moves the line on by a day or a year.  That is a recurrence along the source.  It is
 computed block by block: what a block does to the time that enters it is captured by a
-small table, the tables of a source are applied in order, and with the entering time of
-every block known each block is run on its own.
+small table, and tables of neighbouring blocks compose into one.  So runs of blocks are
+composed, the few runs of a source are applied in order, then the blocks of each run, and
+with the entering time of every block known each block is run on its own.
 
 The table is exact because the first line of a kind leaves only few possible times:
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -171,28 +173,67 @@ def summarise(lines: list[Line], rules: Rules) -> str:
     return json.dumps(out)
 
 
-def advance(summary: str, entering: State | None) -> State | None:
-    """The time that leaves a block."""
-    s = json.loads(summary)
+def _exits(part: list, dated: bool) -> Callable[[State, Rules], State]:
+    """What the lines of one part make of a time before them."""
+    first, table = Line(*part[0]), {row[0]: row[1:] for row in part[1]}
+
+    def through(now: State | None, rules: Rules) -> State:
+        at = step(first, now, rules)
+        at, shift = _canonical(at) if dated else (at, 0)
+        wall, off, zone = table[at.wall]
+        return State(wall + shift, off, zone)
+
+    return through
+
+
+def _moves(part: list) -> Callable[[State, Rules], State]:
+    first, moved, off, zone = part
+
+    def through(now: State | None, rules: Rules) -> State:
+        return State(step(Line(*first), now, rules).wall + moved, off, zone)
+
+    return through
+
+
+def _parts_of(summary: dict) -> dict[str, Callable[[State, Rules], State]]:
+    """The effects of a summary, in order."""
+    made = {"bare": _moves, "dated": lambda p: _exits(p, True), "full": lambda p: _exits(p, False)}
+    return {name: make(summary[name]) for name, make in made.items() if name in summary}
+
+
+def compose(one: dict, other: dict) -> dict:
+    """The summary of two runs of lines, one after the other."""
+    if not one["opens"] and not any(p in one for p in ("bare", "dated", "full")):
+        return other
+    rules, out = Rules(*one["rules"]), dict(one)
+    for name, through in _parts_of(other).items():
+        if "full" in out:
+            first, table = out["full"]
+            out["full"] = [first, [[row[0], *through(State(*row[1:]), rules)] for row in table]]
+        elif name == "full":
+            out["full"] = other["full"]
+        elif "dated" in out:
+            first, table = out["dated"]
+            out["dated"] = [first, [[row[0], *through(State(*row[1:]), rules)] for row in table]]
+        elif name == "bare" and "bare" in out:
+            first, moved, off, zone = out["bare"]
+            tod = Line(*first).tod
+            now = through(State(tod + moved, off, zone), rules)
+            out["bare"] = [first, now.wall - tod, now.off, now.zone]
+        else:
+            out[name] = other[name]
+    return out
+
+
+def advance(summary: str | dict, entering: State | None) -> State | None:
+    """The time that leaves a block or a run of blocks."""
+    s = json.loads(summary) if isinstance(summary, str) else summary
     rules = Rules(*s["rules"])
     now = entering
     if now is None and s["opens"]:
         now = rules.start
-    if "bare" in s:
-        first, moved, off, zone = s["bare"]
-        at = step(Line(*first), now, rules)
-        now = State(at.wall + moved, off, zone)
-    if "dated" in s:
-        first, table = s["dated"]
-        at, shift = _canonical(step(Line(*first), now, rules))
-        exits = {row[0]: row for row in table}
-        _, wall, off, zone = exits[at.wall]
-        now = State(wall + shift, off, zone)
-    if "full" in s:
-        first, table = s["full"]
-        at = step(Line(*first), now, rules)
-        exits = {row[0]: row for row in table}
-        now = State(*exits[at.wall][1:])
+    for through in _parts_of(s).values():
+        now = through(now, rules)
     return now
 
 
@@ -211,23 +252,35 @@ def block_summary(rows: pa.Table) -> pa.Table:
     return pa.table({"_src": rows["_src"][:1], "block": rows["block"][:1], "summary": [text]})
 
 
-def entering_times(blocks: pa.Table) -> pa.Table:
-    """Summaries of one source in, the time that enters each block out."""
+def run_summary(blocks: pa.Table) -> pa.Table:
+    """The blocks of one run in, their composed summary out."""
     blocks = blocks.sort_by("block")
-    now, entering = None, []
+    out = None
     for summary in blocks["summary"].to_pylist():
+        out = json.loads(summary) if out is None else compose(out, json.loads(summary))
+    return pa.table({"_src": blocks["_src"][:1], "run": blocks["run"][:1], "block": blocks["block"][:1], "summary": [json.dumps(out)]})
+
+
+def _entering(rows: pa.Table, now: State | None) -> dict[str, pa.Array]:
+    entering = []
+    for summary in rows["summary"].to_pylist():
         entering.append(now or (None, None, None))
         now = advance(summary, now)
     walls, offs, zones = zip(*entering)
-    return pa.table(
-        {
-            "_src": blocks["_src"],
-            "block": blocks["block"],
-            "in_wall": pa.array(walls, pa.int64()),
-            "in_off": pa.array(offs, pa.int64()),
-            "in_zone": pa.array(zones, pa.string()),
-        }
-    )
+    return {"in_wall": pa.array(walls, pa.int64()), "in_off": pa.array(offs, pa.int64()), "in_zone": pa.array(zones, pa.string())}
+
+
+def entering_times(runs: pa.Table) -> pa.Table:
+    """Summaries of the runs of one source in, the time that enters each run out."""
+    runs = runs.sort_by("block")
+    return pa.table({"_src": runs["_src"], "block": runs["block"], "run": runs["run"], **_entering(runs, None)})
+
+
+def entering_blocks(blocks: pa.Table) -> pa.Table:
+    """The blocks of one run with the time that enters it in, the time that enters each block out."""
+    blocks = blocks.sort_by("block")
+    wall, off, zone = (blocks[c][0].as_py() for c in ("in_wall", "in_off", "in_zone"))
+    return pa.table({"_src": blocks["_src"], "block": blocks["block"], **_entering(blocks, None if wall is None else State(wall, off, zone))})
 
 
 def block_times(rows: pa.Table) -> pa.Table:

@@ -10,9 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brooklog.functions import timeparse as tp
+from brooklog.functions import utc
 from brooklog.model import micros
+from brooklog.operators import clock
 from brooklog.operators.ordering import KEY, NO_SOURCE, carry, join_blocks, restore_keys, settle_keys, with_seq
-from brooklog.operators.recurrence import block_summary, block_times, entering_times
+from brooklog.operators.recurrence import block_summary, block_times, entering_blocks, entering_times, run_summary
+from brooklog.session import settle
+
+#: Blocks whose effects one task composes.
+RUN_BLOCKS = 4096
 
 TIME_FIELDS = (
     "timestamp", "date", "time", "year", "month", "day", "hour", "minute", "second", "millis", "nanos", "tz",
@@ -110,7 +116,7 @@ def _line_columns(df: DataFrame, cfg: TimeConfig) -> DataFrame:
     p = F.col("_parts")
     given_y = F.nullif(p["y"], F.lit(0))
     two = F.coalesce((given_y > 0) & (given_y < 100), F.lit(False))
-    anchor_year = F.year("_anchor")
+    anchor_year = utc.year("_anchor")
     century = F.floor(anchor_year / 100) * 100 + given_y
     expanded = F.when(century > anchor_year, century - 100).otherwise(century).cast("int")
     pinned = cfg.year_strategy == "forced" and cfg.forced_year is not None
@@ -136,12 +142,12 @@ def _line_columns(df: DataFrame, cfg: TimeConfig) -> DataFrame:
 
 def _clamped(wall: Column, guessed: Column) -> Column:
     """A guessed year must not lead past the anchor: go back one year."""
-    utc = F.unix_micros(tp.to_utc(wall, F.col("_zone")))
+    at = F.unix_micros(tp.to_utc(wall, F.col("_zone")))
     moment = F.timestamp_micros(wall)
     back = tp.wall_micros(
-        F.year(moment) - 1, F.month(moment), F.dayofmonth(moment), F.pmod(wall, F.lit(86_400_000_000))
+        utc.year(moment) - 1, utc.month(moment), utc.day(moment), F.pmod(wall, F.lit(utc.DAY))
     )
-    late = guessed & (utc > F.unix_micros("_anchor") + F.lit(3_600_000_000))
+    late = guessed & (at > F.unix_micros("_anchor") + F.lit(3_600_000_000))
     return F.when(late, back).otherwise(wall)
 
 
@@ -149,9 +155,9 @@ def _resolve_dated(df: DataFrame) -> DataFrame:
     """Every timed line stands on its own; lines without a time take the last one before them."""
     full = F.col("_tod").isNotNull() & F.col("matched")
     wall = tp.wall_micros(
-        F.coalesce("_y", F.year("_anchor")),
-        F.coalesce("_mo", F.month("_anchor")),
-        F.coalesce("_d", F.dayofmonth("_anchor")),
+        F.coalesce("_y", utc.year("_anchor")),
+        F.coalesce("_mo", utc.month("_anchor")),
+        F.coalesce("_d", utc.day("_anchor")),
         F.col("_tod"),
     )
     timed = df.withColumn("_wall", F.when(full, wall))
@@ -178,9 +184,9 @@ def _offset_of_line() -> Column:
     day of a change of the clocks.
     """
     wall = tp.wall_micros(
-        F.coalesce("_y", F.year("_anchor")),
-        F.coalesce("_mo", F.month("_anchor")),
-        F.coalesce("_d", F.dayofmonth("_anchor")),
+        F.coalesce("_y", utc.year("_anchor")),
+        F.coalesce("_mo", utc.month("_anchor")),
+        F.coalesce("_d", utc.day("_anchor")),
         F.coalesce("_tod", F.lit(0).cast("bigint")),
     )
     fixed = F.col("_zone").rlike(r"^[+-]\d\d:\d\d$")
@@ -188,30 +194,55 @@ def _offset_of_line() -> Column:
     return F.when(fixed, tp.offset_seconds(F.col("_zone"))).otherwise(F.coalesce(named, F.lit(0)))
 
 
+def _line_parts() -> dict[str, Column]:
+    """What the clock of a source needs to know of a line."""
+    return {
+        "y": F.col("_y"),
+        "mo": F.col("_mo"),
+        "d": F.col("_d"),
+        "tod": F.col("_tod"),
+        "off": _offset_of_line(),
+        "zone": F.col("_zone"),
+        "two": F.col("_two"),
+        "inferred": F.col("_inferred"),
+        "anchor": F.unix_micros("_anchor"),
+        "rollover": F.col("_rollover"),
+    }
+
+
 def _resolve_running(df: DataFrame) -> DataFrame:
-    """Follow the clock of each source; see ``recurrence`` for why blocks suffice."""
-    lines = df.select(
-        *KEY,
-        "line_no",
-        F.col("_y").alias("y"),
-        F.col("_mo").alias("mo"),
-        F.col("_d").alias("d"),
-        F.col("_tod").alias("tod"),
-        _offset_of_line().alias("off"),
-        F.col("_zone").alias("zone"),
-        F.col("_two").alias("two"),
-        F.col("_inferred").alias("inferred"),
-        "matched",
-        F.unix_micros("_anchor").alias("anchor"),
-        F.col("_rollover").alias("rollover"),
-    )
+    """Follow the clock of each source: by sums where its lines allow it (``clock``), else line by line (``recurrence``).
+
+    One small row per block is written to the checkpoint folder first; which kinds of source there are, three at most,
+    is known from it before the rows are looked at.
+    """
+    parts = _line_parts()
+    lines = df.select(*KEY, "line_no", "matched", *(value.alias(name) for name, value in parts.items()))
+    states = settle(clock.entering(clock.block_marks(lines)))
+    kinds = {r[0] for r in states.select("_kind").distinct().collect()}
+    branches = []
+    if kinds != {clock.OTHER}:
+        branches.append(clock.resolve_sums(df, parts, states.filter(F.col("_kind") != clock.OTHER)))
+    if clock.OTHER in kinds:
+        left = states.filter(F.col("_kind") == clock.OTHER).select(*KEY)
+        branches.append(_resolve_by_line(df if len(kinds) == 1 else join_blocks(df, left), parts))
+    return reduce(DataFrame.unionByName, branches)
+
+
+def _resolve_by_line(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """Sources whose lines lean on each other in other ways; blocks are composed in runs of bounded length."""
+    lines = df.select(*KEY, "line_no", "matched", *(value.alias(name) for name, value in parts.items()))
     # Python work is heavy for its bytes, so the number of tasks is fixed rather than left to
     # be reduced by size.
     lines = lines.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
-    blocks = lines.groupBy(*KEY).applyInArrow(block_summary, "_src string, block long, summary string")
-    entering = blocks.groupBy("_src").applyInArrow(
-        entering_times, "_src string, block long, in_wall long, in_off long, in_zone string"
-    )
+    blocks = settle(lines.groupBy(*KEY).applyInArrow(block_summary, "_src string, block long, summary string"))
+    runs = max(1, -(-blocks.count() // RUN_BLOCKS))
+    # Neighbouring blocks fall into one run; the written table keeps which.
+    ranged = settle(blocks.repartitionByRange(runs, "_src", "block").withColumn("run", F.spark_partition_id()))
+    summaries = ranged.groupBy("_src", "run").applyInArrow(run_summary, "_src string, run int, block long, summary string")
+    into_runs = summaries.groupBy("_src").applyInArrow(entering_times, "_src string, block long, run int, in_wall long, in_off long, in_zone string")
+    entered = ranged.join(into_runs.drop("block"), ["_src", "run"])
+    entering = entered.groupBy("_src", "run").applyInArrow(entering_blocks, "_src string, block long, in_wall long, in_off long, in_zone string")
     times = (
         join_blocks(lines, entering)
         .groupBy(*KEY)
@@ -219,8 +250,8 @@ def _resolve_running(df: DataFrame) -> DataFrame:
             block_times, "_src string, block long, line_no long, wall long, zone string, ts_confidence string"
         )
     )
-    utc = tp.to_utc(F.col("wall"), F.col("zone"))
-    times = times.select(*KEY, "line_no", utc.alias("timestamp"), "ts_confidence", F.col("zone").alias("ts_zone"))
+    moment = tp.to_utc(F.col("wall"), F.col("zone"))
+    times = times.select(*KEY, "line_no", moment.alias("timestamp"), "ts_confidence", F.col("zone").alias("ts_zone"))
     return df.join(times, [*KEY, "line_no"])
 
 
@@ -288,10 +319,10 @@ def _lead(df: DataFrame, stated: Column) -> DataFrame:
     us, zone = F.get(stated, 0).try_cast("bigint"), F.get(stated, 1)
     at = F.from_utc_timestamp(F.timestamp_micros(us), zone)
     parts = {
-        "_y": F.year(at),
-        "_mo": F.month(at),
-        "_d": F.dayofmonth(at),
-        "_tod": F.pmod(F.unix_micros(at), F.lit(86_400_000_000)),
+        "_y": utc.year(at),
+        "_mo": utc.month(at),
+        "_d": utc.day(at),
+        "_tod": utc.time_of_day(at),
         "_zone": zone,
         "_two": F.lit(False),
         "_inferred": F.lit(False),
@@ -403,7 +434,7 @@ def profile_time(df: DataFrame, mtime: Column | None = None, now: dt.datetime |
     status = (
         F.when(~own_time & ~picked, "missing").when(picked, "inferred").when(width >= 4, "exact").otherwise("inferred")
     )
-    year_text = F.date_format(anchor, "yyyy")
+    year_text = F.lpad(utc.year(anchor).cast("string"), 4, "0")
     warning = (
         F.when(~own_time & ~picked, "no time fields found; every line is stamped from the anchor")
         .when(picked, F.concat(F.lit("time is taken from field "), F.col("best")))
@@ -448,6 +479,6 @@ def time_examples(df: DataFrame, n: int = 20) -> DataFrame:
             "n",
             "_raw",
             captured.alias("captured"),
-            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("resolved"),
+            utc.text("timestamp", 3).alias("resolved"),
         )
     )

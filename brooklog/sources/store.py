@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brooklog import model
+from brooklog.functions import utc
 from brooklog.functions.text import num
 from brooklog.operators.paging import sort_columns
 from brooklog.session import BROADCAST_ROWS, settle
@@ -128,7 +129,7 @@ def delete_from_store(spark: SparkSession, path: str, ids: Sequence[str] | DataF
     wanted = _id_frame(spark, ids)
     # An id opens with its time, so only the days of the ids are read.
     nanos = F.regexp_extract("_id", r"^(-?\d+)-", 1).try_cast("bigint")
-    named = wanted.select(F.to_date(F.timestamp_micros(F.floor(nanos / 1000))).alias("day")).filter("day is not null").distinct()
+    named = wanted.select(utc.date(F.timestamp_micros(utc.div(nanos, 1000))).alias("day")).filter("day is not null").distinct()
     stored = _read(spark, path).filter(F.col("log_date").isin([r[0] for r in named.collect()]))  # one row per day
     hit = settle(stored.select("_id", "log_date").join(wanted, "_id", "left_semi"))
     days = [r[0] for r in hit.select("log_date").distinct().collect()]  # one row per day
@@ -191,7 +192,7 @@ def export_frame(df: DataFrame, max_rows: int | None = None, sort_by: str = "tim
 
 def _text_of(name: str):
     if name == "timestamp":
-        return F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        return utc.text("timestamp", 6)
     return F.col(name).cast("string")
 
 

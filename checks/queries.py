@@ -16,6 +16,7 @@ from brooklog import model
 from brooklog.functions import predicates as q
 from brooklog.functions import relative
 from brooklog.functions import timeparse as tp
+from brooklog.functions import utc
 from brooklog.functions.grok import Pattern
 from brooklog.operators import display, extract, fold, histogram, ordering, paging, summary, tagging, timeres
 from brooklog.operators.timeres import TimeConfig
@@ -267,13 +268,13 @@ _SHAPES = (
 def parse_ts(spark: SparkSession, sf: str) -> DataFrame:
     """Every event time is printed in one of nine ways and read back."""
     ts = F.col("ts").cast("timestamp")
-    text, epoch = None, F.unix_micros(ts)
+    text, epoch = None, F.unix_micros(utc.from_wall("ts"))
     ways = [F.date_format(ts, s) for s in _SHAPES] + [F.call_function("div", epoch, F.lit(n)).cast("string") for n in (1_000_000, 1000, 1)]
     for i, way in enumerate(ways):
         text = F.when(F.col("event_id") % 9 == i, way) if text is None else text.when(F.col("event_id") % 9 == i, way)
     df = tp.with_parsed_ts(table(spark, sf, "events").withColumn("text", text), "p", F.col("text"))
-    utc = tp.to_utc(tp.wall_micros(F.col("p.y"), F.col("p.mo"), F.col("p.d"), F.col("p.tod")), F.col("p.zone"))
-    return df.select("event_id", us(utc).alias("ts_us"))
+    moment = tp.to_utc(tp.wall_micros(F.col("p.y"), F.col("p.mo"), F.col("p.d"), F.col("p.tod")), F.col("p.zone"))
+    return df.select("event_id", us(moment).alias("ts_us"))
 
 
 def _resolved(df: DataFrame) -> DataFrame:

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklog import model
+from brooklog.functions import utc
+
+
+#: The session zone of the queries; no row depends on it, and a test sets others.
+ZONE = "UTC"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.session.timeZone", ZONE)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -19,11 +24,11 @@ def _attrs(**values: Column) -> Column:
 
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
     """Events as log rows: the type is the source, the id the sequence."""
-    ts = F.col("ts").cast("timestamp")
+    ts = utc.from_wall("ts")
     df = table(spark, sf, "events").select(
         ts.alias("timestamp"),
-        F.to_date(ts).alias("log_date"),
-        F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), "event_type", F.concat(F.lit("user"), "user_id")).alias("_raw"),
+        utc.date(ts).alias("log_date"),
+        F.concat_ws(" ", utc.text(ts, between=" ", end=""), "event_type", F.concat(F.lit("user"), "user_id")).alias("_raw"),
         F.col("event_type").alias("_src"),
         F.col("event_id").alias("_seq"),
         F.lit(None).cast("string").alias("error"),
@@ -37,7 +42,7 @@ def document_log(spark: SparkSession, sf: str) -> DataFrame:
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60)
     df = table(spark, sf, "documents").select(
         ts.alias("timestamp"),
-        F.to_date(ts).alias("log_date"),
+        utc.date(ts).alias("log_date"),
         F.col("text").alias("_raw"),
         F.col("source").alias("_src"),
         F.col("doc_id").alias("_seq"),
@@ -65,7 +70,7 @@ def document_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Events printed as log lines in three formats, one of which no pattern knows."""
-    ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    ts = utc.text(utc.from_wall("ts"), between=" ", end="")
     plain = F.concat_ws(" ", ts, F.upper("event_type"), F.concat(F.lit("user="), "user_id"), F.concat(F.lit("k="), F.get_json_object("props", "$.k")))
     pairs = F.concat(F.lit("ts="), ts, F.lit(" type="), "event_type", F.lit(" user="), "user_id", F.lit(' msg="seen"'))
     other = F.concat(F.lit("?? "), "event_type")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from brooklog import model
 from brooklog.functions.text import num
+from brooklog.operators.deep_paging import page_deep
 
 MAX_PAGE = 1000
+#: Offsets beyond it are found by rank selection, see ``deep_paging``.
+DEEP_OFFSET = 100_000
 
 
 @dataclass(frozen=True)
@@ -23,7 +26,7 @@ class LastKey:
     id: str
 
 
-def _check(limit: int, offset: int, order: str) -> None:
+def check_page(limit: int, offset: int, order: str) -> None:
     if order not in ("asc", "desc"):
         raise ValueError("order must be 'asc' or 'desc'")
     if not 1 <= limit <= MAX_PAGE:
@@ -62,8 +65,13 @@ def page(
     order: str = "desc",
     sort_by: str | Column = "timestamp",
 ) -> DataFrame:
-    """One page.  Planned as a bounded top-k (offset + limit rows per task), not as a full sort."""
-    _check(limit, offset, order)
+    """One page.  Planned as a bounded top-k (offset + limit rows per task), not as a full sort.
+
+    A page that begins beyond ``DEEP_OFFSET`` is found by counting passes instead, which run at once.
+    """
+    check_page(limit, offset, order)
+    if offset > DEEP_OFFSET:
+        return page_deep(df, limit, offset, order, sort_by)
     ordered = df.orderBy(*sort_columns(sort_by, order))
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
@@ -85,7 +93,7 @@ def page_after(df: DataFrame, last: LastKey, limit: int, order: str = "desc") ->
     The plain bound on ``timestamp`` is stated besides the exact key test because only
     that one can reach Parquet statistics.
     """
-    _check(limit, 0, order)
+    check_page(limit, 0, order)
     key = F.struct(F.col("timestamp"), F.col("_seq"), F.col("_id"))
     mark = F.struct(model.moment(last.timestamp), F.lit(last.seq).cast("long"), F.lit(last.id))
     if order == "desc":

@@ -20,9 +20,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from brooklog.functions import utc
 from brooklog.model import moment
 from brooklog.operators import ordering, timeres
 from brooklog.operators.fold import is_header
+from brooklog.operators.ordering import KEY, NO_SOURCE, earlier_blocks, join_blocks, settle_keys, up_to_here
 from brooklog.plans.ingest import IngestOptions, finish, parse
 from brooklog.session import settle
 from brooklog.sources import store
@@ -268,35 +270,64 @@ def live_ingest(
         conf.set(flag, usual)
 
 
+def _counted_up_to(counts: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` with ``upto``: the sum of ``n`` of the rows of ``counts`` before each point.
+
+    Both have ``_src, block, line_no``; a point has an odd place between the even ones of counts.  Rows are added up
+    inside their block, blocks by one row each, so a point is looked up without meeting any row.
+    """
+    none = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns if c not in (*KEY, "line_no")]
+    both = counts.select(*KEY, "line_no", "n", *none).unionByName(points.withColumn("n", F.lit(0).cast("bigint")))
+    inside = F.coalesce(F.sum("n").over(up_to_here()), F.lit(0))
+    sums = both.groupBy(*KEY).agg(F.sum("n").alias("_n"))
+    before = sums.select(*KEY, F.coalesce(F.sum("_n").over(earlier_blocks()), F.lit(0)).alias("_before"))
+    counted = join_blocks(both.withColumn("_inside", inside), before).filter(F.col("sign").isNotNull())
+    return counted.withColumn("upto", F.col("_inside") + F.col("_before")).drop("_inside", "_before", "n")
+
+
 def skipped(rows: DataFrame, pauses: DataFrame, bucket_seconds: int = 60) -> DataFrame:
     """Rows each viewer missed while paused, per source: ``viewer, _src, skipped``.
 
     ``rows`` has ``arrival`` and ``_src``; ``pauses`` has ``viewer, pause_from, pause_to`` and
-    optionally ``only_src``.  Rows are counted per source and minute first; a pause takes
-    whole minutes from those counts and looks at single arrival times only in its first
-    and last minute.  No row is paired with a pause, only counts are.
+    optionally ``only_src``.  What a pause missed of a source is the difference of two running
+    counts: that up to its end and that before its beginning.  Rows are counted per source and
+    minute; the minutes of a day are added up, and the days.  Fine times are looked at only in
+    the minutes in which a pause begins or ends.  The work grows with the minutes that hold
+    rows and with the rows of the result, not with the length of the pauses.
     """
     width = bucket_seconds * 1_000_000
-    us = F.unix_micros("arrival")
-    arrivals = rows.groupBy("_src", us.alias("us")).agg(F.count(F.lit(1)).alias("n"))
-    arrivals = arrivals.withColumn("bucket", F.call_function("div", F.col("us"), F.lit(width)))
+    a_day = max(1, 86_400 // bucket_seconds)
+    at = utc.div(F.col("us"), width)
+    arrivals = settle_keys(rows.select("_src", F.lit(0).cast("bigint").alias("block"), F.unix_micros("arrival").alias("us")).filter("us is not null"))
+    arrivals = arrivals.groupBy("_src", "us").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", at)
     minutes = arrivals.groupBy("_src", "bucket").agg(F.sum("n").alias("n"))
-
-    div = lambda c: F.call_function("div", c, F.lit(width))
     p = pauses.select(
         "viewer",
         F.unix_micros("pause_from").alias("lo"),
         F.unix_micros("pause_to").alias("hi"),
         (F.col("only_src") if "only_src" in pauses.columns else F.lit(None).cast("string")).alias("only_src"),
     ).filter(F.col("lo") <= F.col("hi"))
-    first, last = div(F.col("lo")), div(F.col("hi"))
-    inner = p.filter(last - first > 1).withColumn("bucket", F.explode(F.sequence(first + 1, last - 1)))
-    edges = p.withColumn("bucket", F.explode(F.array_distinct(F.array(first, last))))
-    fits = F.col("only_src").isNull() | (F.col("only_src") == F.col("_src"))
-    whole = inner.join(minutes, "bucket").filter(fits).select("viewer", "_src", "n")
-    partial = edges.join(arrivals, "bucket").filter(fits & F.col("us").between(F.col("lo"), F.col("hi")))
-    found = whole.unionByName(partial.select("viewer", "_src", "n"))
-    return found.groupBy("viewer", "_src").agg(F.sum("n").alias("skipped"))
+    # A pause without a source of its own is asked of every source: as many rows as the result has.
+    every = minutes.agg(F.array_sort(F.collect_set("_src")).alias("s")).scalar()
+    asked = p.withColumn("_src", F.explode(F.when(F.col("only_src").isNull(), every).otherwise(F.array("only_src"))))
+    # Up to and with the end; up to but without the beginning.
+    ends = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("hi").alias("us")), F.struct(F.lit(-1).alias("sign"), (F.col("lo") - 1).alias("us"))))
+    points = asked.select("viewer", "_src", ends.alias("p")).select("viewer", "_src", "p.sign", "p.us").withColumn("bucket", at)
+
+    whole = _counted_up_to(
+        minutes.select("_src", utc.div(F.col("bucket"), a_day).alias("block"), (F.col("bucket") * 2).alias("line_no"), "n"),
+        points.select("_src", utc.div(F.col("bucket"), a_day).alias("block"), (F.col("bucket") * 2 - 1).alias("line_no"), "viewer", "sign"),
+    )
+    edge = points.select("_src", "bucket").distinct()
+    inside = arrivals.join(edge, ["_src", "bucket"], "left_semi")
+    line = Window.partitionBy("_src", "bucket").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = inside.select("_src", "bucket", (F.col("us") * 2).alias("line_no"), "n", F.lit(None).cast(points.schema["viewer"].dataType).alias("viewer"), F.lit(None).cast("int").alias("sign"))
+    fine = fine.unionByName(points.select("_src", "bucket", (F.col("us") * 2 + 1).alias("line_no"), F.lit(0).cast("bigint").alias("n"), "viewer", "sign"))
+    partial = fine.withColumn("upto", F.sum("n").over(line)).filter(F.col("sign").isNotNull())
+
+    both = whole.select("viewer", "_src", "sign", "upto").unionByName(partial.select("viewer", "_src", "sign", "upto"))
+    found = both.groupBy("viewer", "_src").agg(F.sum(F.col("sign") * F.col("upto")).alias("skipped")).filter("skipped > 0")
+    return found.withColumn("_src", F.nullif("_src", F.lit(NO_SOURCE)))
 
 
 def order_by_arrival(stream: DataFrame, src: str = "_src", value: str = "value", order: str = "offset") -> DataFrame:

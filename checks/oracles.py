@@ -299,6 +299,11 @@ ORACLES: dict[str, str] = {
     "export_rows": _with(E, f"SELECT id, value, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts FROM e WHERE {ASKED}"),
     "skipped_while_paused": _with(E, f""", p AS (SELECT n_name AS viewer, 1704067200000000 + n_nationkey * {DAY} AS lo FROM nation)
         SELECT viewer, src, count(*) AS skipped FROM p JOIN e ON us BETWEEN lo AND lo + {DAY * 3 // 2} GROUP BY 1, 2"""),
+    "skipped_for_a_year": _with(E, f""", p AS (SELECT n_name AS viewer, 1704067200123456 + n_nationkey * 90000000000 AS lo, n_nationkey % 5 = 0 AS one FROM nation)
+        SELECT viewer, src, count(*) AS skipped FROM p JOIN e ON us BETWEEN lo AND lo + {DAY} * 365 AND (NOT one OR src = 'click') GROUP BY 1, 2"""),
+    "page_deep": _page("ORDER BY us DESC, event_id DESC LIMIT 200 OFFSET (SELECT count(*) // 2 FROM events)"),
+    "page_deep_by_field": """SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS _id, l_orderkey * 8 + l_linenumber AS seq,
+        l_quantity AS quantity FROM lineitem ORDER BY l_quantity, seq, _id LIMIT 300 OFFSET (SELECT count(*) // 2 FROM lineitem)""",
     "search_page": _with(E, f"SELECT id AS _id, vtxt AS value FROM e WHERE {ASKED} ORDER BY value ASC, event_id ASC LIMIT 50 OFFSET 10".replace("ORDER BY value", "ORDER BY e.value")),
     "search_totals": _with(E, f"SELECT count(*) AS total, 0 AS \"offset\", 0 AS \"count\" FROM e WHERE us BETWEEN {START} AND {END} AND value > 50"),
     "ingest_rows": _with(LINES, f""", m AS (SELECT l.*, regexp_matches(raw, '{PLAIN_RE}') OR regexp_matches(raw, '{PAIRS_RE}') AS matched, {SECONDS} AS own,

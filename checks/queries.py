@@ -18,7 +18,7 @@ from brooklog.functions import relative
 from brooklog.functions import timeparse as tp
 from brooklog.functions import utc
 from brooklog.functions.grok import Pattern
-from brooklog.operators import display, extract, fold, histogram, ordering, paging, summary, tagging, timeres
+from brooklog.operators import deep_paging, display, extract, fold, histogram, ordering, paging, summary, tagging, timeres
 from brooklog.operators.timeres import TimeConfig
 from brooklog.plans.ingest import IngestOptions, preview
 from brooklog.plans.search import search
@@ -466,6 +466,32 @@ def skipped_while_paused(spark: SparkSession, sf: str) -> DataFrame:
     return live.skipped(rows, pauses).select("viewer", F.col("_src").alias("src"), "skipped")
 
 
+def skipped_for_a_year(spark: SparkSession, sf: str) -> DataFrame:
+    """Every nation is a viewer that paused for a year; every fifth watches one source only."""
+    n = table(spark, sf, "nation")
+    start = F.timestamp_micros(F.lit(1704067200_123456) + F.col("n_nationkey") * 90_000_000_000)
+    only = F.when(F.col("n_nationkey") % 5 == 0, "click")
+    pauses = n.select(F.col("n_name").alias("viewer"), start.alias("pause_from"), (start + F.expr("interval 365 days")).alias("pause_to"), only.alias("only_src"))
+    rows = event_log(spark, sf).select(F.col("timestamp").alias("arrival"), "_src")
+    return live.skipped(rows, pauses).select("viewer", F.col("_src").alias("src"), "skipped")
+
+
+def page_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """The page in the middle of all events."""
+    log = event_log(spark, sf)
+    return _page(deep_paging.page_deep(log, 200, log.count() // 2, few=500))
+
+
+def page_deep_by_field(spark: SparkSession, sf: str) -> DataFrame:
+    """The page in the middle of all line items by quantity, of which there are fifty."""
+    rows = table(spark, sf, "lineitem").select(
+        F.lit(None).cast("timestamp").alias("timestamp"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_seq"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("_id"), F.create_map(F.lit("quantity"), F.col("l_quantity").cast("string")).alias("attrs"),
+    )
+    found = deep_paging.page_deep(rows, 300, rows.count() // 2, "asc", "quantity", few=500)
+    return found.select("_id", F.col("_seq").alias("seq"), F.col("attrs")["quantity"].cast("double").alias("quantity"))
+
+
 def search_page(spark: SparkSession, sf: str) -> DataFrame:
     r = search(event_log(spark, sf), q.num_range("value", gt=50), START, END, ["error", "click"], sort_by="value", order="asc", limit=50, offset=10)
     return r.page.select("_id", F.col("attrs")["value"].alias("value"))
@@ -487,6 +513,9 @@ QUERIES: dict[str, Query] = {
     "page_by_field": page_lineitem,
     "page_summary": _on_events(lambda d: paging.page_summary(asked(d), 100, 20)),
     "page_after": page_after,
+    "page_deep": page_deep,
+    "page_deep_by_field": page_deep_by_field,
+    "skipped_for_a_year": skipped_for_a_year,
     "latest_n": _on_events(lambda d: _page(paging.latest(d, 1000))),
     "dropped": _on_events(lambda d: paging.dropped(d, 1000)),
     "bounds": _on_events(lambda d: summary.bounds(d).select(us("first_ts").alias("first_us"), us("last_ts").alias("last_us"))),

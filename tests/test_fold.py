@@ -1,5 +1,6 @@
 """Folding and its detection."""
 
+import random
 import re
 
 import pytest
@@ -67,41 +68,43 @@ def test_one_source_without_headers_is_cut(spark):
     assert out.agg(F.sum("n_lines")).first()[0] == 1000
 
 
-DETECT = {
-    # A bare exception line rules out folding by indent; two lines are folded.
-    "ferry": (
-        ["2031-02-11 04:10:55 WARN tide table stale", "harbour.tide.TableError: row 12", "\tat harbour.tide.Table.load(Table.kt:40)",
-         "2031-02-11 04:10:59 INFO retry in 5", "2031-02-11 04:11:04 INFO loaded"],
-        "iso8601",
-    ),
-    # Dates and indents fold the same lines; the date comes first.
-    "orchard": (["2031-02-11T06:00:00 graft begun", "    stock: quince", "    scion: pear", "2031-02-11T06:30:00 graft done"], "iso8601"),
-    "recipe": (["dough:", "  flour 500", "  water 350", "bake:", "  heat 230"], "indent"),
-    "mast": (
-        ["Mar  3 02:14:07 buoy modem[77]: link up", "Mar  3 02:15:30 buoy gps: fix lost", "    sats: 2", "    hdop: 9",
-         "Mar  3 02:16:01 buoy modem[77]: panic", "radio.LinkError: no carrier", "Mar  3 02:16:02 buoy modem[77]: up"],
-        "syslog",
-    ),
-    "toll": (["gate 7 car 0042 paid 3.10"] * 4, None),
-    "brief": (["2031-02-11 04:10:55 WARN stale", "harbour.tide.TableError: row 12"], None),
-    "valves": (["09.11.31 07:15 valve a", "09.11.31 07:16 valve b", "09.11.31 07:18 valve c"], None),
-    "still": (
-        ["2031-05-06 07:08:09 FATAL still blocked", "alembic.core.PressureException: 7 bar", "\tat alembic.core.Valve.open(Valve.scala:19)",
-         "Caused by: alembic.io.SensorError: stuck", "\t... 3 more", "2031-05-06 07:08:30 INFO vented"],
-        "iso8601",
-    ),
-}
-
-
-def test_detection(spark):
-    df = None
-    for src, (texts, _) in DETECT.items():
-        f = lines(spark, texts, 2, src)
-        df = f if df is None else df.unionByName(f)
-    got = {r._src: r.name for r in fo.detect_fold(df).collect()}
-    assert got == {k: v for k, (_, v) in DETECT.items()}
-    still = folded(df.filter("_src = 'still'"), "header", fo.ISO_HEADER)
-    assert len(still) == 2 and "Caused by" in still[0] and not any(re.match(fo.TRACE_CONTINUATION, r) for r in still)
+def plain_score(texts, library=()):
+    """The best way to fold some lines by the scoring rule, counted in a plain loop; None if none is of use."""
+    known = lambda t: any(re.search(p, t) for p in library)
+    best = (0, None)
+    for name, mode, header in fo.CANDIDATES:
+        opens = [i == 0 or bool(re.search(header, t) if mode == "header" else not re.match("[ \t]", t)) for i, t in enumerate(texts)]
+        heads = [t for t, o in zip(texts, opens, strict=True) if o]
+        orphans = sum(bool(re.search(fo.TRACE_CONTINUATION, t)) for t in heads)
+        score = len(texts) - len(heads) - 8 * orphans + (2 if 2 * sum(map(known, heads)) > len(heads) else 0)
+        bare = any(re.search(fo.TRACE_CONTINUATION, t) and not re.match("[ \t]", t) for t in texts)
+        if len(texts) >= 3 and 2 <= len(heads) < len(texts) and score > best[0] and not (mode == "indent" and bare):
+            best = (score, name)
+    return best
+
+
+def random_logs(n=150, seed=21):
+    """Logs put together from openings and continuations, so that scores tie, and orphans tip them either way."""
+    pick = random.Random(seed)
+    heads = ["2030-07-01 10:00:0{} a", "Jul  1 10:00:0{} b", "2030-07-01T10:00:0{} c", "step {}", "{} plain"]
+    tails = ["  more {}", "\tmore {}", "more {}", "at x.y{}", "Caused by: {}", "a.b.OddError{}", "... 4 more", ""]
+    out = {}
+    for i in range(n):
+        some, rest = pick.sample(heads, pick.randint(1, 2)), pick.sample(tails, pick.randint(1, 3))
+        lines = [(pick.choice(some) if pick.random() < pick.choice([0.3, 0.5, 0.8]) else pick.choice(rest)).format(j % 10) for j in range(pick.choice([1, 2, 3, 5, 9, 24]))]
+        out[f"log-{i}"] = [x or "blank" for x in lines]
+    return out
+
+
+@pytest.mark.parametrize("library", [(), (r"^2030-\d\d-\d\d[ T]", "^step ")])
+def test_detection_against_a_plain_count(spark, library):
+    logs = random_logs()
+    rows = [(src, i // 2, i, t) for src, texts in logs.items() for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "_src string, block long, line_no long, line string")
+    got = {r._src: (r.score, r.name) if r.name else (0, None) for r in fo.detect_fold(df, library).collect()}
+    want = {src: plain_score(texts, library) for src, texts in logs.items()}
+    assert got == want
+    assert {name for _, name in want.values()} == {None, "syslog", "iso8601", "indent"}
 
 
 def test_headers_in_the_words_of_the_engine(spark):

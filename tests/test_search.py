@@ -1,6 +1,8 @@
 """Predicates, pages, histograms, summaries, tags and views on hand-built rows."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from brooklog import model
 from brooklog.functions import predicates as q
 from brooklog.functions import relative
-from brooklog.operators import display, histogram, paging, summary, tagging
+from brooklog.operators import deep_paging, display, histogram, paging, summary, tagging
 from brooklog.plans.search import search
 from brooklog.plans.views import View, run_views, view_page
 
@@ -24,68 +26,112 @@ def log(spark, rows):
     return model.with_row_id(model.with_log_date(df))
 
 
+# Predicates are held against plain Python on random rows; the words are few, so that every predicate meets some rows.
+WORDS = ("ash", "ashes", "Birch", "birch_bark", "cedar", "cedra", "elm", "Élan", "fir", "x1", "x10")
+FIELDS = ("tree", "note", "girth")
+FLOORS = ("upper.wood", "lower wood", "mill")
+
+
 @pytest.fixture(scope="module")
-def two_sources(spark):
-    return log(
-        spark,
-        [
-            (T0, "pump 4 refused valve order code 731", "north.station.log", {"pump": "4", "kind": "/Refused", "code": "731"}),
-            (T0 + MIN, "pump 4 took valve order code 204", "north.station.log", {"pump": "4", "kind": "/Took", "code": "204"}),
-            (T0 + 2 * MIN, "night crew lost radio contact near quarry", "crew.radio.log",
-             {"level": "alarm", "crew": "night-crew", "message": "radio contact lost near quarry", "zone": "red falcon"}),
-            (T0 + 3 * MIN, "night crew closed the round", "crew.radio.log",
-             {"level": "calm", "crew": "night-crew", "message": "closed the round"}),
-        ],
-    ).cache()
-
-
-CASES = [
-    (lambda: q.num_range("code", ge=700), [0]),
-    (lambda: q.num_range("code", gt=204), [0]),
-    (lambda: q.num_range("code", ge=204, lt=731), [1]),
-    (lambda: q.num_range("code", le=731), [0, 1]),
-    (lambda: q.num_eq(731, "code"), [0]),
-    (lambda: q.num_eq(731), [0]),
-    (lambda: q.num_eq(4, "pump"), [0, 1]),
-    (lambda: q.phrase("radio contact"), [2]),
-    (lambda: q.phrase("radio contact", "message"), [2]),
-    (lambda: q.phrase("contact radio", "message"), []),
-    (lambda: q.phrase("quarry red"), []),  # neighbours only across two fields
-    (lambda: q.phrase("raido contcat", fuzziness=2), [2]),
-    (lambda: q.phrase("raido contcat", "message", fuzziness=1), []),
-    (lambda: q.phrase("--"), []),
-    (lambda: q.phrase("red falcon"), [2]),
-    (lambda: q.term("falcon"), [2]),
-    (lambda: q.term("FALCON"), [2]),
-    (lambda: q.term("falco"), []),
-    (lambda: q.wildcard("falc*"), [2]),
-    (lambda: q.wildcard("*alcon"), [2]),
-    (lambda: q.wildcard("f?lcon"), [2]),
-    (lambda: q.regex("falc.*"), [2]),
-    (lambda: q.regex("alco"), []),
-    (lambda: q.regex("crew lost", on="text"), [2]),
-    (lambda: q.fuzzy("falcom", 1), [2]),
-    (lambda: q.fuzzy("valcom", 1), []),
-    (lambda: q.all_of(q.term("alarm", "level"), q.term("falcon", "zone")), [2]),
-    (lambda: q.any_of(q.term("alarm", "level"), q.term("731")), [0, 2]),
-    (lambda: q.none_of(q.term("alarm", "level")), [0, 1, 3]),
-    (lambda: q.match_all(), [0, 1, 2, 3]),
-    (lambda: q.from_sources(["north.station.log"]), [0, 1]),
-    (lambda: q.from_sources(["station"]), []),
-    (lambda: q.from_sources(["station"], exact=False), [0, 1]),
-    (lambda: q.from_sources([]), []),
-    (lambda: q.from_sources(None), [0, 1, 2, 3]),
-    (lambda: q.term("calm", "level") & q.from_sources(["crew.radio.log"]), [3]),
-    (lambda: q.ts_range(gt=T0, lt=T0 + 2 * MIN), [1]),
-    (lambda: q.in_window(T0, T0 + MIN), [0, 1]),
-    (lambda: q.in_window(T0 + MIN, T0), []),
-]
-
-
-def test_predicates(two_sources):
-    hits = two_sources.select("_seq", *[p().alias(f"c{i}") for i, (p, _) in enumerate(CASES)]).orderBy("_seq").collect()
-    for i, (_, want) in enumerate(CASES):
-        assert [r._seq for r in hits if r[f"c{i}"]] == want, f"case {i}"
+def wood(spark):
+    """(frame, plain rows): 80 random rows of three sources with overlapping words, numbers that are text, missing fields."""
+    pick = random.Random(77)
+    some = lambda n: pick.choice([" ", "-", " / "]).join(pick.choice(WORDS) for _ in range(pick.randint(1, n)))
+    rows = []
+    for i in range(80):
+        values = {"tree": some(1), "note": some(4), "girth": pick.choice(["3", "10", "10.5", "-2", "1e2", "wide", " 7", "x10"])}
+        fields = {k: v for k, v in values.items() if pick.random() < 0.7}
+        rows.append((T0 + pick.randrange(0, 40) * MIN, some(3), pick.choice(FLOORS), fields, i))
+    return log(spark, rows).cache(), rows
+
+
+def cut_up(text):
+    return re.findall(r"\w+", text.lower())
+
+
+def parts_of(row, field):
+    """The texts a predicate looks at."""
+    if field is None:
+        return [row[1], row[2], *row[3].values()]
+    value = {"_raw": row[1], "_src": row[2]}.get(field, row[3].get(field))
+    return [] if value is None else [value]
+
+
+def edits(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, line[0] = line[0], i
+        for j, y in enumerate(b, 1):
+            last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+    return line[-1]
+
+
+def any_token(row, field, test):
+    return any(test(t) for text in parts_of(row, field) for t in cut_up(text))
+
+
+def in_a_row(row, field, words, near):
+    wanted = cut_up(words)
+    return bool(wanted) and any(
+        all(near(h, w) for h, w in zip(have[i:], wanted, strict=False))
+        for have in map(cut_up, parts_of(row, field)) for i in range(len(have) - len(wanted) + 1)
+    )
+
+
+def number(row, field):
+    value = row[3].get(field)
+    return float(value) if value is not None and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", value) else None
+
+
+def random_cases(n=140, seed=5):
+    """Pairs of a predicate and its plain meaning."""
+    pick = random.Random(seed)
+    out = []
+    for i in range(n):
+        word, field, other = pick.choice(WORDS), pick.choice([None, "_raw", "_src", *FIELDS]), pick.choice(WORDS)
+        low, high, d = pick.choice([-2, 3, 7, 10]), pick.choice([3, 10, 10.5, 100]), pick.randint(0, 2)
+        typo = word.replace(word[-1], "q", 1) if pick.random() < 0.5 else word
+        loose = word[: pick.randint(1, 3)] + pick.choice(["*", "?", "?*"])
+        fits = re.compile(loose.lower().replace("*", r"\w*").replace("?", r"\w")).fullmatch
+        at = T0 + pick.randrange(0, 40) * MIN
+        out.append([
+            (q.term(f"{word} {other}", field), lambda r, f=field, w=(word, other): any_token(r, f, lambda t: t in [x.lower() for x in w])),
+            (q.phrase(f"{word} {other}", field), lambda r, f=field, w=f"{word} {other}": in_a_row(r, f, w, lambda h, x: h == x)),
+            (q.phrase(f"{typo} {other}", field, fuzziness=d), lambda r, f=field, w=f"{typo} {other}", d=d: in_a_row(r, f, w, lambda h, x: edits(h, x) <= d)),
+            (q.wildcard(loose, field), lambda r, f=field, fits=fits: any_token(r, f, lambda t: fits(t))),
+            (q.regex(f"{word.lower()[:2]}.*", field), lambda r, f=field, w=word.lower()[:2]: any_token(r, f, lambda t: t.startswith(w))),
+            (q.regex(f"{word} ", field, on="text"), lambda r, f=field, w=f"{word} ": any(w in x for x in parts_of(r, f))),
+            (q.fuzzy(typo, d, field), lambda r, f=field, w=typo.lower(), d=d: any_token(r, f, lambda t: edits(t, w) <= d)),
+            (q.num_range("girth", ge=low, lt=high), lambda r, a=low, b=high: (x := number(r, "girth")) is not None and a <= x < b),
+            (q.num_range("girth", gt=low, le=high), lambda r, a=low, b=high: (x := number(r, "girth")) is not None and a < x <= b),
+            (q.num_eq(high, "girth"), lambda r, a=high: number(r, "girth") == a),
+            (q.from_sources([FLOORS[i % 3], "none"]), lambda r, a=FLOORS[i % 3]: r[2] == a),
+            (q.from_sources(["wood"], exact=False), lambda r: "wood" in cut_up(r[2])),
+            (q.ts_range(gt=at, le=at + 9 * MIN), lambda r, a=at: a < r[0] <= a + 9 * MIN),
+            (q.in_window(at, at + 9 * MIN), lambda r, a=at: a <= r[0] <= a + 9 * MIN),
+        ][i % 14])
+    for i in range(0, n - 2, 9):
+        (a, x), (b, y), (c, z) = out[i : i + 3]
+        out.append((q.all_of(a, b) | ~c, lambda r, x=x, y=y, z=z: (x(r) and y(r)) or not z(r)))
+        out.append((q.none_of(a, b) & q.any_of(c, q.match_all()), lambda r, x=x, y=y: not (x(r) or y(r))))
+    nothing = (q.phrase("--"), q.term("?!"), q.from_sources([]), q.in_window(T0 + MIN, T0), q.any_of())
+    return out + [(p, lambda r: False) for p in nothing] + [(p, lambda r: True) for p in (q.match_all(), q.from_sources(None), q.all_of())]
+
+
+def test_predicates(wood):
+    df, rows = wood
+    cases = random_cases()
+    hits = {}
+    for start in range(0, len(cases), 40):
+        part = cases[start : start + 40]
+        for r in df.select("_seq", *[p.alias(f"c{start + i}") for i, (p, _) in enumerate(part)]).collect():
+            hits.setdefault(r._seq, {}).update(r.asDict())
+    met = 0
+    for i, (_, plain) in enumerate(cases):
+        want = [row[4] for row in rows if plain(row)]
+        assert [row[4] for row in rows if hits[row[4]][f"c{i}"]] == want, f"case {i}"
+        met += 0 < len(want) < len(rows)
+    assert met > 100
 
 
 def test_open_ranges_skip_text(spark):
@@ -95,55 +141,81 @@ def test_open_ranges_skip_text(spark):
 
 
 @pytest.fixture(scope="module")
-def page_rows(spark):
-    one = dt.datetime(2024, 1, 15, tzinfo=dt.timezone.utc)
-    two, h = one + dt.timedelta(days=1), dt.timedelta(hours=1)
-    rows = [
-        (one + 8 * h, "outside before", "app.log", 0), (one + 10 * h, "first equal", "app.log", 1),
-        (one + 10 * h, "second equal", "app.log", 2), (two + 9 * h, "next day", "app.log", 3),
-        (two + 12 * h, "outside after", "app.log", 4), (one + 11 * h, "system row", "system.log", 5),
-    ]
-    df = log(spark, [(t, raw, src, {"message": raw.replace(" ", "-")}, seq) for t, raw, src, seq in rows])
-    return df.cache(), one + 9 * h, two + 10 * h
-
-
-def test_search_page(page_rows):
-    df, start, end = page_rows
-    r = search(df, start=start, end=end, sources=["app.log", "system.log"], limit=2, offset=1)
-    assert [x._raw for x in r.page.collect()] == ["system row", "second equal"] and "_seq" not in r.page.columns
-    assert tuple(r.totals.first()) == (4, 1, 2)
-    columns = {x.column for x in r.columns.collect()}
-    assert {"_id", "_raw", "_src", "message", "timestamp"} <= columns and "_seq" not in columns
-    dist = r.distribution.collect()
-    assert len(dist) == 100 and sum(x["count"] for x in dist) == 4
-    assert sum(x.source_counts.get("app.log", 0) for x in dist) == 3 and sum(x.source_counts.get("system.log", 0) for x in dist) == 1
-    one = search(df, q.term("second", "message"), start, end, ["app.log"], limit=10)
-    assert [x._raw for x in one.page.collect()] == ["second equal"]
-    up = search(df, start=start, end=end, order="asc", limit=3)
-    assert [x._raw for x in up.page.collect()] == ["first equal", "second equal", "system row"]
-    assert tuple(search(df, start=start, end=end, limit=2, offset=9).totals.first()) == (4, 0, 0)
-    plan = one.page._jdf.queryExecution().toString()
-    assert "TakeOrderedAndProject" in plan
-
-
-def test_page_limits(page_rows):
-    df, *_ = page_rows
+def tied(spark):
+    """(frame, plain rows): 90 rows in 12 moments over three days, so that most moments are shared."""
+    pick = random.Random(8)
+    moments = [T0 + dt.timedelta(hours=pick.randrange(0, 72)) for _ in range(12)]
+    rows = [(pick.choice(moments), f"line {i}", pick.choice(FLOORS), {"tree": pick.choice(WORDS)}, i) for i in range(90)]
+    return log(spark, rows).cache(), rows
+
+
+@pytest.mark.parametrize(("order", "limit", "offset"), [("desc", 7, 0), ("asc", 10, 13), ("desc", 25, 60), ("desc", 5, 400)])
+def test_search(tied, order, limit, offset):
+    """Page, totals, columns and histogram of a window of two sources."""
+    df, rows = tied
+    start, end, asked = T0 + dt.timedelta(hours=6), T0 + dt.timedelta(hours=60), FLOORS[:2]
+    inside = sorted((r for r in rows if start <= r[0] <= end and r[2] in asked), key=lambda r: (r[0], r[4]), reverse=order == "desc")
+    found = search(df, start=start, end=end, sources=asked, limit=limit, offset=offset, order=order)
+    assert [r._raw for r in found.page.collect()] == [r[1] for r in inside[offset : offset + limit]] and "_seq" not in found.page.columns
+    past = offset >= len(inside)
+    assert tuple(found.totals.first()) == (len(inside), 0 if past else offset, len(inside[offset : offset + limit]))
+    columns = {r.column for r in found.columns.collect()}
+    assert {"_id", "_raw", "_src", "tree", "timestamp"} <= columns and "_seq" not in columns
+    counted = found.distribution.collect()
+    assert len(counted) == 100
+    for source in asked:
+        assert sum(b.source_counts.get(source, 0) for b in counted) == sum(r[2] == source for r in inside)
+    word = cut_up(inside[0][3]["tree"])[0]
+    narrowed = search(df, q.term(word, "tree"), start, end, asked, limit=100)
+    assert narrowed.page.count() == sum(word in cut_up(r[3]["tree"]) for r in inside)
+    assert "TakeOrderedAndProject" in narrowed.page._jdf.queryExecution().toString()
+
+
+def test_page_limits(tied):
     for bad in ({"limit": 1001}, {"limit": 0}, {"limit": 1, "offset": -1}, {"limit": 1, "order": "up"}):
         with pytest.raises(ValueError):
-            paging.page(df, **bad)
+            paging.page(tied[0], **bad)
+        with pytest.raises(ValueError):
+            deep_paging.page_deep(tied[0], **{"offset": 0, **bad})
 
 
-def test_pages_join_to_the_full_order(page_rows):
-    df, *_ = page_rows
-    full = [r._raw for r in paging.page(df, 100).collect()]
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_after_a_key_go_through_all(tied, order):
+    df, rows = tied
     got, key = [], None
-    for _ in range(3):
-        rows = (paging.page(df, 2) if key is None else paging.page_after(df, key, 2)).collect()
-        got += [r._raw for r in rows]
-        last = rows[-1]
-        key = paging.LastKey(last.timestamp.replace(tzinfo=dt.timezone.utc), last._seq, last._id)
-    assert got == full
-    assert [r._raw for r in paging.latest(df, 2).collect()] == full[:2] and paging.dropped(df, 2).first().dropped == 4
+    while key is None or len(got) % 16 == 0:
+        page = (paging.page(df, 16, order=order) if key is None else paging.page_after(df, key, 16, order)).collect()
+        got += [r._seq for r in page]
+        key = paging.LastKey(page[-1].timestamp.replace(tzinfo=dt.timezone.utc), page[-1]._seq, page[-1]._id)
+    assert got == [r[4] for r in sorted(rows, key=lambda r: (r[0], r[4]), reverse=order == "desc")]
+    newest = [r[4] for r in sorted(rows, key=lambda r: (r[0], r[4]), reverse=True)][:11]
+    assert [r._seq for r in paging.latest(df, 11).collect()] == newest and paging.dropped(df, 11).first().dropped == 79
+
+
+def test_deep_pages(spark):
+    """Rank selection gives the pages of the full order, over ties, nulls, numbers, text and equal ids."""
+    pick = random.Random(4)
+    values = [None, "7", "7", "-3", "1e400", "abc", "abd", "a", "longer text than one view", "longer text than one vieW", "10"]
+    rows = [(T0 + pick.randrange(0, 6) * MIN, "r", pick.choice(["s", "t"]), {"v": x} if (x := pick.choice(values)) else {}, pick.randrange(0, 40)) for _ in range(400)]
+    df = log(spark, rows)
+    df = df.withColumn("timestamp", F.when(F.col("_seq") % 9 > 0, F.col("timestamp"))).cache()
+    for sort_by, order in (("timestamp", "desc"), ("timestamp", "asc"), ("v", "asc"), ("v", "desc"), ("_src", "asc")):
+        full = [r._id for r in df.orderBy(*paging.sort_columns(sort_by, order)).collect()]
+        keys = {k: i for i, k in enumerate(dict.fromkeys(full))}
+        for limit, offset in ((30, 0), (30, 185), (100, 333), (10, 399), (10, 400)):
+            got = [r._id for r in deep_paging.page_deep(df, limit, offset, order, sort_by, few=20).collect()]
+            assert [keys[k] for k in got] == [keys[k] for k in full[offset : offset + limit]], (sort_by, order, limit, offset)
+
+
+def test_deep_pages_pass_over_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(deep_paging, "FEW", 50)
+    monkeypatch.setattr(paging, "DEEP_OFFSET", 1000)
+    df = spark.range(5000).select(F.timestamp_micros(F.col("id") * 1000).alias("timestamp"), F.col("id").alias("_seq"), F.col("id").cast("string").alias("_id"))
+    page = paging.page(df, 20, 2500, "asc")
+    assert [r._seq for r in page.collect()] == list(range(2500, 2520))
+    monkeypatch.undo()
+    plan = deep_paging.page_deep(df, 20, 2500, "asc", few=200)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("limit=(2520|2500)", plan)
 
 
 def test_sort_by_mixed_field(spark):
@@ -175,21 +247,28 @@ def test_column_summaries(spark):
     assert [(r.field, r.value, r["count"]) for r in facet] == [("level", "x", 1), ("zeta", "1", 1)]
 
 
-def test_first_rule_wins(two_sources):
+@pytest.fixture(scope="module")
+def kilns(spark):
+    """Five rows: two of a kiln, two of a bell, one without fields."""
+    fields = [{"state": "/Glowing", "heat": "940"}, {"state": "/cold", "heat": "12"}, {"level": "Warn", "text": "crack in the rim"}, {"level": "fine", "text": "rings true"}, {}]
+    return log(spark, [(T0 + i * MIN, f"row {i}", "kiln" if i < 2 else "bell", f) for i, f in enumerate(fields)]).cache()
+
+
+def test_first_rule_wins(kilns):
     rules = [
-        tagging.Rule("level", "regex", "(", "bad"),
-        tagging.Rule("level", "eq", "ALARM", "off", enabled=False),
-        tagging.Rule("level", "eq", "ALARM", "red"),
-        tagging.Rule("message", "contains", "QUARRY", "late"),
-        tagging.Rule("level", "neq", "alarm", "other"),
-        tagging.Rule("kind", "regex", "^/refused", "case"),
-        tagging.Rule("kind", "regex", r"^/(?P<word>\p{Lu}ook)$", "taken"),
-        tagging.Rule("kind", "exists", "", "pumps"),
+        tagging.Rule("level", "regex", "(", "never"),
+        tagging.Rule("level", "eq", "WARN", "off", enabled=False),
+        tagging.Rule("level", "eq", "WARN", "amber"),
+        tagging.Rule("text", "contains", "RIM", "too late"),
+        tagging.Rule("level", "neq", "warn", "calm"),
+        tagging.Rule("state", "regex", "^/glowing", "wrong case"),
+        tagging.Rule("state", "regex", r"^/(?P<word>\p{Ll}+)$", "small"),
+        tagging.Rule("heat", "exists", "", "kiln"),
     ]
-    got = tagging.tag(two_sources, rules).orderBy("_seq").collect()
-    assert [r.tag for r in got] == ["pumps", "taken", "red", "other"]
-    assert got[2].tag_rule == 'Rule: level == "ALARM"' and got[0].tag_rule == "Rule: kind exists"
-    assert {r.tag: r["count"] for r in tagging.tag_counts(two_sources, rules).collect()} == {"pumps": 1, "taken": 1, "red": 1, "other": 1}
+    got = tagging.tag(kilns, rules).orderBy("_seq").collect()
+    assert [r.tag for r in got] == ["kiln", "small", "amber", "calm", None]
+    assert got[2].tag_rule == 'Rule: level == "WARN"' and got[0].tag_rule == "Rule: heat exists"
+    assert {r.tag: r["count"] for r in tagging.tag_counts(kilns, rules).collect() if r.tag} == {"kiln": 1, "small": 1, "amber": 1, "calm": 1}
 
 
 def test_highlight(spark):
@@ -203,10 +282,10 @@ def test_highlight(spark):
     assert pick(m("zzz")) == "Connection reset; connection lost"
 
 
-def test_columns_and_zone(two_sources):
-    df = display.select_columns(two_sources, ["code", "timestamp", "_src"])
-    assert df.columns == ["timestamp", "code", "_src"]
-    assert str(two_sources.select(relative.in_zone("timestamp", "America/New_York")).first()[0]) == "2024-01-15 05:00:00"
+def test_columns_and_zone(kilns):
+    df = display.select_columns(kilns, ["heat", "timestamp", "_src"])
+    assert df.columns == ["timestamp", "heat", "_src"]
+    assert str(kilns.select(relative.in_zone("timestamp", "America/New_York")).first()[0]) == "2024-01-15 05:00:00"
 
 
 NOW = dt.datetime(2024, 6, 15, 12, tzinfo=dt.timezone.utc)
@@ -231,21 +310,21 @@ def test_relative_windows():
     assert relative.shift_months(dt.datetime(2024, 3, 31), -1) == dt.datetime(2024, 3, 2)
 
 
-def test_views_in_one_scan(two_sources):
+def test_views_in_one_scan(kilns):
     now = T0 + 10 * MIN
     views = [
-        View("alarms", q.term("alarm", "level")),
-        View("pumps", sources=("north.station.log",), preset=None, start=T0, end=T0 + MIN),
-        View("tail", preset="custom", count=8, unit="minutes", columns=("level",), rules=(tagging.Rule("level", "eq", "ALARM", "red"),)),
+        View("cracks", q.term("crack", "text")),
+        View("kiln", sources=("kiln",), preset=None, start=T0, end=T0 + MIN),
+        View("late", preset="custom", count=8, unit="minutes", columns=("level",), rules=(tagging.Rule("level", "eq", "WARN", "amber"),)),
         View("nothing", q.term("zzz")),
     ]
-    got = {r.view_id: r for r in run_views(two_sources, views, now).collect()}
-    assert {k: v["count"] for k, v in got.items()} == {"alarms": 1, "pumps": 2, "tail": 2, "nothing": 0}
-    assert sum(got["pumps"].histogram.values()) == 2
-    page = view_page(two_sources, views[2], now).collect()
-    assert [(r.level, r.tag) for r in page] == [("calm", None), ("alarm", "red")]
+    got = {r.view_id: r for r in run_views(kilns, views, now).collect()}
+    assert {k: v["count"] for k, v in got.items()} == {"cracks": 1, "kiln": 2, "late": 3, "nothing": 0}
+    assert sum(got["kiln"].histogram.values()) == 2
+    page = view_page(kilns, views[2], now).collect()
+    assert [(r.level, r.tag) for r in page] == [(None, None), ("fine", None), ("Warn", "amber")]
     with pytest.raises(ValueError):
-        run_views(two_sources, [views[0], views[0]], now)
+        run_views(kilns, [views[0], views[0]], now)
 
 
 def test_windows_in_other_zones(spark):
@@ -277,10 +356,10 @@ def test_error_is_a_column_to_fill(spark):
     assert got == {"level": 1, "error": 1}
 
 
-def test_more_views_than_one_scan(spark, two_sources, monkeypatch):
+def test_more_views_than_one_scan(spark, kilns, monkeypatch):
     from brooklog.plans import views as vw
 
     monkeypatch.setattr(vw, "VIEWS_PER_SCAN", 3)
     views = [View(f"v{i}", preset="custom", count=i + 1, unit="minutes") for i in range(8)]
-    got = {r.view_id: r["count"] for r in run_views(two_sources, views, T0 + 4 * MIN).collect()}
-    assert got == {f"v{i}": min(i + 1, 4) for i in range(8)}
+    got = {r.view_id: r["count"] for r in run_views(kilns, views, T0 + 5 * MIN).collect()}
+    assert got == {f"v{i}": min(i + 1, 5) for i in range(8)}

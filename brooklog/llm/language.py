@@ -102,7 +102,8 @@ class TextModel:
         return min((share - bound for share, bound in zip(shares, self.bounds, strict=True)), default=0.0)
 
     def score(self, texts: list[str]) -> list[list]:
-        """The damped log-likelihood in each language, how strange the text is, and the number of letters."""
+        """The damped log-likelihood in each language, the posterior of each by the text alone (none without a letter),
+        how strange the text is, and the number of letters."""
         held_by_worker("language", lambda: None)  # what the operators before have kept can go
         table = np.zeros((len(texts), len(self.languages)))
         letters = []
@@ -112,7 +113,9 @@ class TextModel:
             if len(found):
                 mean = self.weights[found].mean(axis=0)
                 table[i] = mean * (len(found) / (1 + len(found) / TEXT_GRAMS))
-        return [*table.T.tolist(), [self.strange(t) for t in texts], letters]
+        parts = np.exp(table - table.max(axis=1, keepdims=True, initial=-np.inf)) * (np.array(letters) > 0)[:, None]
+        says = parts / np.maximum(parts.sum(axis=1, keepdims=True), 1e-300)
+        return [*table.T.tolist(), *says.T.tolist(), [self.strange(t) for t in texts], letters]
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id", label: str = "lang") -> TextModel:
@@ -195,13 +198,12 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", key: str = "
         (without_markup(source) if markup else source).alias("text_"),
     )
     n = range(len(langs))
-    scored = add_columns(rows, "text_", "".join(f"t{i} double, " for i in n) + "strange double, letters bigint", model.score, [key, "host", "text_hash", "declared"])
+    scored = add_columns(rows, "text_", "".join(f"{c}{i} double, " for c in "tp" for i in n) + "strange double, letters bigint", model.score, [key, "host", "text_hash", "declared"])
     scored = through_table(scored.withColumn("suffix", suffix_of(F.col("host"))), "language-scores")
     if not langs:
         return scored.select(key, "host", "text_hash", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
-    # A row's say in the corpus counts: its text posterior, nothing without letters.
-    says = F.col("letters") > 0
-    post = scored.withColumns({f"p{i}": F.when(says, p).otherwise(0.0) for i, p in enumerate(_softmax([F.col(f"t{i}") for i in n]))})
+    # A row's say in the corpus counts is its text posterior.
+    says, post = F.col("letters") > 0, scored
     sums = [F.sum(f"p{i}").alias(f"s{i}") for i in n]
     whole = post.agg(*sums).first()
     total = sum(whole[i] or 0.0 for i in n)

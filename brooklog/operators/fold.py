@@ -80,29 +80,45 @@ def fold(
         "_before",
         F.max(F.col("_before") + F.col("_head_at")).over(earlier_blocks()).alias("_open_at"),
     )
-    placed = join_blocks(lines.drop("_size"), blocks)
+    placed = join_blocks(lines, blocks)
     number = F.col("_before") + F.col("_at")
     head = F.coalesce(F.col("_before") + F.col("_head_at"), F.col("_open_at"), F.lit(1))
     step = F.lit(max_lines + 1)
-    start = number - F.pmod(number - head, step)
-    placed = placed.select(
+    placed = placed.withColumn("_start", number - F.pmod(number - head, step))
+    # Rows lie by block already, so what a record has in one block is put together without moving any line.
+    pieces = placed.groupBy(*KEY, "_start").agg(
+        F.array_sort(F.collect_list(F.struct("_at", "line"))).alias("_lines"),
+        F.min("_at").alias("_from"),
+        F.max("_at").alias("_upto"),
+        F.max("_size").alias("_size"),
+        F.max("_before").alias("_before"),
+        F.min_by(F.struct("block", "line_no", *keep), "_at").alias("_first"),
+    )
+    pieces = pieces.select(
         "_src",
-        start.alias("_start"),
-        F.struct(number.alias("n"), "line").alias("_line"),
-        F.struct("block", "line_no", *keep).alias("_first"),
+        "_start",
+        (F.col("_before") + F.col("_from")).alias("_number"),
+        F.array_join(F.transform("_lines", lambda x: x["line"]), " ").alias("_raw"),
+        F.size("_lines").alias("n_lines"),
+        "_first",
+        ((F.col("_upto") == F.col("_size")) | (F.col("_start") <= F.col("_before"))).alias("_open"),
     )
-    records = placed.groupBy("_src", "_start").agg(
-        F.array_sort(F.collect_list("_line")).alias("_lines"),
-        F.min_by("_first", F.struct(F.col("_first.block"), F.col("_first.line_no"))).alias("_first"),
+    # Only the first and last piece of a block may go on in another; these few are stitched along the source.
+    stitched = pieces.filter("_open").groupBy("_src", "_start").agg(
+        F.array_sort(F.collect_list(F.struct("_number", "_raw"))).alias("_parts"),
+        F.sum("n_lines").cast("int").alias("n_lines"),
+        F.min_by("_first", "_number").alias("_first"),
     )
-    raw = F.array_join(F.transform("_lines", lambda x: x["line"]), " ")
+    stitched = stitched.withColumn("_raw", F.array_join(F.transform("_parts", lambda x: x["_raw"]), " "))
+    columns = ["_src", "_raw", "n_lines", "_first"]
+    records = pieces.filter(~F.col("_open")).select(*columns).unionByName(stitched.select(*columns))
     folded = records.select(
         "_src",
         "_first.block",
         "_first.line_no",
-        raw.alias("_raw"),
-        F.size("_lines").alias("n_lines"),
-        (F.octet_length(raw) > max_bytes).alias("oversize"),
+        "_raw",
+        "n_lines",
+        (F.octet_length("_raw") > max_bytes).alias("oversize"),
         *[F.col(f"_first.{c}").alias(c) for c in keep],
     )
     return restore_keys(folded)

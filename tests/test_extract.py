@@ -115,3 +115,12 @@ def test_meta(spark):
     got = ex.with_meta(df, {"_src": "file.a", "id": "9", "env": "dev"}).orderBy("n").collect()
     assert [r._src for r in got] == ["file.a"] * 2
     assert got[0].attrs == {"id": "9", "env": "dev"} and got[1].attrs == {"message": "x", "id": "9", "env": "dev"}
+
+
+def test_patterns_in_the_words_of_the_engine(spark):
+    """Letters of any script, and possessive quantifiers, are the engine's; a fault of its grammar is named."""
+    df = spark.createDataFrame([("Éclair 12",), ("--",)], "_raw string")
+    got = ex.extract_first(df, [Pattern("p", r"^(?<word>\p{Lu}\p{L}++) %{INT:n}$")]).orderBy("_raw").collect()
+    assert [r.attrs for r in got] == [{"message": "--"}, {"word": "Éclair", "n": "12"}]
+    with pytest.raises(ValueError, match="bad grok pattern"):
+        ex.extract_first(df, [Pattern("p", "(?<word>[)")])

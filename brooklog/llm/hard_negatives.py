@@ -4,7 +4,7 @@ A vector gets one more dimension that brings all candidates of a shard to one le
 anchor (which has 0 there) tells the inner product, and the triangle inequality holds.  A cover tree halves the
 covering radius from level to level; a node's centre and radius bound the inner products of all its points from above
 and below.  Anchors go down best bound first: nodes outside the wanted window of scores, or under the last place, are
-skipped, and the points of leaves are verified in whole numbers.
+skipped, and the points of leaves are verified in whole numbers.  A leaf meets all anchors that want it in one product.
 
 Rows are dealt over shards, and each shard is one run of one partition, sorted so that its candidates come first and
 all anchors follow in a stream: its tree is built once, and a task holds one shard and one batch of anchors.
@@ -23,9 +23,10 @@ from pyspark.sql.window import Window
 
 from brooklog.llm.common import through_table
 
-LEAF = 32
-#: Children of a node at most; points that no child's radius covers go to the nearest child, whose radius is then larger.
-FAN = 32
+LEAF = 64
+#: Children of a node at most, and points of a child at least.  Points that no child's radius covers go to the nearest
+#: child, whose radius is then larger.
+FAN, LEAST = 32, 16
 #: Shards are few enough that each is worth a tree, and never larger than ``SHARD_ROWS``.
 SHARD_SHARE, SHARD_ROWS = 256, 200_000
 #: Anchors that go down a tree together.
@@ -83,6 +84,18 @@ class CoverTree:
                 other = self._away(points, chosen[-1])
                 closer = other < nearest
                 nearest[closer], child[closer] = other[closer], len(chosen) - 1
+            large = np.flatnonzero(np.bincount(child, minlength=len(chosen)) >= LEAST)
+            if len(large) < 2:
+                # One crowd and strays: the nearer half stays with the centre, the farther half goes to its farthest point.
+                half = np.argsort(away, kind="stable")[len(points) // 2 :]
+                chosen, child = [centres[node], int(points[half[-1]])], np.zeros(len(points), np.int64)
+                child[half] = 1
+                nearest = np.where(child == 0, away, self._away(points, chosen[1]))
+            elif len(large) < len(chosen):
+                chosen = [chosen[i] for i in large.tolist()]
+                apart = np.stack([self._away(points, c) for c in chosen])
+                child = apart.argmin(axis=0)
+                nearest = apart[child, np.arange(len(points))]
             children[node] = (len(centres), len(centres) + len(chosen))
             for i, centre in enumerate(chosen):
                 mine = child == i
@@ -95,16 +108,20 @@ class CoverTree:
         self.child_at, self.child_to = np.array(children).T
         self.leaf_at, self.leaf_to = np.array(leaves).T
         self.order = order
+        self.leaves = np.flatnonzero(self.leaf_to > self.leaf_at)
 
-    def dots(self, queries: np.ndarray, q: np.ndarray, points: np.ndarray) -> np.ndarray:
-        """Inner products in whole numbers; what is beyond 64 bits becomes the largest or smallest of them."""
-        bound = int(np.abs(queries.astype(object)).max(initial=0)) * self.largest * max(1, queries.shape[1])
-        if bound < 2**53:
-            return np.einsum("ij,ij->i", queries[q].astype(float), self.x[points]).astype(np.int64)
-        if bound < 2**63:
-            return np.einsum("ij,ij->i", queries[q], self.vectors[points])
-        exact = (queries[q].astype(object) * self.vectors[points].astype(object)).sum(axis=1)
-        return np.array([min(max(int(e), NO_LOW), NO_HIGH) for e in exact], np.int64)
+    def reach(self, queries: np.ndarray) -> int:
+        """No inner product with queries is larger."""
+        return int(np.abs(queries.astype(object)).max(initial=0)) * self.largest * max(1, queries.shape[1])
+
+    def dots(self, points: np.ndarray, queries: np.ndarray, reach: int) -> np.ndarray:
+        """Inner products (point, query) in whole numbers; what is beyond 64 bits becomes the largest or smallest of them."""
+        if reach < 2**53:
+            return (self.x[points] @ queries.T.astype(float)).astype(np.int64)
+        if reach < 2**63:
+            return self.vectors[points] @ queries.T
+        exact = self.vectors[points].astype(object) @ queries.T.astype(object)
+        return np.clip(exact, NO_LOW, NO_HIGH).astype(np.int64)
 
 
 class Descent:
@@ -120,53 +137,67 @@ class Descent:
         none = np.zeros(0, np.int64)
         self.found = (none, none, none)  # query, score, id: in order of query, falling score, id
         if len(queries):
+            self.reach = tree.reach(queries)
             self._descend()
 
-    def _bounds(self, q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of all inner products under the nodes, at least and at most."""
+    def _bounds(self, nodes: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all inner products of queries with the points under nodes (query, node), at least and at most."""
         tree = self.tree
-        both = tree.square + self.square[q]
-        away = np.sqrt(np.maximum(both - 2 * np.einsum("ij,ij->i", self.x[q], tree.x[tree.centre[nodes]]), 0))
+        both = tree.square + self.square[q][:, None]
+        away = np.sqrt(np.maximum(both - 2 * (self.x[q] @ tree.x[tree.centre[nodes]].T), 0))
         slack = SLACK * np.sqrt(both)
         near, far = np.maximum(away - tree.radius[nodes] - slack, 0), away + tree.radius[nodes] + slack
         return (both - far**2) / 2, (both - near**2) / 2
 
     def _descend(self) -> None:
+        """Down the levels, for each query only below nodes that may hold scores in its window; then the leaves that are
+        left, best bound first, as long as they may hold a score over the last place."""
         tree = self.tree
-        q, nodes = np.arange(len(self.x)), np.zeros(len(self.x), np.int64)
-        bound = self._bounds(q, nodes)[1]
-        while len(q):
-            limit = np.where(self.limit == NO_LOW, -np.inf, self.limit - 1.0)
-            keep = bound >= np.maximum(limit, self.least)[q] - SLACK * np.abs(bound)
-            q, nodes, bound = q[keep], nodes[keep], bound[keep]
-            if not len(q):
+        best = np.full((len(self.x), len(tree.leaves)), -np.inf)
+        place = np.full(len(tree.centre), -1)
+        place[tree.leaves] = np.arange(len(tree.leaves))
+        everyone = np.arange(len(self.x))
+        level = [(np.array([0]), everyone)]
+        while level:
+            below = []
+            for nodes, q in level:
+                least, most = self._bounds(nodes, q)
+                inside = (most >= self.least[q][:, None] - SLACK * np.abs(most)) & (least <= self.most[q][:, None] + SLACK * np.abs(least))
+                for i, child in enumerate(nodes.tolist()):
+                    some = inside[:, i]
+                    if not some.any():
+                        continue
+                    if place[child] >= 0:
+                        best[q[some], place[child]] = most[some, i]
+                    else:
+                        below.append((np.arange(tree.child_at[child], tree.child_to[child]), q[some]))
+            level = below
+        order = np.argsort(-best, axis=1, kind="stable")
+        start, step = 0, 1
+        while start < order.shape[1]:
+            rank = order[:, start : start + step]
+            bound = np.take_along_axis(best, rank, axis=1)
+            limit = np.where(self.limit == NO_LOW, -np.inf, self.limit - 1.0)[:, None]
+            open_ = (bound > -np.inf) & (bound >= limit - SLACK * np.abs(bound))
+            if not open_.any():
                 break
-            order = np.lexsort((-bound, q))
-            q, nodes, bound = q[order], nodes[order], bound[order]
-            best = np.append(True, q[1:] != q[:-1])  # the best open node of every query
-            now_q, now = q[best], nodes[best]
-            leaf = tree.leaf_to[now] > tree.leaf_at[now]
-            self._verify(now_q[leaf], now[leaf])
-            parents = now[~leaf]
-            counts = tree.child_to[parents] - tree.child_at[parents]
-            more_q = np.repeat(now_q[~leaf], counts)
-            ends = np.cumsum(counts)
-            more = np.arange(ends[-1] if len(ends) else 0) + np.repeat(tree.child_at[parents] - (ends - counts), counts)
-            least, most = self._bounds(more_q, more)
-            inside = (most >= self.least[more_q] - SLACK * np.abs(most)) & (least <= self.most[more_q] + SLACK * np.abs(least))
-            q = np.concatenate([q[~best], more_q[inside]])
-            nodes = np.concatenate([nodes[~best], more[inside]])
-            bound = np.concatenate([bound[~best], most[inside]])
+            q, at = np.nonzero(open_)
+            self._verify(q, tree.leaves[rank[q, at]])
+            start, step = start + step, 2 * step
 
     def _verify(self, q: np.ndarray, leaves: np.ndarray) -> None:
-        tree = self.tree
-        counts = tree.leaf_to[leaves] - tree.leaf_at[leaves]
-        ends = np.cumsum(counts)
-        points = tree.order[np.arange(ends[-1] if len(ends) else 0) + np.repeat(tree.leaf_at[leaves] - (ends - counts), counts)]
-        q = np.repeat(q, counts)
-        score = tree.dots(self.queries, q, points)
-        fit = (score >= self.low[q]) & (score <= self.high[q]) & (score >= self.limit[q])
-        q, points, score = q[fit], points[fit], score[fit]
+        """Exact scores of queries with the points of leaves; each leaf meets all its queries at once."""
+        tree, found = self.tree, []
+        by_leaf = np.argsort(leaves, kind="stable")
+        q, leaves = q[by_leaf], leaves[by_leaf]
+        cuts = np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1]))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(leaves)], strict=True):
+            some, points = q[a:b], tree.order[tree.leaf_at[leaves[a]] : tree.leaf_to[leaves[a]]]
+            score = tree.dots(points, self.queries[some], self.reach)
+            fit = (score >= np.maximum(self.low[some], self.limit[some])) & (score <= self.high[some])
+            p, i = np.nonzero(fit)
+            found.append((some[i], points[p], score[p, i]))
+        q, points, score = (np.concatenate(c) for c in zip(*found, strict=True))
         counts = tree.member_at[points + 1] - tree.member_at[points]
         ends = np.cumsum(counts)
         members = np.arange(ends[-1] if len(ends) else 0) + np.repeat(tree.member_at[points] - (ends - counts), counts)

@@ -219,7 +219,11 @@ def _by_hint(text: Column, hint: str) -> Column:
         return _epoch(t, F.when(F.length(t) == 16, 6).otherwise(9))
     if hint in UNIX_HINTS:
         return _epoch(t, UNIX_HINTS[hint])
-    moment = F.try_to_timestamp(t, F.lit(layout_to_pattern(hint)))
+    pattern = layout_to_pattern(hint)
+    if not re.search("[xXzVO]", re.sub("'[^']*'", "", pattern)):
+        # Said in full, so that the session's zone does not come in.
+        t, pattern = F.concat(t, F.lit(" +00:00")), f"{pattern} xxx"
+    moment = F.try_to_timestamp(t, F.lit(pattern))
     return F.when(moment.isNotNull(), _of_moment(moment))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brooklog import model
-from brooklog.session import settle
+from brooklog.operators.ordering import NO_SOURCE
+from brooklog.session import BROADCAST_ROWS, settle
 from brooklog.functions.grok import CUT, DEFAULT, Pattern, compile_grok, fields_of, rewrite
 
 # What smart decoding looks for in a line, and a text every hit contains.  The look-behind and
@@ -23,17 +24,22 @@ SMART = {
 }
 
 
-def extract_first(df: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+def extract_first(df: DataFrame, patterns: Sequence[Pattern], chosen: Column | None = None) -> DataFrame:
     """Add ``attrs``, ``matched``, ``pattern`` and ``error`` from the first pattern that matches ``_raw``.
 
     Higher priority goes first, list order breaks ties.  A line no pattern matches keeps
-    its text as ``message`` and says so in ``error``.
+    its text as ``message`` and says so in ``error``.  With ``chosen``, the name of a
+    pattern per row, only that pattern is tried on the row.
     """
     ordered = sorted(patterns, key=lambda p: -p.priority)
     compiled = [compile_grok(p.pattern, p.custom_patterns) for p in ordered]
     rewritten = F.col("_raw")
-    for i, c in enumerate(compiled):
-        rewritten = rewrite(rewritten, c, str(i))
+    if chosen is None:
+        for i, c in enumerate(compiled):
+            rewritten = rewrite(rewritten, c, str(i))
+    else:
+        for i, (p, c) in enumerate(zip(ordered, compiled)):
+            rewritten = F.when(chosen == p.name, rewrite(F.col("_raw"), c, str(i))).otherwise(rewritten)
     parts = F.col("_parts")
     tag = F.get(parts, 1)
     attrs, name = None, None
@@ -58,6 +64,20 @@ def extract_first(df: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
     )
 
 
+def extract_suggested(df: DataFrame, patterns: DataFrame | Sequence[Pattern]) -> DataFrame:
+    """``extract_first`` with each source's own best pattern (see ``suggest``); a source that none fits matches nothing.
+
+    The choice is a small table with a row per source; hot sources are split by the join.
+    """
+    known = library(patterns)
+    if len({p.name for p in known}) < len(known):
+        raise ValueError("patterns to choose from need names of their own")
+    best = settle(suggest(df, known).select(F.coalesce("_src", F.lit(NO_SOURCE)).alias("_best_src"), F.col("name").alias("_best")))
+    small = best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    named = df.join(F.broadcast(best) if small else best, F.coalesce("_src", F.lit(NO_SOURCE)) == F.col("_best_src"), "left")
+    return extract_first(named, known, F.col("_best")).drop("_best", "_best_src")
+
+
 def extract(
     df: DataFrame, pattern: str = DEFAULT, custom_patterns: Mapping[str, str] | None = None, name: str = ""
 ) -> DataFrame:

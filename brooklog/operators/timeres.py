@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brooklog.functions import timeparse as tp
 from brooklog.functions import utc
+from brooklog.functions.grok import Pattern
 from brooklog.model import micros
 from brooklog.operators import clock
 from brooklog.operators.ordering import KEY, NO_SOURCE, carry, join_blocks, restore_keys, settle_keys, with_seq
@@ -65,10 +67,29 @@ def _int(name: str) -> Column:
     return F.col("attrs")[name].try_cast("int")
 
 
-def extract_parts(df: DataFrame, source_field: str | Column = "", source_format: str = "") -> DataFrame:
+def with_hinted(df: DataFrame, hints: Sequence[Pattern]) -> DataFrame:
+    """Add ``_said``: the time that the pattern a row was matched by says where to find, and how to read.
+
+    Without patterns that say so the column is left out.
+    """
+    by_way: dict[str, dict[str, list[str]]] = {}
+    for p in hints:
+        if p.timestamp_field:
+            by_way.setdefault(p.timestamp_layout, {}).setdefault(p.timestamp_field, []).append(p.name)
+    if "pattern" not in df.columns or not by_way:
+        return df
+    ways = []
+    for i, (layout, fields) in enumerate(by_way.items()):
+        text = F.coalesce(*(F.when(F.col("pattern").isin(names), _text(field)) for field, names in fields.items()))
+        df = tp.with_parsed_ts(df, f"_way{i}", text, layout)
+        ways.append(f"_way{i}")
+    return df.withColumn("_said", F.coalesce(*ways)).drop(*ways)
+
+
+def extract_parts(df: DataFrame, source_field: str | Column = "", source_format: str = "", hints: Sequence[Pattern] = ()) -> DataFrame:
     """Add ``_parts`` (y, mo, d, tod, zone) from ``attrs``; ``tod`` is null on a line without a time.
 
-    A chosen source field comes first, then a full ``timestamp``, then the single
+    The field that a pattern's time hint names comes first, then a chosen source field, then a full ``timestamp``, then the single
     components: year/month/day with ``date`` filling gaps, ``time`` or hour+minute+second,
     ``millis``/``nanos`` and ``tz``.
     """
@@ -98,9 +119,11 @@ def extract_parts(df: DataFrame, source_field: str | Column = "", source_format:
         tod.alias("tod"),
         zone.alias("zone"),
     ).cast(tp.PARTS)
-    whole = [F.col("_chosen")] if "_chosen" in out.columns else []
+    out = with_hinted(out, hints)
+    whole = [F.col("_said")] if "_said" in out.columns else []
+    whole += [F.col("_chosen")] if "_chosen" in out.columns else []
     whole.append(F.when(stamp.isNotNull(), F.col("_stamp")))
-    return out.withColumn("_parts", F.coalesce(*whole, composed)).drop("_chosen", "_stamp", "_date", "_time")
+    return out.withColumn("_parts", F.coalesce(*whole, composed)).drop("_said", "_chosen", "_stamp", "_date", "_time")
 
 
 def _force(given: Column, filled: Column, forced: int | None, mode: str) -> Column:
@@ -261,6 +284,7 @@ def resolve(
     profile: DataFrame | None = None,
     lead_field: str = "",
     modes: set[str] | None = None,
+    hints: Sequence[Pattern] = (),
 ) -> DataFrame:
     """Add ``timestamp`` and ``ts_confidence`` (exact, inferred, carried, synthetic).
 
@@ -269,7 +293,9 @@ def resolve(
     config's forced parts and zone still apply to all.  A row with ``lead_field`` in its
     ``attrs`` states a time as it is (UTC microseconds, a bar, and the zone), for work that
     goes on from an earlier batch; ``ts_zone`` is then added too.  ``modes`` (see
-    ``modes_of``) leaves out the kinds of source the profile does not have.
+    ``modes_of``) leaves out the kinds of source the profile does not have.  ``hints`` are
+    the patterns that the rows' ``pattern`` names; a pattern's time field and layout are
+    used for the rows it matched.
     """
     cfg = cfg or TimeConfig(anchor=dt.datetime.now(dt.timezone.utc))
     inner = settle_keys(df.drop("timestamp", "ts_confidence"))
@@ -283,7 +309,7 @@ def resolve(
             F.col("source_field").alias("_field"),
         )
         inner = inner.join(settings, "_src")
-        inner = extract_parts(inner, F.coalesce("_field", F.lit("")))
+        inner = extract_parts(inner, F.coalesce("_field", F.lit("")), hints=hints)
         inner = _line_columns(inner, cfg)
         if lead_field:
             inner = _lead(inner, F.split(F.col("attrs")[lead_field], r"\|"))
@@ -300,7 +326,7 @@ def resolve(
         if cfg.synthetic:
             out = _synthetic(inner)
         else:
-            inner = _line_columns(extract_parts(inner, cfg.source_field, cfg.source_format), cfg)
+            inner = _line_columns(extract_parts(inner, cfg.source_field, cfg.source_format, hints), cfg)
             out = _resolve_dated(inner) if cfg.dated and not cfg.rollover else _resolve_running(inner)
     helper = ("_anchor", "_rollover", "_dated", "_synthetic", "_field", "_y", "_mo", "_d", "_tod", "_zone", "_two", "_inferred")
     out = restore_keys(out)
@@ -383,18 +409,29 @@ def time_candidates(df: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best_first))
 
 
-def profile_time(df: DataFrame, mtime: Column | None = None, now: dt.datetime | None = None) -> DataFrame:
+def _with_stamp(attrs: Column) -> Column:
+    """Fields that certainly have a ``timestamp``."""
+    stamp = F.coalesce(F.nullif(F.trim(attrs["timestamp"]), F.lit("")), F.lit("hinted"))
+    return F.map_concat(F.map_filter(attrs, lambda k, v: k != "timestamp"), F.create_map(F.lit("timestamp"), stamp))
+
+
+def profile_time(df: DataFrame, mtime: Column | None = None, now: dt.datetime | None = None, hints: Sequence[Pattern] = ()) -> DataFrame:
     """What the fields of each source say about time, in one row per source.
 
     Columns: ``status`` (exact, inferred, missing), ``components``, ``year_width``,
     ``anchor_kind``, ``anchor``, ``year_strategy``, ``rollover``, ``source_field``,
     ``source_format``, ``warning``, ``dated``.  ``mtime`` is the source file's time if known.
     Only a source whose every timed line carries a full date is ``dated``; in any other, lines
-    borrow what they lack from the line before.
+    borrow what they lack from the line before.  With ``hints`` the time that a row's pattern
+    names counts as its timestamp.
     """
     at = F.struct("block", "line_no")
     moment = now or dt.datetime.now(dt.timezone.utc)
     rows = tp.with_parsed_ts(df, "p", F.when(F.col("matched"), _text("timestamp")))
+    rows = with_hinted(rows, hints)
+    if "_said" in rows.columns:
+        rows = rows.withColumn("p", F.when(F.col("matched"), F.coalesce("_said", "p")))
+        rows = rows.withColumn("attrs", F.when(F.col("p").isNotNull(), _with_stamp(F.col("attrs"))).otherwise(F.col("attrs")))
     full = F.when(
         F.coalesce(F.col("p.y"), F.lit(0)) != 0,
         tp.to_utc(tp.wall_micros(F.col("p.y"), F.col("p.mo"), F.col("p.d"), F.col("p.tod")), F.col("p.zone")),

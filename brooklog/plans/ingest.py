@@ -25,12 +25,15 @@ class IngestOptions:
 
     ``time`` fixes the time settings; without it every source is profiled.  ``source``
     names all rows, ``file_names`` shortens paths to file names; ids keep the full path.
+    With ``choose`` every source is parsed by the one of ``patterns`` that fits most of its
+    lines.  A pattern's time field and layout say where its lines have their time.
     """
 
     pattern: str = DEFAULT
     custom_patterns: Mapping[str, str] = field(default_factory=dict)
     name: str = ""
     patterns: Sequence[Pattern] = ()
+    choose: bool = False
     fold_mode: str = "off"
     fold_header: str | None = None
     max_lines: int = fo.MAX_LINES
@@ -47,7 +50,7 @@ def parse(lines: DataFrame, opts: IngestOptions) -> DataFrame:
     keep = [c for c in ("source_mtime",) if c in lines.columns]
     records = fo.fold(lines, opts.fold_mode, opts.fold_header, opts.max_lines, opts.max_bytes, keep)
     patterns = list(opts.patterns) or [Pattern(opts.name, opts.pattern, custom_patterns=opts.custom_patterns)]
-    parsed = ex.extract_first(records, patterns)
+    parsed = ex.extract_suggested(records, patterns) if opts.choose else ex.extract_first(records, patterns)
     return ex.smart_decode(parsed) if opts.smart else parsed
 
 
@@ -78,13 +81,12 @@ def to_rows(lines: DataFrame, opts: IngestOptions, now: dt.datetime | None = Non
     if cut:
         records = settle(records)
     if opts.time is not None:
-        resolved = timeres.resolve(records, opts.time)
+        resolved = timeres.resolve(records, opts.time, hints=opts.patterns)
     else:
         mtime = F.col("source_mtime") if "source_mtime" in records.columns else None
-        profile = timeres.profile_time(records, mtime, now)
-        profile = settle(profile) if cut else profile
-        modes = timeres.modes_of(profile) if cut else None
-        resolved = timeres.resolve(records, profile=profile, modes=modes)
+        profile = timeres.profile_time(records, mtime, now, opts.patterns)
+        profile = settle(profile)  # a row per source; the plan leaves out the kinds of source it does not have
+        resolved = timeres.resolve(records, profile=profile, modes=timeres.modes_of(profile), hints=opts.patterns)
     return finish(resolved, opts)
 
 

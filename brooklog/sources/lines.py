@@ -60,16 +60,23 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, "line_no"])
 
 
-def live_lines(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
+#: Bytes of new files that one batch of a stream takes in, unless it is bounded by files.
+BATCH_BYTES = 1 << 30
+
+
+def live_lines(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None, max_bytes_per_trigger: int = BATCH_BYTES) -> DataFrame:
     """Lines of files that appear in a directory, as a stream.
 
     Columns ``_src`` and ``part`` (the file), ``block, line_no`` (place in it), ``value`` and
     ``source_mtime``.  A stream cannot use the built-in row ids, so an Arrow pass counts the
-    rows of each task.  Map ``_src`` to a logical source if its files belong together.
+    rows of each task.  A batch is bounded by files or else by bytes, so a full folder is worked
+    off step by step.  Map ``_src`` to a logical source if its files belong together.
     """
     reader = spark.readStream.option("lineSep", "\n").schema("value string")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     raw = reader.format("text").load(directory).select(
         F.col("_metadata.file_path").alias("_src"),
         F.col("_metadata.file_path").alias("part"),

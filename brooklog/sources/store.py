@@ -42,7 +42,11 @@ def shaped(df: DataFrame) -> DataFrame:
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Add rows to the store."""
+    """Add rows to the store.
+
+    Nothing is looked up: rows added twice are there twice.  A load that may run again should ``upsert`` instead, which
+    leaves each ``_id`` once, also after any number of runs.
+    """
     _laid_out(shaped(df)).withColumn("batch", F.lit(FILES).cast("long")).write.mode("append").partitionBy("log_date", "batch").parquet(path)
 
 

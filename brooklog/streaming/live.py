@@ -20,6 +20,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from brooklog import model
 from brooklog.functions import utc
 from brooklog.model import moment
 from brooklog.operators import ordering, timeres
@@ -137,6 +138,25 @@ def _forget(spark: SparkSession, state_path: str, number: int) -> None:
         system.delete(folder, True)
 
 
+def _moment_of(spark: SparkSession, path: str, number: int, now: Callable[[], dt.datetime]) -> dt.datetime:
+    """The moment of a batch, settled by its first try, so that a further one gives the same rows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(conf)
+    prefix = f"{number}-"
+    system.mkdirs(root)
+    held = {f.getPath().getName() for f in system.listStatus(root)}
+    for old in [h for h in held if int(h.split("-")[0]) < number - 1]:
+        system.delete(jvm.org.apache.hadoop.fs.Path(root, old), False)
+    found = [h for h in held if h.startswith(prefix)]
+    if not found:
+        # The name says it all; an empty file is there or not, never half written.
+        found = [f"{prefix}{model.micros(now())}"]
+        system.create(jvm.org.apache.hadoop.fs.Path(root, found[0])).close()
+    us = int(min(found).split("-", 1)[1])
+    return dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=us)
+
+
 def resolve_batch(records: DataFrame, carried: DataFrame, opts: IngestOptions, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """Resolve and number the records of one batch given what their sources carried in.
 
@@ -246,7 +266,7 @@ def live_ingest(
         if records.isEmpty():
             return
         past = _carried(spark, state_path, number)
-        rows, carry = resolve_batch(records, past, ing, now())
+        rows, carry = resolve_batch(records, past, ing, _moment_of(spark, f"{checkpoint}/moments", number, now))
         stored = finish(rows, ing)
         # Each carry table holds every source, so that older ones can go once this one is written.
         whole = carry.unionByName(past.join(carry.select("_src"), "_src", "left_anti"))

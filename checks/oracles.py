@@ -306,6 +306,9 @@ ORACLES: dict[str, str] = {
         l_quantity AS quantity FROM lineitem ORDER BY l_quantity, seq, _id LIMIT 300 OFFSET (SELECT count(*) // 2 FROM lineitem)""",
     "search_page": _with(E, f"SELECT id AS _id, vtxt AS value FROM e WHERE {ASKED} ORDER BY value ASC, event_id ASC LIMIT 50 OFFSET 10".replace("ORDER BY value", "ORDER BY e.value")),
     "search_totals": _with(E, f"SELECT count(*) AS total, 0 AS \"offset\", 0 AS \"count\" FROM e WHERE us BETWEEN {START} AND {END} AND value > 50"),
+    "ingest_hint": f"""WITH r AS (SELECT event_type AS src, event_id, user_id, epoch_us(date_trunc('second', CAST(ts AS TIMESTAMP))) AS ts_us,
+            row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq FROM events WHERE event_type IN ('click', 'view'))
+        SELECT CAST(ts_us * 1000 AS VARCHAR) || '-' || src || '-' || CAST(seq AS VARCHAR) AS _id, ts_us, src, CAST(user_id AS VARCHAR) AS f_user, 'exact' AS ts_confidence FROM r""",
     "ingest_rows": _with(LINES, f""", m AS (SELECT l.*, regexp_matches(raw, '{PLAIN_RE}') OR regexp_matches(raw, '{PAIRS_RE}') AS matched, {SECONDS} AS own,
             CAST(user_id AS VARCHAR) AS u FROM l JOIN events USING (event_id)),
         h AS (SELECT *, last_value(CASE WHEN matched THEN own END IGNORE NULLS) OVER (PARTITION BY src ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held,

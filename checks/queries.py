@@ -508,7 +508,30 @@ def ingest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("_id", us("timestamp").alias("ts_us"), F.col("_src").alias("src"), "error", F.col("attrs")["user"].alias("f_user"), "ts_confidence")
 
 
+HINTED = (
+    Pattern("bracket", r"^\[%{DATA:seen}\] user=%{INT:user}$", timestamp_field="seen", timestamp_layout="02 Jan 2006 15h04m05s"),
+    Pattern("epoch", r"^at=%{INT:at} user=%{INT:user}$", timestamp_field="at", timestamp_layout="unix_millis"),
+    Pattern("tail", r"user=%{INT:user}1$", 9),
+)
+
+
+def ingest_hint(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sources with lines and time layouts of their own; each is parsed by the pattern that fits it, its time read by that pattern's hint."""
+    at = utc.from_wall("ts")
+    user = F.concat(F.lit(" user="), F.col("user_id"))
+    shown = F.concat(F.lit("["), F.date_format("ts", "dd MMM yyyy HH'h'mm'm'ss's'"), F.lit("]"), user)
+    epoch = F.concat(F.lit("at="), utc.div(us(at), 1_000_000).cast("string"), F.lit("000"), user)
+    events = table(spark, sf, "events").filter(F.col("event_type").isin("click", "view"))
+    lines = events.select(
+        F.col("event_type").alias("_src"), F.floor(F.col("event_id") / 1000).cast("long").alias("block"), F.col("event_id").alias("line_no"),
+        F.when(F.col("event_type") == "click", shown).otherwise(epoch).alias("line"),
+    )
+    rows = preview(lines, IngestOptions(patterns=HINTED, choose=True, time=TimeConfig(anchor=ANCHOR, rollover=False, dated=True)))
+    return rows.select("_id", us("timestamp").alias("ts_us"), F.col("_src").alias("src"), F.col("attrs")["user"].alias("f_user"), "ts_confidence")
+
+
 QUERIES: dict[str, Query] = {
+    "ingest_hint": ingest_hint,
     "page_desc": _on_events(lambda d: _page(paging.page(asked(d), 100, 20))),
     "page_by_field": page_lineitem,
     "page_summary": _on_events(lambda d: paging.page_summary(asked(d), 100, 20)),

@@ -86,6 +86,17 @@ def test_clock_goes_on_over_batches(spark, tmp_path):
     assert [r.timestamp for r in whole] == [r.timestamp for r in rows]
 
 
+def test_a_batch_keeps_its_moment(spark, tmp_path):
+    """A second try of a batch gets the moment of the first; moments no batch asks for again go."""
+    path, moments = str(tmp_path / "moments"), iter([NOW + dt.timedelta(days=i) for i in range(9)])
+    ask = lambda number: live._moment_of(spark, path, number, lambda: next(moments))
+    assert ask(0) == ask(0) == NOW
+    assert ask(1) == ask(1) == NOW + dt.timedelta(days=1) and ask(0) == NOW
+    ask(2)
+    ask(3)
+    assert len([f for f in (tmp_path / "moments").iterdir() if not f.name.startswith(".")]) == 2
+
+
 def test_idle_source_is_flushed(spark, tmp_path):
     folder, work = str(tmp_path / "in"), str(tmp_path)
     opts = live.LiveOptions(IngestOptions(fold_mode="indent"), idle_timeout="1 second", flush_interval="500 milliseconds")
@@ -134,6 +145,18 @@ def test_skipped_while_paused(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
+    """A folder that is full at the start is read in several batches, and every line once."""
+    (tmp_path / "in").mkdir()
+    for i in range(6):
+        (tmp_path / "in" / f"{i}.log").write_text(f"file {i} " + "x" * 1000 + "\n")
+    df = li.live_lines(spark, str(tmp_path / "in"), max_bytes_per_trigger=2500)
+    seen = []
+    query = df.writeStream.foreachBatch(lambda b, n: seen.append([r.value[:6] for r in b.collect()])).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(sum(seen, [])) == [f"file {i}" for i in range(6)] and max(map(len, seen)) <= 3 and len(seen) >= 2
+
+
 def test_any_stream_can_be_shaped(spark):
     rate = spark.readStream.format("rate").load().selectExpr("'r' AS _src", "CAST(value AS STRING) AS line", "value AS offset")
     shaped = live.order_by_arrival(rate, value="line")

@@ -3,12 +3,15 @@
 A text's shingles are its runs of ``SHINGLE`` characters (a shorter text is one shingle).  The sketch keeps every
 shingle hash below a fixed fraction of the range, and every shorter shingle, so the sketch of a union is the union of
 the sketches, and overlaps of very unequal texts can be estimated.  A text whose hashes are all higher has an empty
-sketch and no estimates: a chance of ``(1 - 1 / SCALE) ** n`` with n shingles, 7.5 % at 20 characters, 0.01 % at 43.
+sketch: a chance of ``(1 - 1 / SCALE) ** n`` with n shingles, 7.5 % at 20 characters, 0.01 % at 43.  Its fingerprint
+then holds its length and a digest instead, which tell it apart but are no part of a sketch: it is like an equal text
+(1.0) and, as far as can be told, no other (0.0).
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +58,16 @@ def as_text(kept: np.ndarray) -> str:
     return base64.b64encode(kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()
 
 
+def fingerprint_of(text: str, kept: np.ndarray) -> str:
+    """The sketch of a text as text; of a text that is not empty but has no low hash its length and a digest."""
+    if text and not len(kept):
+        return f"-{len(text)}-{hashlib.sha256(text.encode('utf-8', 'surrogatepass')).hexdigest()[:32]}"
+    return as_text(kept)
+
+
 def from_text(text: str) -> np.ndarray:
+    if text.startswith("-"):
+        return np.zeros(0, np.uint64)
     six = np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, 6)
     return np.ascontiguousarray(np.pad(six, ((0, 0), (2, 0)))).view(">u8").reshape(-1).astype(np.uint64)
 
@@ -68,11 +80,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return both / (len(a) + len(b) - both), both / len(a)
 
 
-def estimates(text: str, kept: np.ndarray, other_text: str, other: np.ndarray) -> tuple[float | None, float | None]:
-    """``overlap`` of the sketches of two texts; unknown (none) if one is not empty but its sketch is."""
-    if (text and not len(kept)) or (other_text and not len(other)):
-        return None, None
-    return overlap(kept, other)
+def estimates(one: str, other: str) -> tuple[float, float]:
+    """``overlap`` of two texts by their fingerprints alone; 1.0 for equal ones."""
+    if one == other:
+        return 1.0, 1.0
+    a, b = from_text(one), from_text(other)
+    return overlap(a, b) if len(a) and len(b) else (0.0, 0.0)
 
 
 def edit(text: str, following: str) -> str:
@@ -117,9 +130,8 @@ def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     ``edited_fingerprint``, and the estimated resemblance of its fingerprint to the edited text's (``near_edited``)
     and to the next document's (``near_next``); ``contained_edited`` is the part of its shingles in the edited text.
 
-    A null or empty text has no characters and an empty fingerprint, and equals another one (1.0).  Where a text that
-    is not empty has an empty fingerprint (no low hash), the estimates with it are null.  Null keys come
-    last, repeated keys in an order fixed by their texts; an empty table gives no rows; other columns are left out.
+    Keys are numbers.  A null or empty text has no characters and an empty fingerprint, and equals another one (1.0).
+    A text without a low hash is told apart by length and digest (see above).  Null keys come last, repeated keys in an order fixed by their texts; an empty table gives no rows; other columns are left out.
     Texts are shuffled once, by key ranges.
     """
     key_type = docs.schema[key].dataType.simpleString()
@@ -129,7 +141,7 @@ def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
-        # The row that waits for the one after it: its run, key, text and sketch; and the run whose end is done.
+        # The row that waits for the one after it: its run, key, text and fingerprint; and the run whose end is done.
         waiting: tuple | None = None
 
         def flush(kind: pa.DataType) -> pa.RecordBatch:
@@ -142,13 +154,13 @@ def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 k, t, bucket, borrowed = k.as_py(), t.as_py(), bucket.as_py(), borrowed.as_py()
                 if borrowed and (waiting is None or waiting[0] != bucket):
                     continue
-                own = sketch(t)
+                own = fingerprint_of(t, sketch(t))
                 if waiting is not None and waiting[0] == bucket:
                     _, key_, text_, kept = waiting
                     edited = edit(text_, t)
-                    other = sketch(edited)
-                    near, inside = estimates(text_, kept, edited, other)
-                    out.append((key_, len(text_), edited, as_text(kept), as_text(other), near, estimates(text_, kept, t, own)[0], inside))
+                    other = fingerprint_of(edited, sketch(edited))
+                    near, inside = estimates(kept, other)
+                    out.append((key_, len(text_), edited, kept, other, near, estimates(kept, own)[0], inside))
                     held += len(text_)
                 waiting = None if borrowed else (bucket, k, t, own)
                 if held > 2_000_000 or len(out) >= 5000:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,7 +173,7 @@ def test_fingerprints(table):
         edited = t[: len(t) - third] + following[:third]
         r = found[k]
         own, other, after = map(fingerprints.sketch, (t, edited, following))
-        assert (r.n_chars, r.edited, r.fingerprint) == (len(t), edited, fingerprints.as_text(own))
+        assert (r.n_chars, r.edited, r.fingerprint) == (len(t), edited, fingerprints.fingerprint_of(t, own))
         assert r.near_edited == fingerprints.overlap(own, other)[0] and r.near_next == fingerprints.overlap(own, after)[0]
 
 
@@ -268,7 +269,8 @@ def test_short_sketches(spark, table):
         kept, whole = fingerprints.sketch(short), fingerprints.sketch(long + short)
         if len(short) >= 12:
             assert set(kept.tolist()) <= set(whole.tolist())  # so sketches merge
-            assert fingerprints.estimates(short, kept, long + short, whole)[1] == (1.0 if len(kept) else None)
+            pair = fingerprints.fingerprint_of(short, kept), fingerprints.fingerprint_of(long + short, whole)
+            assert fingerprints.estimates(*pair)[1] == (1.0 if len(kept) else 0.0)
         assert len(kept) or 12 <= len(short) < 60
     for lengths, bound in (((12, 60), 0.15), ((60, 120), 0.1), ((120, 400), 0.05)):
         errors = []
@@ -276,15 +278,14 @@ def test_short_sketches(spark, table):
             t = some(pick.randrange(*lengths))
             edited = fingerprints.edit(t, some(400))
             a, b = ({x[i : i + 12] for i in range(len(x) - 11)} for x in (t, edited))
-            near, _ = fingerprints.estimates(t, fingerprints.sketch(t), edited, fingerprints.sketch(edited))
-            if near is not None:
-                errors.append(abs(near - len(a & b) / len(a | b)))
+            near, _ = fingerprints.estimates(*(fingerprints.fingerprint_of(x, fingerprints.sketch(x)) for x in (t, edited)))
+            errors.append(abs(near - len(a & b) / len(a | b)))
         assert len(errors) > 150 and sum(errors) / len(errors) < bound
     unknown = next(t for t in iter(lambda: some(12), None) if not len(fingerprints.sketch(t)))
-    found = {r.doc_id: r for r in fingerprints.fingerprint(table([(2, unknown), (1, "short"), (0, "")])).collect()}
-    assert found[2].fingerprint == "" and found[2].n_chars == 12
-    assert (found[2].near_edited, found[2].near_next, found[2].contained_edited) == (None, None, None)
-    assert found[1].near_next == 0.0 and found[0].near_next is None and found[0].near_edited is not None
+    found = {r.doc_id: r for r in fingerprints.fingerprint(table([(3, unknown), (2, unknown), (1, "short"), (0, "")])).collect()}
+    assert found[2].fingerprint == found[3].fingerprint and found[2].fingerprint.startswith("-12-") and found[2].n_chars == 12
+    assert (found[3].near_next, found[2].near_next, found[1].near_next, found[0].near_next) == (1.0, 0.0, 0.0, 0.0)
+    assert fingerprints.fingerprint_of(unknown + "x", np.zeros(0)) != found[2].fingerprint and not len(fingerprints.from_text(found[2].fingerprint))
 
 
 def test_two_scans_at_once(spark, table):

@@ -324,17 +324,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     return found.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+#: Holds the keys that ``keep_first`` works by.
+OWN_KEY = "near_duplicates_own_key"
+
+
+def with_own_key(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``docs`` with ``OWN_KEY``: the key, but each further text of a key that has several gets a new one over all keys.
+
+    Two texts under one key are two documents; a decision on one must not touch the other.
+    """
+    digest = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+    pairs = docs.filter(docs[key].isNotNull()).select(docs[key].cast("bigint").alias("key_"), digest.alias("digest_")).distinct()
+    pairs = through_table(pairs, "keys-and-texts")
+    several = pairs.groupBy("key_").agg(F.min("digest_").alias("first_"), F.count(F.lit(1)).alias("n_")).filter("n_ > 1").select("key_", "first_")
+    further = through_table(pairs.join(several, "key_").filter("digest_ <> first_"), "further-texts")
+    if further.isEmpty():
+        return docs.withColumn(OWN_KEY, docs[key].cast("bigint"))
+    top = pairs.agg(F.max("key_")).first()[0]
+    new = small_side(further.select("key_", "digest_", (F.lit(top + 1) + F.monotonically_increasing_id()).alias("new_")))
+    joined = docs.join(new, (docs[key] == new["key_"]) & (digest == new["digest_"]), "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.coalesce(new["new_"], docs[key].cast("bigint")).alias(OWN_KEY))
+
+
 def keep_first(docs: DataFrame, shingle_words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of the smallest key; all columns stay.
 
-    Of rows with one key, one stays; rows with a null key stay.
+    Of rows with one key and one text, one stays; different texts under one key are documents of their own, of which
+    all but one rank after all keys.  Rows with a null key stay.  A null or empty text is near no other.  An empty table gives no rows.
     """
-    found = through_table(near_duplicates(docs, shingle_words, percent, text, key), "near-duplicates")
-    gone = found.filter(~F.col("kept")).select(F.col(key).alias("gone_")).distinct()
-    left = docs.join(small_side(gone), docs[key] == gone["gone_"], "left_anti")
-    repeated = through_table(found.groupBy(F.col(key).alias("again_")).count().filter("count > 1 and again_ is not null").select("again_"), "repeated")
+    if OWN_KEY in docs.columns:
+        raise ValueError(f"the column {OWN_KEY} is in use")
+    named = with_own_key(docs, text, key)
+    found = through_table(near_duplicates(named, shingle_words, percent, text, OWN_KEY), "near-duplicates")
+    gone = found.filter(~F.col("kept")).select(F.col(OWN_KEY).alias("gone_")).distinct()
+    left = named.join(small_side(gone), named[OWN_KEY] == gone["gone_"], "left_anti")
+    repeated = through_table(found.groupBy(F.col(OWN_KEY).alias("again_")).count().filter("count > 1 and again_ is not null").select("again_"), "repeated")
     if repeated.isEmpty():
-        return left
+        return left.drop(OWN_KEY)
     again = small_side(repeated)
-    once = left.join(again, docs[key] == repeated["again_"], "left_anti")
-    return once.unionByName(left.join(again, docs[key] == repeated["again_"], "left_semi").dropDuplicates([key]))
+    once = left.join(again, named[OWN_KEY] == repeated["again_"], "left_anti")
+    twice = left.join(again, named[OWN_KEY] == repeated["again_"], "left_semi").dropDuplicates([OWN_KEY])
+    return once.unionByName(twice).drop(OWN_KEY)

@@ -173,13 +173,6 @@ def suffix_of(host: Column) -> Column:
     return F.when(found != "", found)
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    total = reduce(lambda a, b: a + b, parts)
-    return [p / total for p in parts]
-
-
 def identify(docs: DataFrame, model: TextModel, text: str = "text", key: str = "doc_id", host: Column | None = None, url: Column | None = None, markup: bool = False) -> DataFrame:
     """A row per input row: the key, ``host``, ``text_hash``, ``lang``, ``confidence`` (its posterior), ``kept``.
 
@@ -205,17 +198,19 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", key: str = "
     # A row's say in the corpus counts is its text posterior.
     says, post = F.col("letters") > 0, scored
     sums = [F.sum(f"p{i}").alias(f"s{i}") for i in n]
-    whole = post.agg(*sums).first()
+    declaring = [F.sum(F.when(F.col("declared").isNotNull(), F.col(f"p{i}"))) for i in n]
+    whole = post.agg(*sums, *declaring).first()
     total = sum(whole[i] or 0.0 for i in n)
     base = [((whole[i] or 0.0) + 1.0) / (total + len(langs)) for i in n]
     suffixes = post.filter("suffix is not null").groupBy("suffix").agg(*(s.alias(f"x{i}") for i, s in enumerate(sums)))
     hosts = post.filter("host is not null").groupBy("host").agg(*(s.alias(f"h{i}") for i, s in enumerate(sums)))
     said = post.filter("declared is not null").groupBy("declared").agg(*(s.alias(f"d{i}") for i, s in enumerate(sums)))
-    of_lang = post.filter("declared is not null").agg(*sums, F.countDistinct("declared")).first()
-    kinds = 1.0 + (of_lang[len(langs)] or 0)
+    of_lang = whole[len(langs) :]
+    said = through_table(said, "language-declared")
+    kinds = 1.0 + said.count()
     joined = post
-    for name, table in (("host", hosts), ("suffix", suffixes), ("declared", said)):
-        joined = joined.join(small_side(through_table(table, f"language-{name}")), name, "left")
+    for name, table in (("host", through_table(hosts, "language-host")), ("suffix", through_table(suffixes, "language-suffix")), ("declared", said)):
+        joined = joined.join(small_side(table), name, "left")
 
     def others(column: str, i: int) -> Column:
         """The count of all rows but this one."""
@@ -224,13 +219,18 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", key: str = "
     def add(columns: list[Column]) -> Column:
         return reduce(lambda a, b: a + b, columns)
 
-    by_suffix = [(others("x", i) + SUFFIX_ROWS * base[i]) / (add([others("x", j) for j in n]) + SUFFIX_ROWS) for i in n]
+    # In steps, each value once: the plan grows with the languages and not with their square.
+    joined = joined.withColumns({"sum_x_": add([others("x", j) for j in n]), "sum_h_": add([others("h", j) for j in n])})
+    by_suffix = [(others("x", i) + SUFFIX_ROWS * base[i]) / (F.col("sum_x_") + SUFFIX_ROWS) for i in n]
     joined = joined.withColumns({f"f{i}": p for i, p in enumerate(by_suffix)})
-    by_host = [(others("h", i) + HOST_ROWS * F.col(f"f{i}")) / (add([others("h", j) for j in n]) + HOST_ROWS) for i in n]
+    by_host = [(others("h", i) + HOST_ROWS * F.col(f"f{i}")) / (F.col("sum_h_") + HOST_ROWS) for i in n]
     declares = [F.when(F.col("declared").isNull(), 0.0).otherwise(F.log((others("d", i) + 1.0) / ((of_lang[i] or 0.0) + kinds))) for i in n]
     logs = joined.withColumns({f"l{i}": F.col(f"t{i}") + F.log(by_host[i]) + declares[i] for i in n})
-    fused = logs.withColumns({f"q{i}": q for i, q in enumerate(_softmax([F.col(f"l{i}") for i in n]))})
-    best = F.greatest(*(F.struct(F.col(f"q{i}").alias("q"), F.lit(l).alias("lang")) for i, l in enumerate(langs))) if len(langs) > 1 else F.struct(F.col("q0").alias("q"), F.lit(langs[0]).alias("lang"))
+    top = F.greatest(*(F.col(f"l{i}") for i in n)) if len(langs) > 1 else F.col("l0")
+    parts = logs.withColumn("top_", top).withColumns({f"e{i}": F.exp(F.col(f"l{i}") - F.col("top_")) for i in n})
+    first = [F.struct(F.col(f"e{i}").alias("e"), F.lit(l).alias("lang")) for i, l in enumerate(langs)]
+    fused = parts.withColumns({"total_": add([F.col(f"e{i}") for i in n]), "first_": F.greatest(*first) if len(langs) > 1 else first[0]})
+    best = F.struct((F.col("first_.e") / F.col("total_")).alias("q"), F.col("first_.lang").alias("lang"))
     out = fused.select(key, "host", "text_hash", says.alias("says"), "strange", best.alias("best"))
     kept = F.col("says") & (F.col("best.q") >= LEAST_CONFIDENCE) & (F.col("strange") <= 0)
     return out.select(key, "host", "text_hash", F.when(F.col("says"), F.col("best.lang")).alias("lang"), F.when(F.col("says"), F.col("best.q")).otherwise(0.0).alias("confidence"), kept.alias("kept"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from brooklog.llm.flat_ids import BETWEEN_WORDS, CACHE_CHUNKS, Chunks, FlatByteI
 HOT_COPIES, HOT_TEXTS = 10_000, 100_000
 #: Bytes of groups that the broadcast of hot texts may hold; above it they are joined as all others.
 HOT_BYTES = 32_000_000
+#: Links that are looked at in one go (those of one longer text are looked at together).
+SLICE_LINKS = 1_000_000
 
 TEXTS = "blob binary, copies bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links binary"
 
@@ -191,6 +194,22 @@ def link_arrays(links: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(held).view(np.dtype(f"<{'u4' if size == 4 else 'i8'}")).astype(np.int64), (at - at[0]) // size
 
 
+def link_slices(links: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows that hold about ``SLICE_LINKS`` links each."""
+    lengths = pc.binary_length(links).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(lengths) // size, 0
+    while start < len(links):
+        held = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, held + SLICE_LINKS, "right")))
+        yield start, end
+        start = end
+
+
+def let_go() -> None:
+    """Drops the aligner that this worker may still hold; looking at links needs none."""
+    held_by_worker(("links",), lambda: None)
+
+
 def link_bytes(a_path: str, b_path: str) -> tuple[int, int]:
     """Bytes of a stored link, and the size of B."""
     own = aligner(a_path, b_path)
@@ -202,20 +221,22 @@ def pair_counts(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     Each task counts its own links first, so a pair moves once per task.
     """
+    size, _ = link_bytes(a_path, b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, _ = link_bytes(a_path, b_path)
+        let_go()
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            links, at = link_arrays(batch.column(0), size)
-            copies = np.repeat(batch.column(1).to_numpy(), np.diff(at))
-            found, code = np.unique(links, return_inverse=True)
-            sums = np.zeros(len(found), np.int64)
-            np.add.at(sums, code, copies)
-            both, code = np.unique(np.concatenate([pairs, found]), return_inverse=True)
-            merged = np.zeros(len(both), np.int64)
-            np.add.at(merged, code, np.concatenate([counts, sums]))
-            pairs, counts = both, merged
+            for a, b in link_slices(batch.column(0), size):
+                links, at = link_arrays(batch.column(0).slice(a, b - a), size)
+                copies = np.repeat(batch.column(1).slice(a, b - a).to_numpy(), np.diff(at))
+                found, code = np.unique(links, return_inverse=True)
+                sums = np.zeros(len(found), np.int64)
+                np.add.at(sums, code, copies)
+                both, code = np.unique(np.concatenate([pairs, found]), return_inverse=True)
+                merged = np.zeros(len(both), np.int64)
+                np.add.at(merged, code, np.concatenate([counts, sums]))
+                pairs, counts = both, merged
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "count"])
 
     return texts.select("links", "copies").mapInArrow(run, "pair bigint, count bigint").groupBy("pair").agg(F.sum("count").alias("count"))
@@ -226,7 +247,7 @@ def measure(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     ``count_sum`` (counts of the pairs of all links)."""
     counted = pair_counts(texts, a_path, b_path).toArrow()  # bounded by the vocabularies, see above
     pair, count = counted["pair"].to_numpy(), counted["count"].to_numpy()
-    _, n_b = link_bytes(a_path, b_path)
+    size, n_b = link_bytes(a_path, b_path)
     order = np.argsort(pair)
     pair, count = pair[order], count[order]
     highest = np.zeros(n_b, np.int64)
@@ -235,14 +256,16 @@ def measure(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     kept = [c for c in texts.columns if c != "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, _ = link_bytes(a_path, b_path)
+        let_go()
         pairs, counts, best = shared.value
         for batch in batches:
-            links, at = link_arrays(batch.column(len(kept)), size)
-            where = np.searchsorted(pairs, links)
-            sums = [np.concatenate([[0], np.cumsum(x[where])]) for x in (best.astype(np.int64), counts)]
-            added = [pa.array(s[at[1:]] - s[at[:-1]]) for s in sums]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *added], names=[*kept, "n_best", "count_sum"])
+            for a, b in link_slices(batch.column(len(kept)), size):
+                part = batch.slice(a, b - a)
+                links, at = link_arrays(part.column(len(kept)), size)
+                where = np.searchsorted(pairs, links)
+                sums = [np.concatenate([[0], np.cumsum(x[where], dtype=np.int64)]) for x in (best, counts)]
+                added = [pa.array(s[at[1:]] - s[at[:-1]]) for s in sums]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *added], names=[*kept, "n_best", "count_sum"])
 
     schema = ", ".join([*(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in kept), "n_best bigint, count_sum bigint"])
     return texts.select(*kept, "links").mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -101,6 +102,19 @@ def test_hot_texts_are_broadcast(table, monkeypatch, most):
     assert got(alignment.align(table(rows), A, B)) == sorted(map(str, plain_rows(rows)))
 
 
+def test_links_are_looked_at_in_slices(table, monkeypatch):
+    """A batch of many links is never laid out whole; one text with more of them is a slice of its own."""
+    links = pa.array([b"\0" * 4 * n for n in (3, 0, 2, 30, 0, 5, 5, 1)] + [None], pa.binary())
+    monkeypatch.setattr(alignment, "SLICE_LINKS", 10)
+    bounds = list(alignment.link_slices(links.slice(1), 4))
+    assert bounds[-1][1] == 8 and [a for a, _ in bounds] == [0, *(b for _, b in bounds[:-1])]
+    held = [sum(len(x or b"") // 4 for x in links.slice(1).slice(a, b - a).to_pylist()) for a, b in bounds]
+    assert sum(held) == 43 and all(n <= 10 or n == 30 for n in held)
+    assert list(alignment.link_slices(links.slice(0, 0), 4)) == []
+    rows = list(enumerate(odd_texts(200)))
+    assert got(alignment.align(table(rows), A, B)) == sorted(map(str, plain_rows(rows)))
+
+
 def test_a_model_that_joins_words_is_refused(monkeypatch):
     class Joins:
         def __init__(self, model_file):

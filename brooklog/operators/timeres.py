@@ -15,9 +15,9 @@ from brooklog.functions import utc
 from brooklog.functions.grok import Pattern
 from brooklog.model import micros
 from brooklog.operators import clock
-from brooklog.operators.ordering import KEY, NO_SOURCE, carry, join_blocks, restore_keys, settle_keys, with_seq
+from brooklog.operators.ordering import KEY, NO_BLOCK, NO_SOURCE, carry, join_blocks, restore_keys, settle_keys, with_seq
 from brooklog.operators.recurrence import block_summary, block_times, entering_blocks, entering_times, run_summary
-from brooklog.session import settle
+from brooklog.session import BROADCAST_ROWS, settle
 
 #: Blocks whose effects one task composes.
 RUN_BLOCKS = 4096
@@ -234,9 +234,9 @@ def _line_parts() -> dict[str, Column]:
 
 
 def _resolve_running(df: DataFrame) -> DataFrame:
-    """Follow the clock of each source: by sums where its lines allow it (``clock``), else line by line (``recurrence``).
+    """Follow the clock of each source: by sums or held values where its lines allow it (``clock``), else line by line (``recurrence``).
 
-    One small row per block is written to the checkpoint folder first; which kinds of source there are, three at most,
+    One small row per block is written to the checkpoint folder first; which kinds of source there are, four at most,
     is known from it before the rows are looked at.
     """
     parts = _line_parts()
@@ -245,7 +245,7 @@ def _resolve_running(df: DataFrame) -> DataFrame:
     kinds = {r[0] for r in states.select("_kind").distinct().collect()}
     branches = []
     if kinds != {clock.OTHER}:
-        branches.append(clock.resolve_sums(df, parts, states.filter(F.col("_kind") != clock.OTHER)))
+        branches.append(clock.resolve_sums(df, parts, states.filter(F.col("_kind") != clock.OTHER), kinds))
     if clock.OTHER in kinds:
         left = states.filter(F.col("_kind") == clock.OTHER).select(*KEY)
         branches.append(_resolve_by_line(df if len(kinds) == 1 else join_blocks(df, left), parts))
@@ -293,13 +293,17 @@ def resolve(
     config's forced parts and zone still apply to all.  A row with ``lead_field`` in its
     ``attrs`` states a time as it is (UTC microseconds, a bar, and the zone), for work that
     goes on from an earlier batch; ``ts_zone`` is then added too.  ``modes`` (see
-    ``modes_of``) leaves out the kinds of source the profile does not have.  ``hints`` are
+    ``modes_of``) leaves out the kinds of source the profile does not have; without them the profile is
+    written to the checkpoint folder and asked.  ``hints`` are
     the patterns that the rows' ``pattern`` names; a pattern's time field and layout are
     used for the rows it matched.
     """
     cfg = cfg or TimeConfig(anchor=dt.datetime.now(dt.timezone.utc))
     inner = settle_keys(df.drop("timestamp", "ts_confidence"))
     if profile is not None:
+        if modes is None:
+            profile = settle(profile)
+            modes = modes_of(profile)
         settings = profile.select(
             F.coalesce("_src", F.lit(NO_SOURCE)).alias("_src"),
             F.col("anchor").alias("_anchor"),
@@ -308,7 +312,9 @@ def resolve(
             (F.col("status") == "missing").alias("_synthetic"),
             F.col("source_field").alias("_field"),
         )
-        inner = inner.join(settings, "_src")
+        # A row per source: few hold all rows, so rows stay where they are unless the sources are very many.
+        few = settings.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        inner = inner.join(F.broadcast(settings) if few else settings, "_src")
         inner = extract_parts(inner, F.coalesce("_field", F.lit("")), hints=hints)
         inner = _line_columns(inner, cfg)
         if lead_field:
@@ -318,7 +324,7 @@ def resolve(
             "running": lambda d: _resolve_running(d.filter("not _synthetic and not _dated")),
             "synthetic": lambda d: settle_keys(_synthetic(d.filter("_synthetic"))),
         }
-        wanted = [build(inner) for mode, build in branches.items() if modes is None or mode in modes]
+        wanted = [build(inner) for mode, build in branches.items() if mode in modes]
         out = reduce(DataFrame.unionByName, wanted)
     else:
         anchor = F.col(cfg.anchor_column) if cfg.anchor_column else F.timestamp_micros(F.lit(micros(cfg.anchor)))
@@ -425,7 +431,6 @@ def profile_time(df: DataFrame, mtime: Column | None = None, now: dt.datetime |
     borrow what they lack from the line before.  With ``hints`` the time that a row's pattern
     names counts as its timestamp.
     """
-    at = F.struct("block", "line_no")
     moment = now or dt.datetime.now(dt.timezone.utc)
     rows = tp.with_parsed_ts(df, "p", F.when(F.col("matched"), _text("timestamp")))
     rows = with_hinted(rows, hints)
@@ -448,13 +453,23 @@ def profile_time(df: DataFrame, mtime: Column | None = None, now: dt.datetime |
     lacking = F.when(_text("timestamp").isNotNull(), F.col("p").isNotNull() & (part("y") | part("mo") | part("d"))).otherwise(
         timed & ~F.coalesce(whole_date, F.lit(False))
     )
-    stats = rows.groupBy("_src").agg(
+    # Block by block first, so that all values are numbers and rows are hashed, not sorted by source.
+    place = {c: F.coalesce(c, F.lit(NO_BLOCK)) for c in ("block", "line_no")}
+    of_blocks = rows.groupBy("_src", place["block"].alias("block")).agg(
         F.count_if(F.col("matched") & lacking).alias("lacking"),
         F.max(year_width).alias("year_width"),
-        F.min_by("full", F.when(F.col("full").isNotNull(), at)).alias("first_full"),
+        F.min_by("full", F.when(F.col("full").isNotNull(), place["line_no"])).alias("first_full"),
+        F.max("mtime").alias("mtime"),
+        *[F.max(F.col("matched") & _text(k).isNotNull()).alias(f"has_{k}") for k in TIME_FIELDS],
+    )
+    stats = of_blocks.groupBy("_src").agg(
+        F.sum("lacking").alias("lacking"),
+        F.max("year_width").alias("year_width"),
+        F.min_by("first_full", F.when(F.col("first_full").isNotNull(), F.col("block"))).alias("first_full"),
         F.max("mtime").alias("mtime"),
-        *[F.max(F.when(F.col("matched") & _text(k).isNotNull(), F.lit(k))).alias(f"has_{k}") for k in TIME_FIELDS],
+        *[F.max(f"has_{k}").alias(f"has_{k}") for k in TIME_FIELDS],
     )
+    stats = stats.withColumns({f"has_{k}": F.when(F.col(f"has_{k}"), F.lit(k)) for k in TIME_FIELDS})
     best = time_candidates(df).filter((F.col("rank") == 1) & F.col("parses"))
     best = best.select("_src", F.col("name").alias("best"), F.col("format").alias("best_format"), "parsed")
     stats = stats.join(best, "_src", "left")

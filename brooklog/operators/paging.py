@@ -47,7 +47,7 @@ def sort_columns(sort_by: str | Column = "timestamp", order: str = "desc") -> li
     def last(c: Column) -> Column:
         return c.asc_nulls_last() if up else c.desc_nulls_last()
 
-    if sort_by == "timestamp":
+    if isinstance(sort_by, str) and sort_by == "timestamp":
         keys = [F.col("timestamp"), F.col("_seq"), F.col("_id")]
         return [k.asc() if up else k.desc() for k in keys]
     value = model.field(sort_by)

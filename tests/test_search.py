@@ -1,6 +1,7 @@
 """Predicates, pages, histograms, summaries, tags and views on hand-built rows."""
 
 import datetime as dt
+import decimal
 import random
 import re
 
@@ -207,6 +208,39 @@ def test_deep_pages(spark):
             assert [keys[k] for k in got] == [keys[k] for k in full[offset : offset + limit]], (sort_by, order, limit, offset)
 
 
+def test_deep_pages_by_few_passes(spark):
+    """Views that all rows share take no pass of their own."""
+    df = spark.range(40_000).select(
+        F.lit(None).cast("timestamp").alias("timestamp"), F.col("id").alias("_seq"), F.concat(F.lit("r"), "id").alias("_id"),
+        F.create_map(F.lit("q"), (F.col("id") % 50).cast("string")).alias("attrs"),
+    )
+    spark.sparkContext.setJobGroup("few passes", "")
+    page = deep_paging.page_deep(df, 30, 20_390, "asc", "q", few=50)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few passes")
+    assert [r._seq for r in page.collect()] == [i * 50 + 25 for i in range(390, 420)]
+    assert len(jobs) <= 16  # five aggregations of at most three jobs each
+
+
+def test_deep_pages_of_odd_values(spark):
+    """Texts that differ late, numbers that are none, bounds without end, decimals, and very uneven values."""
+    pick = random.Random(9)
+    same = "the same beginning of sixty characters, and a few more of them"
+    values = {
+        "string": [None, same + "b", same + "a", same, same + "a\0", "é" * 20, "é" * 20 + "x"],
+        "double": [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e300, 5e-324, 1.5, 2.5],
+        "decimal(12,2)": [None, *(decimal.Decimal(x) / 100 for x in (-1000, -999, 5, 40, 1000))],
+        "bigint": [None, -(1 << 63), (1 << 63) - 1, (1 << 60) + 1, 1 << 60, *range(8)],
+    }
+    for kind, some in values.items():
+        rows = [(pick.choice(some), i, f"r{i}") for i in pick.sample(range(900), 300)]
+        df = spark.createDataFrame(rows, f"v {kind}, _seq long, _id string").coalesce(2).cache()
+        for order in ("asc", "desc"):
+            full = [r._seq for r in df.orderBy(*paging.sort_columns(F.col("v"), order)).collect()]
+            for offset in (40, 150, 280):
+                got = [r._seq for r in deep_paging.page_deep(df, 30, offset, order, F.col("v"), few=12).collect()]
+                assert got == full[offset : offset + 30], (kind, order, offset)
+
+
 def test_deep_pages_pass_over_no_rows(spark, monkeypatch):
     monkeypatch.setattr(deep_paging, "FEW", 50)
     monkeypatch.setattr(paging, "DEEP_OFFSET", 1000)

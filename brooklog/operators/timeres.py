@@ -17,7 +17,7 @@ from brooklog.model import micros
 from brooklog.operators import clock
 from brooklog.operators.ordering import KEY, NO_BLOCK, NO_SOURCE, carry, join_blocks, restore_keys, settle_keys, with_seq
 from brooklog.operators.recurrence import block_summary, block_times, entering_blocks, entering_times, run_summary
-from brooklog.session import BROADCAST_ROWS, settle
+from brooklog.session import BROADCAST_ROWS, settle, settle_rows
 
 #: Blocks whose effects one task composes.
 RUN_BLOCKS = 4096
@@ -95,9 +95,11 @@ def extract_parts(df: DataFrame, source_field: str | Column = "", source_format:
     """
     # One pass of the time shapes serves a full timestamp or, without one, an unusual date.
     stamp, date = _text("timestamp"), _text("date")
-    out = df.withColumn("_date", tp.plain_date(date))
+    out = with_hinted(df, hints).withColumn("_date", tp.plain_date(date))
     odd = F.when(F.col("_date").isNull(), date)
-    out = tp.with_parsed_ts(out, "_stamp", F.coalesce(stamp, odd))
+    shown = F.coalesce(stamp, odd)
+    # What a hint has read is not read again.
+    out = tp.with_parsed_ts(out, "_stamp", F.when(F.col("_said").isNull(), shown) if "_said" in out.columns else shown)
     if isinstance(source_field, Column) or source_field:
         chosen = F.nullif(F.trim(F.col("attrs")[source_field]), F.lit(""))
         out = tp.with_parsed_ts(out, "_chosen", chosen, source_format)
@@ -119,7 +121,6 @@ def extract_parts(df: DataFrame, source_field: str | Column = "", source_format:
         tod.alias("tod"),
         zone.alias("zone"),
     ).cast(tp.PARTS)
-    out = with_hinted(out, hints)
     whole = [F.col("_said")] if "_said" in out.columns else []
     whole += [F.col("_chosen")] if "_chosen" in out.columns else []
     whole.append(F.when(stamp.isNotNull(), F.col("_stamp")))
@@ -285,6 +286,7 @@ def resolve(
     lead_field: str = "",
     modes: set[str] | None = None,
     hints: Sequence[Pattern] = (),
+    cut: bool = False,
 ) -> DataFrame:
     """Add ``timestamp`` and ``ts_confidence`` (exact, inferred, carried, synthetic).
 
@@ -296,7 +298,8 @@ def resolve(
     ``modes_of``) leaves out the kinds of source the profile does not have; without them the profile is
     written to the checkpoint folder and asked.  ``hints`` are
     the patterns that the rows' ``pattern`` names; a pattern's time field and layout are
-    used for the rows it matched.
+    used for the rows it matched.  The rows are read more than once; with ``cut`` they are
+    written to the checkpoint folder with the time that each says, so no line is parsed twice.
     """
     cfg = cfg or TimeConfig(anchor=dt.datetime.now(dt.timezone.utc))
     inner = settle_keys(df.drop("timestamp", "ts_confidence"))
@@ -319,6 +322,7 @@ def resolve(
         inner = _line_columns(inner, cfg)
         if lead_field:
             inner = _lead(inner, F.split(F.col("attrs")[lead_field], r"\|"))
+        inner = settle_rows(inner) if cut else inner
         branches = {
             "dated": lambda d: settle_keys(_resolve_dated(d.filter("not _synthetic and _dated"))),
             "running": lambda d: _resolve_running(d.filter("not _synthetic and not _dated")),
@@ -333,6 +337,7 @@ def resolve(
             out = _synthetic(inner)
         else:
             inner = _line_columns(extract_parts(inner, cfg.source_field, cfg.source_format, hints), cfg)
+            inner = settle_rows(inner) if cut else inner
             out = _resolve_dated(inner) if cfg.dated and not cfg.rollover else _resolve_running(inner)
     helper = ("_anchor", "_rollover", "_dated", "_synthetic", "_field", "_y", "_mo", "_d", "_tod", "_zone", "_two", "_inferred")
     out = restore_keys(out)

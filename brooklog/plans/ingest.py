@@ -74,19 +74,20 @@ def finish(resolved: DataFrame, opts: IngestOptions) -> DataFrame:
 def to_rows(lines: DataFrame, opts: IngestOptions, now: dt.datetime | None = None, cut: bool = False) -> DataFrame:
     """Lines to log rows.
 
-    Time resolution reads the parsed records more than once; ``cut`` writes them to the
-    checkpoint folder first, which pays off when the lines are large text files.
+    Time resolution reads the parsed records more than once, so they are written to the
+    checkpoint folder with the time that each says.  ``cut`` also writes them before a profile
+    is taken, which pays off when the lines are large text files.
     """
     records = parse(lines, opts)
-    if cut:
+    if cut and opts.time is None:
         records = settle(records)
     if opts.time is not None:
-        resolved = timeres.resolve(records, opts.time, hints=opts.patterns)
+        resolved = timeres.resolve(records, opts.time, hints=opts.patterns, cut=True)
     else:
         mtime = F.col("source_mtime") if "source_mtime" in records.columns else None
         profile = timeres.profile_time(records, mtime, now, opts.patterns)
         profile = settle(profile)  # a row per source; the plan leaves out the kinds of source it does not have
-        resolved = timeres.resolve(records, profile=profile, modes=timeres.modes_of(profile), hints=opts.patterns)
+        resolved = timeres.resolve(records, profile=profile, modes=timeres.modes_of(profile), hints=opts.patterns, cut=True)
     return finish(resolved, opts)
 
 
@@ -112,5 +113,5 @@ def ingest(spark: SparkSession, paths: str | Sequence[str], opts: IngestOptions,
 
 
 def preview(lines: DataFrame, opts: IngestOptions, now: dt.datetime | None = None) -> DataFrame:
-    """The rows an ingest would store, without the internal sequence; nothing is written."""
+    """The rows an ingest would store, without the internal sequence; nothing is stored."""
     return to_rows(lines, opts, now).drop("_seq")

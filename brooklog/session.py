@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def settle_rows(df: DataFrame) -> DataFrame:
+    """Like ``settle`` for full rows: as compressed Parquet, of which later passes read the columns they need."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder so later passes do not recompute it.
 

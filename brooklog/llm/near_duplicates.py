@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brooklog.llm.common import add_columns, held_by_worker, small_side, through_table
 from brooklog.llm.components import components
@@ -41,8 +42,10 @@ MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 BLOCK_WEIGHT, LEAST_WEIGHT = 200_000, 200
 #: Signatures of one side of a block.
 BLOCK_ROWS = 1000
+#: Shingles whose overlaps are counted at once.
+OVERLAP_COLUMNS = 1024
 #: Word hashes that a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _SEEDS = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(MULTIPLIER))
 _TIMES, _PLUS = _SEEDS[:VALUES] | np.uint64(1), _SEEDS[VALUES:]
@@ -116,6 +119,15 @@ def keys_of(signatures: DataFrame) -> DataFrame:
     return signatures.select("id", "signature").mapInArrow(run, "key bigint, id bigint")
 
 
+def members_of(signatures: DataFrame) -> DataFrame:
+    """(key, id, n): the keys that ``n`` > 1 signatures have.
+
+    All keys are made and moved once, by key: few are shared, so counting them beforehand would hold nearly all of them
+    in a task's memory and save nothing.
+    """
+    return keys_of(signatures).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
+
+
 def near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures differ in at most ``MAX_DISTANCE`` values."""
 
@@ -207,9 +219,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    for low in range(0, int(shared.sum()), 4096):
-        part = slice(*np.searchsorted(column, [low, low + 4096]))
-        matrix = np.zeros((len(left) + len(right), 4096), np.float32)
+    for low in range(0, int(shared.sum()), OVERLAP_COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + OVERLAP_COLUMNS]))
+        matrix = np.zeros((len(left) + len(right), OVERLAP_COLUMNS), np.float32)
         matrix[owner[part], column[part] - low] = 1
         out += matrix[: len(left)] @ matrix[len(left) :].T
     return out
@@ -289,9 +301,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     sets = usable.groupBy("same").agg(F.min(F.col("id").cast("bigint")).alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     groups = through_table(sets, "sets")
 
-    keys = keys_of(groups)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = through_table(keys.join(shared, "key"), "members")
+    members = through_table(members_of(groups), "members")
     # The more documents share a document's keys, the likelier it is the text that others were made from.
     degree = through_table(members.groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
     rows = members.select("key", "id").join(degree, "id").select("key", "id", "degree", F.col("id").alias("cluster"))

@@ -143,16 +143,30 @@ def near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def still_apart(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, degree, cluster) of the keys that hold several clusters; rows are moved once, by key."""
+    of_key = Window.partitionBy("key")
+    bounds = rows.withColumns({"low": F.min("cluster").over(of_key), "high": F.max("cluster").over(of_key)})
+    return bounds.filter("low <> high").select("key", "id", "degree", "cluster")
+
+
+def with_largest(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``total``, the rows of their key, and ``top``, the (size, cluster) of its largest cluster."""
+    of_key = Window.partitionBy("key")
+    # By key first: then the counts by cluster and the largest of them need no further move.
+    sizes = rows.withColumn("total", F.count(F.lit(1)).over(of_key)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key", "cluster")))
+    return sizes.withColumn("top", F.max(F.struct("size", "cluster")).over(of_key)).drop("size")
+
+
 def crossing(rows: DataFrame, signatures: DataFrame) -> DataFrame:
     """Near pairs (a, b) that join the clusters of one key: its smaller clusters against all its rows, in blocks.
 
     ``rows`` has (key, id, cluster).  A block of each side meets in one place; signatures are compared there, and only
     pairs that join clusters come out.
     """
-    sizes = rows.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("size"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("size", "cluster")).alias("top"), F.sum("size").alias("total"))
     blocks = [F.ceil((F.col("total") - F.col("top.size")) / BLOCK_ROWS).cast("int").alias("ps"), F.ceil(F.col("total") / BLOCK_ROWS).cast("int").alias("qs")]
-    sides = rows.join(top.select("key", F.col("top.cluster").alias("largest"), *blocks), "key").join(signatures.select("id", "signature"), "id")
+    counted = with_largest(rows).select("key", "id", "cluster", F.col("top.cluster").alias("largest"), *blocks)
+    sides = counted.join(signatures.select("id", "signature"), "id")
     sides = through_table(sides.select("key", "id", "cluster", "largest", "ps", "qs", "signature"), "sides")
     own, other = (lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     small = sides.filter("cluster <> largest").select("key", own("ps", 1).alias("p"), other("qs").alias("q"), F.lit(0).alias("side"), "id", "cluster", "signature")
@@ -321,7 +335,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         labels = components(near)
         now = held.filter("id <> first").select("key", "id", "degree").join(labels.toDF("id", "label"), "id", "left")
         now = now.select("key", "id", "degree", F.coalesce("label", "id").alias("cluster"))
-        rows = now.join(now.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("key"), "key")
+        rows = still_apart(now)
 
     # Last round: all that is still apart under one key, save the pairs inside its largest cluster.
     near = near.unionByName(crossing(through_table(rows, "apart"), groups))

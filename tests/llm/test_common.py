@@ -91,3 +91,18 @@ def test_keys_are_made_and_moved_once(spark):
         by_key.setdefault(r["key"], set()).add(r["id"])
     assert sorted(map(tuple, found.collect())) == sorted((k, i, len(ids)) for k, ids in by_key.items() if len(ids) > 1 for i in ids)
     assert {0, 1} <= {r["id"] for r in found.collect()}
+
+
+def test_clusters_under_a_key_are_found_without_joins(spark):
+    rows = [(1, 10, 1, 7), (1, 11, 1, 7), (1, 12, 1, 8), (2, 10, 1, 7), (2, 13, 1, 7), (3, 14, 1, 9), (3, 15, 1, 5)]
+    table = spark.createDataFrame(rows, "key bigint, id bigint, degree bigint, cluster bigint")
+    apart = near_duplicates.still_apart(table)
+    assert sorted(map(tuple, apart.collect())) == [r for r in rows if r[0] != 2]
+    largest = near_duplicates.with_largest(apart)
+    # Of clusters of one size the one with the greatest number.
+    assert sorted((r["key"], r["id"], r["total"], *r["top"]) for r in largest.collect()) == [
+        (1, 10, 3, 2, 7), (1, 11, 3, 2, 7), (1, 12, 3, 2, 7), (3, 14, 2, 1, 9), (3, 15, 2, 1, 9),
+    ]
+    for found in (near_duplicates.still_apart(table), near_duplicates.with_largest(table)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
